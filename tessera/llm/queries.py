@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, sharding
+from tessera.llm import exact_dedup, language_id, mixing, sharding, url_filter
 
 QUERIES = {
     "op2_sharding": sharding.op2,
+    "op3_language_id": language_id.op3,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_url_filter": url_filter.op6,
     "op10_mixing": mixing.op10,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
