@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, mixing, sharding, url_filter
+from tessera.llm import exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, revisits, sharding, url_filter
 
 QUERIES = {
+    "op1_warc_revisits": revisits.op1,
     "op2_sharding": sharding.op2,
     "op3_language_id": language_id.op3,
+    "op4_best_fit_packing": packing.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_url_filter": url_filter.op6,
+    "op7_jaccard_join": jaccard_join.op7,
+    "op8_fingerprints": fingerprints.op8,
     "op10_mixing": mixing.op10,
 }
 
+#: Sharding has no SQL (DuckDB has no CRC-32), nor have language ID, packing and fingerprints; tests hold those against brute force.
 ORACLES = {
+    "op1_warc_revisits": revisits.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op7_jaccard_join": jaccard_join.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
