@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, fingerprints, jaccard_join, language_id, mixing, packing, revisits, sharding, url_filter
+from tessera.llm import exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, revisits, sharding, url_filter
 
 QUERIES = {
     "op1_warc_revisits": revisits.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6,
     "op7_jaccard_join": jaccard_join.op7,
     "op8_fingerprints": fingerprints.op8,
+    "op9_line_dedup": line_dedup.op9,
     "op10_mixing": mixing.op10,
 }
 
