@@ -1,17 +1,844 @@
-"""Queries over the driver's tables, and the SQL that says the same."""
+"""Queries over the driver's tables, one or more for each operator, and the SQL that says the same.
+
+Tensors of the queries: ``events`` as a vector (idx event_id, v value), ``embeddings`` as a matrix (i vec_id, j place in the vector).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar as S
+from tessera.functions import text as X
+from tessera.operators import balance, charlm, collectives, executors, linalg, maps, norms, optim, reduce
+from tessera.operators.autograd import Node
+from tessera.operators.tensor import Tensor
+from tessera.plans import shards
+from tessera.sources import generators, readers
+from tessera.streaming import heartbeats
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DIM = 64
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> Tensor:
+    return readers.tensor_of(load(spark, d, "events"), "event_id", "value")
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """(i, j, v) of the embeddings, as double."""
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+
+
+def matrix(spark: SparkSession, d: str) -> Tensor:
+    """The embeddings as a tensor; vec_id is dense from 0."""
+    emb = load(spark, d, "embeddings")
+    return Tensor.of_cells(cells(spark, d), emb.count(), DIM)
+
+
+CELLS = "SELECT vec_id AS i, (j - 1)::BIGINT AS j, embedding[j]::DOUBLE AS v FROM (SELECT *, unnest(range(1, 65)) AS j FROM embeddings)"
+FLAT = f"SELECT i * 64 + j AS idx, v FROM ({CELLS})"
+
+
+def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, to) for n in names or ("v",)})
+
+
+# -- corpus ---------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT sum(coalesce(strlen(text), 0))::BIGINT AS total, max(coalesce(strlen(text), 0))::BIGINT AS longest, min(coalesce(strlen(text), 0))::BIGINT AS shortest, avg(coalesce(strlen(text), 0)) AS mean FROM documents")
+def text_length_stats(spark, d):
+    return reduce.length_statistics(load(spark, d, "documents").select(X.byte_length("text").alias("length")))
+
+
+@query("SELECT sum(n * 0.5::DOUBLE + 1) AS total, avg(n) * 0.5::DOUBLE + 1 AS expected_mean, avg(n * 0.5::DOUBLE + 1) AS mean FROM (SELECT coalesce(strlen(text), 0) AS n FROM documents)")
+def text_length_scale_shift(spark, d):
+    n = readers.text_lengths(load(spark, d, "documents")).select(F.col("length").cast("double").alias("v"))
+    moved = S.add(S.multiply(F.col("v"), 0.5), 1.0)
+    return n.agg(F.sum(moved).alias("total"), (F.avg("v") * 0.5 + 1.0).alias("expected_mean"), F.avg(moved).alias("mean"))
+
+
+@query("SELECT (coalesce(strlen(text), 0) // 100 * 100)::BIGINT AS bin, count(*) AS n FROM documents GROUP BY 1")
+def text_length_histogram(spark, d):
+    return reduce.length_histogram(load(spark, d, "documents").select(X.byte_length("text").alias("length")))
+
+
+@query("SELECT sum(n)::BIGINT AS total, max(n)::BIGINT AS longest, min(n)::BIGINT AS shortest, avg(n) AS mean FROM (SELECT CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, ' ')) END AS n FROM documents)")
+def token_count_stats(spark, d):
+    return reduce.length_statistics(load(spark, d, "documents").select(X.token_count("text").alias("length")))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS preview FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents ORDER BY doc_id LIMIT 3)")
+def text_samples(spark, d):
+    return readers.text_samples(load(spark, d, "documents"), 3).select("doc_id", X.preview("text").alias("preview"))
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS n_rows, 11::BIGINT AS n_columns, 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS names")
+def parquet_file_info(spark, d):
+    info = readers.file_info(spark, f"{d}/lineitem.parquet")
+    return spark.createDataFrame([(info["rows"], info["columns"], ",".join(info["names"]))], "n_rows long, n_columns long, names string")
+
+
+@query("SELECT (SELECT count(*) FROM part) AS n_rows, 3::BIGINT AS n_columns, 'p_partkey,p_size,p_retailprice' AS names")
+def matrix_metadata(spark, d):
+    info = readers.matrix_metadata(load(spark, d, "part"))
+    return spark.createDataFrame([(info["rows"], info["columns"], ",".join(info["names"]))], "n_rows long, n_columns long, names string")
+
+
+@query("SELECT coalesce(l_discount, 0) AS v FROM lineitem")
+def typed_column_scan(spark, d):
+    return readers.column(spark, f"{d}/lineitem.parquet", "l_discount", "double")
+
+
+@query("SELECT coalesce(l_quantity, 0) AS v FROM lineitem WHERE l_quantity >= 25")
+def row_filter_pushdown(spark, d):
+    return readers.column(spark, f"{d}/lineitem.parquet", "l_quantity", "double", where=("l_quantity", "gte", 25.0))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def multi_column_scan(spark, d):
+    return readers.columns(spark, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice", "o_orderpriority"])
+
+
+@query("SELECT p_partkey AS i, j, CASE j WHEN 0 THEN p_partkey::FLOAT WHEN 1 THEN p_size::FLOAT ELSE p_retailprice::FLOAT END::DOUBLE AS v FROM (SELECT *, unnest([0, 1, 2]) AS j FROM part)")
+def numeric_matrix_long(spark, d):
+    return readers.matrix(load(spark, d, "part"), "p_partkey").select("i", "j", F.col("v").cast("double").alias("v"))
+
+
+@query("SELECT 'GeForce MX130' AS name, 'geforce mx130' AS device, true AS holds UNION ALL SELECT 'CUDA: GeForce MX130/PCIe (0)', 'geforce mx130', true UNION ALL SELECT 'OpenCL: Intel(R) UHD', 'intel', false")
+def device_names(spark, d):
+    names = spark.createDataFrame([("GeForce MX130",), ("CUDA: GeForce MX130/PCIe (0)",), ("OpenCL: Intel(R) UHD",)], "name string")
+    return names.select("name", X.device_key("name").alias("device"), X.name_holds("name", "mx130").alias("holds"))
+
+
+# -- sources --------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT range AS idx, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one, 2.5::DOUBLE AS filled FROM range(1000)")
+def constant_generators(spark, d):
+    z, o, f = (g(spark, (10, 100)).df for g in (generators.zeros, generators.ones, lambda s, n: generators.full(s, n, 2.5)))
+    return z.withColumnRenamed("v", "zero").join(o.withColumnRenamed("v", "one"), "idx").join(f.withColumnRenamed("v", "filled"), "idx")
+
+
+@query("SELECT range AS idx, range * range + 1 AS v FROM range(5000)")
+def generator_fill(spark, d):
+    return generators.generate(spark, (50, 100), lambda i: i * i + 1).df
+
+
+@query("SELECT unnest([0, 1, 2, 3, 4, 5])::BIGINT AS idx, unnest([1, 2, 3, 4, 5, 6])::BIGINT AS v")
+def in_memory_source(spark, d):
+    return generators.from_data(spark, [[1, 2, 3], [4, 5, 6]]).df
+
+
+@query()
+def randn_moments(spark, d):
+    t = generators.randn(spark, (1000, 1000)).df
+    return t.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.skewness("v").alias("skewness"))
+
+
+@query()
+def uniform_moments(spark, d):
+    return generators.rand(spark, (1000, 1000)).df.agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+# -- element by element ---------------------------------------------------------------------------------------------------------------
+
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def _pair(name: str, f, x: str, y: str, sql: str) -> None:
+    def run(spark, d):
+        return load(spark, d, "lineitem").select(*KEYS, f(F.col(x), F.col(y)).alias("v"))
+
+    run.__name__ = name
+    query(f"SELECT {', '.join(KEYS)}, {sql} AS v FROM lineitem")(run)
+
+
+_pair("elementwise_add", S.add, "l_extendedprice", "l_tax", "l_extendedprice + l_tax")
+_pair("elementwise_subtract", S.subtract, "l_extendedprice", "l_discount", "l_extendedprice - l_discount")
+_pair("elementwise_multiply", S.multiply, "l_extendedprice", "l_discount", "l_extendedprice * l_discount")
+_pair("elementwise_divide", S.divide, "l_extendedprice", "l_quantity", "l_extendedprice / l_quantity")
+_pair("divide_integers", S.divide_integers, "l_partkey", "l_linenumber", "l_partkey // l_linenumber")
+
+
+def _each(name: str, f, sql: str) -> None:
+    def run(spark, d):
+        return events(spark, d).map(f).df
+
+    run.__name__ = name
+    query(f"SELECT event_id AS idx, {sql} AS v FROM events")(run)
+
+
+_each("scalar_add", lambda v: S.add(v, 100.0), "value + 100")
+_each("scalar_subtract", lambda v: S.subtract(v, 3.14159), "value - 3.14159::DOUBLE")
+_each("scalar_multiply", lambda v: S.multiply(v, 2.0), "value * 2")
+_each("scalar_divide", lambda v: S.divide(v, 4.0), "value / 4")
+_each("negate", S.negate, "-value")
+_each("absolute", lambda v: S.absolute(v - 50.0), "abs(value - 50)")
+_each("clamp", lambda v: S.clamp(v, 10.0, 60.0), "greatest(10, least(60, value))")
+_each("fill", lambda v: F.lit(7.0), "7.0::DOUBLE")
+_each("udf_map", lambda v: v * v + 1.0, "value * value + 1")
+
+
+@query("SELECT event_id AS idx, value * 2 + 1 AS v FROM events")
+def udf_map_batches(spark, d):
+    return maps.map_batches(events(spark, d), lambda s: s * 2 + 1).df
+
+
+@query("SELECT event_id AS idx, value - user_id AS v FROM events")
+def udf_zip_map(spark, d):
+    users = readers.tensor_of(load(spark, d, "events"), "event_id", "user_id")
+    return maps.zip_columns(events(spark, d), users, lambda a, b: a - b).df
+
+
+@query("SELECT event_id AS idx, value + user_id AS v FROM events")
+def zip_join_add(spark, d):
+    users = readers.tensor_of(load(spark, d, "events"), "event_id", "user_id")
+    return (events(spark, d) + users).df
+
+
+@query("SELECT event_id AS idx, round(value - (SELECT avg(value) FROM events), 6) AS v FROM events")
+def scalar_broadcast(spark, d):
+    t = events(spark, d)
+    return rounded((t - reduce.mean(t)).df)
+
+
+@query("SELECT event_id AS idx, value > 50 AS above, value < 20 AS below, value = 50 AS same FROM events")
+def comparisons(spark, d):
+    v = F.col("value")
+    return load(spark, d, "events").select(F.col("event_id").alias("idx"), S.greater_than(v, 50.0).alias("above"), S.less_than(v, 20.0).alias("below"), S.equal_to(v, 50.0).alias("same"))
+
+
+@query("SELECT event_id AS idx, value > user_id AS v FROM events")
+def greater_than(spark, d):
+    return (events(spark, d) > readers.tensor_of(load(spark, d, "events"), "event_id", "user_id")).df
+
+
+@query("SELECT event_id AS idx, value < user_id AS v FROM events")
+def less_than(spark, d):
+    return (events(spark, d) < readers.tensor_of(load(spark, d, "events"), "event_id", "user_id")).df
+
+
+@query("SELECT event_id AS idx, user_id = event_id % 50 AS v FROM events")
+def equal_to(spark, d):
+    e = load(spark, d, "events")
+    return readers.tensor_of(e, "event_id", "user_id").equal_to(readers.tensor_of(e.withColumn("k", F.col("event_id") % 50), "event_id", "k")).df
+
+
+@query("SELECT bool_or(value > 50) AS any_above, bool_and(value > 50) AS all_above, sum((value > 50)::INT)::BIGINT AS n_above FROM events")
+def mask_any_all(spark, d):
+    mask = events(spark, d) > 50.0
+    return mask.df.agg(F.bool_or("v").alias("any_above"), F.bool_and("v").alias("all_above"), F.sum(F.col("v").cast("long")).alias("n_above"))
+
+
+@query("SELECT event_id AS idx, value AS v FROM events WHERE value > 50")
+def mask_filter(spark, d):
+    t = events(spark, d)
+    return t.where(t > 50.0)
+
+
+@query("SELECT event_id AS idx, value AS v FROM events WHERE event_id = 17")
+def element_get(spark, d):
+    t = events(spark, d)
+    return t.df.where(F.col("idx") == t.offset(17))
+
+
+@query("SELECT event_id AS idx, CASE WHEN event_id = 17 THEN -1 ELSE value END AS v FROM events")
+def element_set(spark, d):
+    return events(spark, d).set(17, -1.0).df
+
+
+@query("SELECT event_id AS idx, value AS v FROM events ORDER BY event_id LIMIT 10")
+def head(spark, d):
+    return events(spark, d).head(10)
+
+
+# -- reductions -----------------------------------------------------------------------------------------------------------------------
+
+
+def _whole(name: str, f, sql: str) -> None:
+    def run(spark, d):
+        return rounded(f(events(spark, d)).df.select("v"), to=4)
+
+    run.__name__ = name
+    query(f"SELECT round({sql}, 4) AS v FROM events")(run)
+
+
+_whole("reduce_sum", reduce.total, "sum(value)")
+_whole("reduce_mean", reduce.mean, "avg(value)")
+_whole("reduce_max", reduce.largest, "max(value)")
+_whole("reduce_min", reduce.smallest, "min(value)")
+
+
+@query("SELECT event_id AS idx, value AS v FROM events ORDER BY value DESC, event_id LIMIT 1")
+def argmax(spark, d):
+    return reduce.argmax(events(spark, d))
+
+
+@query("SELECT event_id AS idx, value AS v FROM events ORDER BY value, event_id LIMIT 1")
+def argmin(spark, d):
+    return reduce.argmin(events(spark, d))
+
+
+@query("SELECT round(sum(value * user_id), 2) AS v FROM events")
+def dot(spark, d):
+    users = readers.tensor_of(load(spark, d, "events"), "event_id", "user_id")
+    return rounded(reduce.dot(events(spark, d), users).df.select("v"), to=2)
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS v FROM embeddings")
+def dot_arrays(spark, d):
+    return rounded(load(spark, d, "embeddings").select("vec_id", reduce.dot_arrays("embedding", "embedding").alias("v")))
+
+
+@query("SELECT round(max(abs(value - round(value))), 6) AS v FROM events")
+def max_absolute_error(spark, d):
+    t = events(spark, d)
+    return rounded(reduce.worst_error(t, t.map(lambda v: F.round(v))))
+
+
+@query("SELECT event_id AS idx, round((SELECT sum(value) FROM events), 4) AS v FROM events")
+def all_reduce_broadcast(spark, d):
+    return rounded(collectives.all_reduce_sum(events(spark, d).df), to=4)
+
+
+@query("SELECT l_shipmode AS device, n AS elements, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n FROM lineitem GROUP BY 1)")
+def shard_shares(spark, d):
+    sizes = load(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("device")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(reduce.shares(sizes, "device"), "percent")
+
+
+# -- matrices -------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT idx // 32 AS i, idx % 32 AS j, v FROM ({FLAT})")
+def reshape(spark, d):
+    t = matrix(spark, d)
+    return t.reshape(t.size // 32, 32).cells()
+
+
+@query(f"SELECT j AS i, i AS j, v FROM ({CELLS})")
+def transpose(spark, d):
+    return matrix(spark, d).transpose().cells()
+
+
+def centroids(spark, d) -> DataFrame:
+    """(i, j, v): sums of the embeddings of each label."""
+    emb = load(spark, d, "embeddings").select(F.col("label").cast("long").alias("i"), F.posexplode("embedding").alias("j", "x"))
+    return emb.groupBy("i", F.col("j").cast("long").alias("j")).agg(F.sum(F.col("x").cast("double")).alias("v"))
+
+
+CENTROIDS = "SELECT label::BIGINT AS i, (j - 1)::BIGINT AS j, sum(embedding[j]::DOUBLE) AS v FROM (SELECT *, unnest(range(1, 65)) AS j FROM embeddings) GROUP BY 1, 2"
+
+
+@query(f"WITH a AS ({CELLS}), b AS ({CENTROIDS}) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 5) AS v FROM a JOIN b ON a.j = b.j GROUP BY a.i, b.i")
+def matmul_abt(spark, d):
+    labels = Tensor.of_cells(centroids(spark, d), 10, DIM)
+    return rounded(linalg.matmul_abt(matrix(spark, d), labels).cells(), to=5)
+
+
+@query(f"WITH a AS ({CELLS}) SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) AS v FROM a JOIN a b ON a.i = b.i GROUP BY a.j, b.j")
+def gram_of_columns(spark, d):
+    x = cells(spark, d)
+    _, dw, _ = linalg.linear_backward(x, x.select("j", "i", "v").limit(0), x)
+    return rounded(dw.select("i", "j", "v"), to=5)
+
+
+WEIGHT = "((i * 7 + j * 3) % 11 - 5) / 10.0"
+
+
+def weights(spark, rows: int, cols: int) -> DataFrame:
+    i, j = F.floor(F.col("id") / cols), F.col("id") % cols
+    return spark.range(rows * cols).select(i.alias("i"), j.alias("j"), (((i * 7 + j * 3) % 11 - 5) / 10.0).alias("v"))
+
+
+@query(f"WITH x AS ({CELLS}), w AS (SELECT i, j, ({WEIGHT})::DOUBLE AS v FROM (SELECT range // 16 AS i, range % 16 AS j FROM range(1024))) SELECT x.i, w.j, round(sum(x.v * w.v) + w.j / 8.0::DOUBLE, 5) AS v FROM x JOIN w ON x.j = w.i GROUP BY x.i, w.j")
+def linear_forward(spark, d):
+    bias = spark.range(16).select(F.col("id").alias("j"), (F.col("id") / 8.0).alias("v"))
+    return rounded(linalg.linear_forward(cells(spark, d), weights(spark, DIM, 16), bias), to=5)
+
+
+@query(f"WITH x AS ({CELLS}) SELECT x.j AS i, e.label::BIGINT AS j, round(sum(x.v), 5) AS v FROM x JOIN embeddings e ON x.i = e.vec_id GROUP BY 1, 2")
+def linear_backward(spark, d):
+    """Gradient of the weights when the output's gradient is one at the label."""
+    dy = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("j"), F.lit(1.0).alias("v"))
+    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, 10), dy)[1], to=5)
+
+
+@query("SELECT event_id AS pos, j AS dim, ((user_id % 32 * 7 + j * 3) % 11 - 5)::DOUBLE / 10 AS v FROM (SELECT *, unnest(range(0, 4)) AS j FROM events)")
+def embedding_lookup(spark, d):
+    tokens = load(spark, d, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") % 32).alias("token"))
+    return linalg.embedding_forward(tokens, weights(spark, 32, 4).toDF("token", "dim", "v"))
+
+
+@query(f"WITH x AS ({CELLS}) SELECT e.label::BIGINT AS token, x.j AS dim, round(sum(x.v), 5) AS v FROM x JOIN embeddings e ON x.i = e.vec_id GROUP BY 1, 2")
+def embedding_scatter_add(spark, d):
+    tokens = load(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("label").cast("long").alias("token"))
+    return rounded(linalg.embedding_backward(tokens, cells(spark, d).toDF("pos", "dim", "v")), to=5)
+
+
+@query("SELECT event_id - 100 AS idx, value AS v FROM events WHERE event_id BETWEEN 100 AND 349")
+def extract_shard(spark, d):
+    return linalg.extract(events(spark, d), 100, 250).df
+
+
+@query("SELECT event_id AS idx, value AS v FROM events")
+def assemble_shards(spark, d):
+    t = events(spark, d)
+    k = 7
+    plan = shards.even_plan(spark, t.size, k)
+    dealt = t.df.withColumn("shard_id", shards.shard_of(F.col("idx"), t.size, k)).join(F.broadcast(plan), "shard_id")
+    return linalg.assemble(dealt.select("shard_id", (F.col("idx") - F.col("offset")).alias("idx"), "v"), F.broadcast(plan.select("shard_id", "offset")))
+
+
+@query("SELECT least(event_id // (n // 4), 3)::INT AS batch, event_id - least(event_id // (n // 4), 3) * (n // 4) AS idx, value AS v FROM events, (SELECT count(*) AS n FROM events)")
+def micro_batches(spark, d):
+    return linalg.micro_batches(events(spark, d), 4)
+
+
+# -- activations, norms and losses ----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT i, j, round(greatest(v, 0), 6) AS relu, CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END AS relu_slope, round(0.5 * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715 * v * v * v))), 6) AS gelu, round(v / (1 + exp(-v)), 6) AS silu FROM ({CELLS})")
+def activations(spark, d):
+    v = F.col("v")
+    return rounded(cells(spark, d).select("i", "j", S.relu(v).alias("relu"), S.relu_slope(v).alias("relu_slope"), S.gelu(v).alias("gelu"), S.silu(v).alias("silu")), "relu", "gelu", "silu")
+
+
+@query(f"SELECT idx, round(exp(v - (SELECT max(v) FROM ({FLAT}))) / (SELECT sum(exp(v - (SELECT max(v) FROM ({FLAT})))) FROM ({FLAT})), 9) AS v FROM ({FLAT})")
+def softmax_global(spark, d):
+    return rounded(norms.softmax(matrix(spark, d)).df, to=9)
+
+
+@query(f"SELECT i, j, round(exp(v - max(v) OVER (PARTITION BY i)) / s, 6) AS v FROM (SELECT *, sum(exp(v - m)) OVER (PARTITION BY i) AS s FROM (SELECT *, max(v) OVER (PARTITION BY i) AS m FROM ({CELLS})))")
+def softmax_row(spark, d):
+    rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(norms.softmax_array("embedding")).alias("j", "v"))
+    return rounded(rows.withColumn("j", F.col("j").cast("long")))
+
+
+@query(f"SELECT idx, round((v - (SELECT avg(v) FROM ({FLAT}))) / sqrt((SELECT var_pop(v) FROM ({FLAT})) + 1e-5), 6) AS v FROM ({FLAT})")
+def layer_norm_global(spark, d):
+    return rounded(norms.layer_norm(matrix(spark, d)).df)
+
+
+LOGITS = f"SELECT i, j, v FROM ({CELLS}) WHERE j < 10"
+PROBS = f"SELECT i, j, exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY i) AS v FROM (SELECT *, max(v) OVER (PARTITION BY i) AS m FROM ({LOGITS}))"
+
+
+def logits(spark, d) -> DataFrame:
+    """The first ten columns: one logit for each class."""
+    return cells(spark, d).where("j < 10")
+
+
+def classes(spark, d) -> DataFrame:
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("j"))
+
+
+@query(f"WITH l AS ({LOGITS}), m AS (SELECT max(v) AS m FROM l), s AS (SELECT sum(exp(v - m)) AS s FROM l, m) SELECT round(sum(CASE WHEN e.label = l.j AND exp(l.v - m) / s > 1e-12 THEN -ln(exp(l.v - m) / s) ELSE 0 END), 3) AS v FROM l JOIN embeddings e ON l.i = e.vec_id, m, s")
+def cross_entropy_soft(spark, d):
+    x = logits(spark, d)
+    y = x.join(classes(spark, d).select("i", F.col("j").alias("y")), "i").select("i", "j", (F.col("j") == F.col("y")).cast("double").alias("v"))
+    n = load(spark, d, "embeddings").count()
+    return rounded(norms.cross_entropy(Tensor.of_cells(x, n, 10), Tensor.of_cells(y, n, 10)).df.select("v"), to=3)
+
+
+@query(f"SELECT round(-avg(ln(p.v)), 6) AS loss FROM ({PROBS}) p JOIN embeddings e ON p.i = e.vec_id AND p.j = e.label")
+def cross_entropy_index(spark, d):
+    return rounded(norms.cross_entropy_index(norms.softmax_rows(logits(spark, d)), classes(spark, d)), "loss")
+
+
+@query(f"SELECT p.i, p.j, round((p.v - (p.j = e.label)::INT) / (SELECT count(*) FROM embeddings), 9) AS v FROM ({PROBS}) p JOIN embeddings e ON p.i = e.vec_id")
+def softmax_ce_grad(spark, d):
+    n = load(spark, d, "embeddings").count()
+    return rounded(norms.softmax_loss_gradient(norms.softmax_rows(logits(spark, d)), classes(spark, d), n), to=9)
+
+
+# -- gradients and optimisers ---------------------------------------------------------------------------------------------------------
+
+
+def users(spark, d) -> Tensor:
+    return readers.tensor_of(load(spark, d, "events").select("event_id", (F.col("user_id") + 1.0).alias("u")), "event_id", "u")
+
+
+def _grad(name: str, build, sql: str, of: int = 0) -> None:
+    def run(spark, d):
+        x, y = Node(events(spark, d), True), Node(users(spark, d), True)
+        build(x, y).backward()
+        return rounded((x, y)[of].grad.df, to=9)
+
+    run.__name__ = name
+    query(f"SELECT event_id AS idx, round({sql}, 9) AS v FROM (SELECT *, user_id + 1.0::DOUBLE AS u, count(*) OVER () AS n FROM events)")(run)
+
+
+_grad("grad_multiply", lambda x, y: (x * y).sum(), "value", 1)
+_grad("grad_subtract", lambda x, y: (x - y).sum(), "-1.0::DOUBLE", 1)
+_grad("grad_divide", lambda x, y: (x / y).sum(), "-value / (u * u)", 1)
+_grad("grad_mean", lambda x, y: (x * x).mean(), "2 * value / n")
+_grad("grad_relu_chain", lambda x, y: ((x - 50.0).relu() * y).sum(), "CASE WHEN value > 50 THEN u ELSE 0 END")
+_grad("grad_absolute", lambda x, y: abs(x - y).sum(), "sign(value - u)::DOUBLE")
+_grad("grad_clamp", lambda x, y: x.clamp(10.0, 60.0).sum(), "CASE WHEN value BETWEEN 10 AND 60 THEN 1.0::DOUBLE ELSE 0 END")
+
+
+@query("SELECT event_id AS idx, round(value - 0.01::DOUBLE * (2 * value / n), 9) AS v FROM (SELECT *, count(*) OVER () AS n FROM events)")
+def sgd_step(spark, d):
+    x = Node(events(spark, d), True)
+    (x * x).mean().backward()
+    return rounded(optim.sgd_step(x.value, x.grad).df, to=9)
+
+
+@query("SELECT event_id AS idx, round(value - 0.001 * (m / (1 - 0.9)) / (sqrt(s / (1 - 0.999::DOUBLE)) + 1e-8) - 0.001 * ((0.9 * m + 0.1 * value) / (1 - 0.81::DOUBLE)) / (sqrt((0.999 * s + 0.001 * value * value) / (1 - 0.998001::DOUBLE)) + 1e-8), 6) AS v FROM (SELECT *, 0.1 * value AS m, 0.001 * value * value AS s FROM events)")
+def adam_step(spark, d):
+    """Two steps with the same gradient: the correction for bias follows the step."""
+    t = events(spark, d)
+    state = optim.adam_state(t)
+    p, state = optim.adam_step(t, t, state, 1)
+    p, _ = optim.adam_step(p, t, state, 2)
+    return rounded(p.df)
+
+
+# -- shard plans and collectives ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT s AS shard_id, s * (n // 8) + least(s, n % 8) AS \"offset\", n // 8 + (s < n % 8)::INT AS count FROM (SELECT count(*) AS n FROM lineitem), (SELECT unnest(range(8)) AS s)")
+def shard_plan_default(spark, d):
+    return shards.default_plan(spark, load(spark, d, "lineitem").count(), 12)
+
+
+@query("SELECT s AS shard_id, s * (n // 12) + least(s, n % 12) AS \"offset\", n // 12 + (s < n % 12)::INT AS count FROM (SELECT count(*) AS n FROM lineitem), (SELECT unnest(range(12)) AS s)")
+def shard_plan_even(spark, d):
+    return shards.even_plan(spark, load(spark, d, "lineitem").count(), 12)
+
+
+@query("SELECT r AS rank, r * e AS \"offset\", greatest(0, least(e, n - r * e)) AS count FROM (SELECT n, (n + 6) // 7 AS e FROM (SELECT count(*) AS n FROM lineitem)), (SELECT unnest(range(7)) AS r)")
+def shard_plan_ceil(spark, d):
+    return shards.ceil_plan(spark, load(spark, d, "lineitem").count(), 7)
+
+
+DEVICES = [shards.Device("CUDA: GeForce MX130", "cuda", 30.0, 80_000), shards.Device("OpenCL: GeForce MX130/PCIe", "opencl", 31.0, 80_000), shards.Device("OpenCL: Intel(R) UHD 620", "opencl", 10.0, 40_000), shards.Device("RAM", "cpu_dense"), shards.Device("Disk", "cpu_mmap")]
+
+
+@query()
+def shard_plan_accelerators(spark, d):
+    return shards.to_frame(spark, shards.accelerators_first(load(spark, d, "lineitem").count(), DEVICES))
+
+
+@query()
+def shard_plan_saturating(spark, d):
+    return shards.to_frame(spark, shards.saturating(load(spark, d, "lineitem").count(), DEVICES))
+
+
+@query("SELECT s AS shard_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM (SELECT event_id, CASE WHEN event_id < (n % 7) * (n // 7 + 1) THEN event_id // (n // 7 + 1) ELSE n % 7 + (event_id - (n % 7) * (n // 7 + 1)) // (n // 7) END::INT AS s FROM events, (SELECT count(*) AS n FROM events)) GROUP BY s")
+def shard_sizes(spark, d):
+    t = events(spark, d)
+    return t.df.groupBy(shards.shard_of(F.col("idx"), t.size, 7).alias("shard_id")).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+
+
+@query("SELECT range AS rank, range % 4 AS tp_rank, range // 4 % 2 AS dp_rank, range // 8 AS pp_rank FROM range(24)")
+def rank_grid(spark, d):
+    return collectives.rank_grid(spark, 4, 2, 3)
+
+
+@query("SELECT range AS rank, range // 8 * 2 + range // 4 % 2 AS tp_group, range // 8 * 4 + range % 4 AS dp_group, range // 4 % 2 * 4 + range % 4 AS pp_group FROM range(24)")
+def rank_groups(spark, d):
+    return collectives.groups(collectives.rank_grid(spark, 4, 2, 3)).select("rank", "tp_group", "dp_group", "pp_group")
+
+
+def parts(spark, d) -> DataFrame:
+    """The embeddings dealt over four ranks: rank vec_id mod 4, places numbered from 0."""
+    n = load(spark, d, "embeddings").count()
+    per = -(-n // 4)
+    return cells(spark, d).select((F.col("i") % 4).cast("int").alias("rank"), (F.floor(F.col("i") / 4) * DIM + F.col("j")).alias("idx"), "v").where(F.col("idx") < per * DIM)
+
+
+PARTS = f"SELECT (i % 4)::INT AS rank, i // 4 * 64 + j AS idx, v FROM ({CELLS})"
+PER = "(SELECT (count(*) + 3) // 4 * 64 FROM embeddings)"
+
+
+@query(f"SELECT rank * {PER} + idx AS idx, v FROM ({PARTS})")
+def allgather(spark, d):
+    return collectives.allgather(parts(spark, d), -(-load(spark, d, "embeddings").count() // 4) * DIM)
+
+
+@query(f"SELECT (idx // (({PER} + 3) // 4))::INT AS rank, idx % (({PER} + 3) // 4) AS idx, v FROM (SELECT idx, round(avg(v), 6) AS v FROM ({PARTS}) GROUP BY idx)")
+def reducescatter_mean(spark, d):
+    n = -(-load(spark, d, "embeddings").count() // 4) * DIM
+    return rounded(collectives.reduce_scatter(parts(spark, d), 4, n, "mean"))
+
+
+@query("SELECT (event_id // ((n + 3) // 4))::INT AS rank, event_id % ((n + 3) // 4) AS idx, value AS v FROM events, (SELECT count(*) AS n FROM events)")
+def scatter(spark, d):
+    t = events(spark, d)
+    return collectives.scatter(t.df, 4, t.size)
+
+
+@query(f"SELECT idx, round(sum(v), 6) AS v FROM ({PARTS}) GROUP BY idx")
+def allreduce_sum(spark, d):
+    return rounded(collectives.allreduce(parts(spark, d), "sum"))
+
+
+@query(f"SELECT idx, round(avg(v), 6) AS v FROM ({PARTS}) GROUP BY idx")
+def allreduce_mean(spark, d):
+    return rounded(collectives.allreduce(parts(spark, d), "mean"))
+
+
+@query("SELECT rank::INT AS rank, event_id AS idx, value AS v FROM events, (SELECT unnest(range(3)) AS rank)")
+def broadcast_copies(spark, d):
+    return collectives.broadcast_to(events(spark, d).df, 3)
+
+
+@query("SELECT doc_id, lang, (doc_id % 4)::INT AS rank FROM documents")
+def rank_batch(spark, d):
+    return collectives.rank_batch(load(spark, d, "documents").select("doc_id", "lang"), "doc_id", 4)
+
+
+# -- character language model ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, doc_id < floor(n * 0.9) AS is_train FROM documents, (SELECT count(*) AS n FROM documents)")
+def train_test_split(spark, d):
+    docs = load(spark, d, "documents")
+    return charlm.split_rows(docs.select("doc_id"), "doc_id", docs.count())
+
+
+def names(spark, d) -> DataFrame:
+    """Nation names in small letters, without anything else."""
+    return load(spark, d, "nation").select("n_nationkey", F.regexp_replace(F.lower("n_name"), "[^a-z]", "").alias("line"))
+
+
+PREFIXES = """
+WITH l AS (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z]', '', 'g') || chr(10) AS s FROM nation),
+p AS (SELECT n_nationkey, piece, substr(s, piece * 16 + 1, 16) AS s FROM (SELECT *, unnest(range(0, (length(s) - 1) // 16 + 1)) AS piece FROM l)),
+t AS (SELECT n_nationkey, piece, list_transform(range(1, length(s) + 1), lambda k: CASE WHEN substr(s, k, 1) = chr(10) THEN 0 ELSE ascii(substr(s, k, 1)) - 96 END) AS t FROM p),
+r AS (SELECT n_nationkey, piece, unnest(range(1, len(t) + 1)) AS n, t FROM t),
+q AS (SELECT n_nationkey, piece, n, list_concat(list_transform(range(0, 17 - n), lambda z: 0), t[1:n]) AS tokens FROM r)
+"""
+
+
+@query(PREFIXES + "SELECT n_nationkey, piece::INT AS piece, n::INT AS n, array_to_string(tokens, ',') AS tokens FROM q")
+def char_prefix_rows(spark, d):
+    rows = charlm.prefix_rows(names(spark, d))
+    return rows.select("n_nationkey", "piece", "n", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens"))
+
+
+@query(PREFIXES + "SELECT n_nationkey, piece::INT AS piece, n::INT AS n, array_to_string(list_transform(tokens[1:16], lambda t: CASE WHEN t = 0 THEN '.' ELSE chr((t + 96)::INT) END), '') AS x, tokens[17]::INT AS y FROM q")
+def batch_inputs_targets(spark, d):
+    rows = charlm.prefix_rows(names(spark, d)).withColumn("x", charlm.inputs())
+    return rows.select("n_nationkey", "piece", "n", charlm.shown("x").alias("x"), charlm.target().alias("y"))
+
+
+@query("SELECT world, 27 + (world - 27 % world) AS padded FROM (SELECT unnest([1, 2, 3, 4, 8]) AS world)")
+def vocab_padding(spark, d):
+    return spark.createDataFrame([(1,), (2,), (3,), (4,), (8,)], "world int").select("world", (F.lit(27) + (F.col("world") - F.lit(27) % F.col("world"))).alias("padded"))
+
+
+@query(f"WITH p AS ({PROBS}), c AS (SELECT *, sum(v) OVER (PARTITION BY i ORDER BY j ROWS UNBOUNDED PRECEDING) AS c FROM p) SELECT i, coalesce(min(CASE WHEN c >= (i * 37 % 101 + 0.5::DOUBLE) / 101 THEN j END), max(j)) AS token FROM c GROUP BY i")
+def inverse_cdf_sample(spark, d):
+    p = norms.softmax_rows(logits(spark, d))
+    draws = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), ((F.col("vec_id") * 37 % 101 + 0.5) / 101).alias("u"))
+    return charlm.sample_index(p, draws)
+
+
+@query()
+def charlm_loss(spark, d):
+    """Loss of the untrained net over all prefixes of all names: near ln 27."""
+    rows = charlm.prefix_rows(names(spark, d)).withColumn("b", F.col("n_nationkey") * 1000 + F.col("piece") * 100 + F.col("n"))
+    acts = charlm.forward(rows.select("b", "tokens"), charlm.init_params(spark))
+    return charlm.loss(acts, rows.select("b", "tokens"))
+
+
+# -- balancing ------------------------------------------------------------------------------------------------------------------------
+
+WORKERS = """
+WITH w AS (
+  SELECT user_id % 8 AS worker_id, count(*) AS ops, sum(value) AS used, count(*) % 90 AS queue, avg(value) / 100 AS busy, floor(max(epoch(ts)))::BIGINT AS seen,
+         (user_id % 8 * 3) % 5 AS assigned FROM events GROUP BY user_id % 8),
+b AS (SELECT *, CASE worker_id % 5 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.3 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 ELSE 0.7 END AS base FROM w),
+s AS (
+  SELECT worker_id, queue, assigned, worker_id <> 3 AS healthy, greatest(0, least(1, base * (0.3 * least(1, ops / 1000::DOUBLE) + 0.3 * (used / (used + 1000)))
+    * (1 - 0.2::DOUBLE * least(1, queue / 100::DOUBLE)) * (1 - 0.2::DOUBLE * busy)) ) AS score, seen FROM b)
+"""
+
+
+def workers(spark, d) -> DataFrame:
+    """Eight workers made of the users' events: worker user_id mod 8."""
+    w = load(spark, d, "events").groupBy((F.col("user_id") % 8).alias("worker_id")).agg(
+        F.count(F.lit(1)).alias("ops"), F.sum("value").alias("used"), (F.avg("value") / 100).alias("busy"), F.max(F.col("ts").cast("timestamp").cast("long")).alias("seen")
+    )
+    w = w.withColumn("queue", F.col("ops") % 90).withColumn("assigned", F.col("worker_id") * 3 % 5).withColumn("healthy", F.col("worker_id") != 3)
+    backend = F.element_at(F.array(*map(F.lit, ("dense", "mmap", "cuda", "opengl", "opencl"))), (F.col("worker_id") % 5 + 1).cast("int"))
+    return w.withColumn("score", balance.capacity_score(backend, F.col("ops"), F.col("used"), F.col("used") + 1000, F.col("queue"), F.col("busy")))
+
+
+@query(WORKERS + "SELECT worker_id, round(score, 6) AS score FROM s")
+def heartbeat_capacity(spark, d):
+    return rounded(workers(spark, d).select("worker_id", "score"), "score")
+
+
+@query(WORKERS + "SELECT worker_id, worker_id <> 3 AND (SELECT max(seen) FROM s)::BIGINT - seen::BIGINT < 3600 AS alive FROM s")
+def liveness(spark, d):
+    w = workers(spark, d)
+    now = w.agg(F.max("seen").alias("now"))
+    status = F.when(F.col("healthy"), "RUNNING").otherwise("FAILED")
+    return w.crossJoin(F.broadcast(now)).select("worker_id", balance.alive(status, F.col("seen"), F.col("now"), 3600).alias("alive"))
+
+
+@query(WORKERS + "SELECT worker_id FROM s WHERE healthy ORDER BY score DESC, worker_id LIMIT 1")
+def assign_capacity(spark, d):
+    return balance.by_capacity(workers(spark, d))
+
+
+@query(WORKERS + "SELECT worker_id FROM s WHERE healthy ORDER BY 0.6 * queue + 0.4 * assigned, worker_id LIMIT 1")
+def assign_least_connections(spark, d):
+    return balance.by_connections(workers(spark, d))
+
+
+@query(WORKERS + ", h AS (SELECT worker_id, row_number() OVER (ORDER BY worker_id) - 1 AS n, count(*) OVER () AS k FROM s WHERE healthy) SELECT doc_id AS shard_id, h.worker_id FROM documents, h WHERE doc_id % k = n")
+def assign_round_robin(spark, d):
+    return balance.by_turn(load(spark, d, "documents").select(F.col("doc_id").alias("shard_id")), workers(spark, d))
+
+
+@query(WORKERS + ", h AS (SELECT * FROM s WHERE healthy) SELECT a.worker_id FROM h a LEFT JOIN h b ON a.worker_id <> b.worker_id GROUP BY a.worker_id, a.queue, a.assigned, a.score ORDER BY greatest((a.queue + a.assigned + 1) / a.score, max((b.queue + b.assigned) / b.score)), a.worker_id LIMIT 1")
+def assign_minmax_fairness(spark, d):
+    return balance.by_fairness(workers(spark, d))
+
+
+@query()
+def assign_two_choices(spark, d):
+    return balance.by_two_choices(load(spark, d, "documents").select(F.col("doc_id").alias("shard_id")), workers(spark, d))
+
+
+@query()
+def assign_hash(spark, d):
+    return balance.by_hash(load(spark, d, "documents").select(F.col("doc_id").alias("shard_id")), workers(spark, d))
+
+
+EWMA = """
+WITH RECURSIVE b AS (SELECT user_id % 8 AS worker_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n, event_id % 40 + (1 - value / 200) * 100 AS x FROM events),
+f AS (
+  SELECT worker_id, n, x AS load FROM b WHERE n = 1
+  UNION ALL
+  SELECT b.worker_id, b.n, CASE WHEN f.load = 0 THEN b.x ELSE 0.3::DOUBLE * b.x + (1 - 0.3::DOUBLE) * f.load END FROM f JOIN b ON b.worker_id = f.worker_id AND b.n = f.n + 1)
+SELECT worker_id, round(load, 6) AS load FROM f QUALIFY n = max(n) OVER (PARTITION BY worker_id)
+"""
+
+
+@query(EWMA)
+def predicted_load(spark, d):
+    beats = load(spark, d, "events").select((F.col("user_id") % 8).alias("worker_id"), F.col("event_id").alias("at"), (F.col("event_id") % 40).alias("queue"), (F.col("value") / 200).alias("score"))
+    return rounded(balance.smoothed_load(beats), "load")
+
+
+@query()
+def assign_predictive(spark, d):
+    beats = load(spark, d, "events").select((F.col("user_id") % 8).alias("worker_id"), F.col("event_id").alias("at"), (F.col("event_id") % 40).alias("queue"), (F.col("value") / 200).alias("score"))
+    return balance.by_prediction(workers(spark, d), balance.smoothed_load(beats))
+
+
+def experts(spark, d) -> DataFrame:
+    """32 experts, loaded by the events of the users that fall to them."""
+    return load(spark, d, "events").groupBy((F.col("user_id") % 32).alias("expert_id")).agg(F.round(F.sum("value"), 3).alias("load"))
+
+
+@query()
+def expert_lpt(spark, d):
+    return balance.balance_experts(experts(spark, d), workers=8, redundant=4)
+
+
+@query()
+def expert_hierarchical(spark, d):
+    return balance.balance_experts(experts(spark, d), workers=8, nodes=2, group_size=4, redundant=2)
+
+
+@query()
+def expert_worker_loads(spark, d):
+    return balance.worker_loads(balance.balance_experts(experts(spark, d), workers=8, redundant=4))
+
+
+@query()
+def sticky_assign(spark, d):
+    """Nations ask for a worker, and again after worker 0 has failed."""
+    asks = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("shard_id"))
+    once = asks.select(F.col("shard_id").alias("at"), "shard_id", F.lit(None).cast("long").alias("failed"))
+    again = asks.select((F.col("shard_id") + 1000).alias("at"), "shard_id", F.when(F.col("shard_id") == 0, 0).cast("long").alias("failed"))
+    return balance.assign(once.union(again), workers(spark, d).select("worker_id", "score", "queue", "assigned", "healthy"))
+
+
+# -- executors ------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS idx, value * (event_id % 16 + 1) AS v FROM events")
+def worker_forward(spark, d):
+    w = spark.range(16).select(F.col("id").alias("k"), (F.col("id") + 1.0).alias("w"))
+    return executors.worker_forward(events(spark, d).df, w, 16)
+
+
+@query("SELECT (event_id % 4)::INT AS rank, event_id AS idx, value * (event_id % 4 + 1) AS v FROM events")
+def data_parallel(spark, d):
+    parts_ = events(spark, d).df.withColumn("rank", (F.col("idx") % 4).cast("int"))
+    w = spark.range(32).select((F.col("id") % 4).cast("int").alias("rank"), F.floor(F.col("id") / 4).alias("k"), (F.col("id") % 4 + 1.0).alias("w"))
+    return executors.data_parallel(parts_, w, 8)
+
+
+@query("SELECT event_id AS idx, round(value * 2.5, 6) AS v FROM events")
+def tensor_parallel(spark, d):
+    t = events(spark, d)
+    w = spark.range(4).select(F.col("id").cast("int").alias("rank"), F.lit(0).cast("long").alias("k"), (F.col("id") + 1.0).alias("w"))
+    return rounded(executors.tensor_parallel(t.df, w, w, t.size, 1, 1)[1])
+
+
+@query("SELECT event_id AS idx, (value * 2 + 1) * 0.5 AS v FROM events")
+def pipeline_parallel(spark, d):
+    on = lambda f: lambda df: df.withColumn("v", f(F.col("v")))
+    return executors.pipeline(events(spark, d), [on(lambda v: v * 2.0), on(lambda v: v + 1.0), on(lambda v: v * 0.5)])
+
+
+@query(f"WITH x AS ({CELLS}), w AS (SELECT i, j, ({WEIGHT})::DOUBLE AS v FROM (SELECT range // 16 AS i, range % 16 AS j FROM range(1024))) SELECT x.i, w.j, round(sum(x.v * w.v), 5) AS v FROM x JOIN w ON x.j = w.i GROUP BY x.i, w.j")
+def fsdp_forward(spark, d):
+    w = weights(spark, DIM, 16).withColumn("rank", (F.col("i") % 4).cast("int"))
+    return rounded(executors.sharded_linear(cells(spark, d), w), to=5)
+
+
+@query(f"WITH x AS ({CELLS}) SELECT x.i AS token, x.j AS dim, round(x.v * (e.label + 1) * 0.5::DOUBLE, 6) AS v FROM x JOIN embeddings e ON x.i = e.vec_id")
+def expert_parallel(spark, d):
+    gates = load(spark, d, "embeddings").select(F.col("vec_id").alias("token"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("expert"), F.col("label")).select("token", "expert", F.when(F.col("expert") == F.col("label"), 0.5).otherwise(0.1).alias("gate"))
+    scale = spark.range(10 * DIM).select(F.floor(F.col("id") / DIM).cast("int").alias("expert"), (F.col("id") % DIM).alias("dim"), (F.floor(F.col("id") / DIM) + 1.0).alias("w"))
+    return rounded(executors.expert_parallel(cells(spark, d).toDF("token", "dim", "v"), gates, scale))
+
+
+# -- streams --------------------------------------------------------------------------------------------------------------------------
+
 
-def text_length_stats(spark, sf_dir):
-    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.agg(F.sum(n).alias("total_chars"), F.max(n).alias("max_length"), F.min(n).alias("min_length"), F.avg(n).alias("avg_length"))
+@query("SELECT worker_id, floor(epoch(min(ts)))::BIGINT AS first, floor(epoch(max(ts)))::BIGINT AS last, count(*) AS beats FROM (SELECT *, sum(fresh) OVER (PARTITION BY worker_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id % 8 AS worker_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY worker_id, g")
+def heartbeat_gaps(spark, d):
+    beats = load(spark, d, "events").select((F.col("user_id") % 8).alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"))
+    out = heartbeats.gaps(beats, timeout_s=600)
+    return out.select("worker_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "beats")
 
 
-QUERIES = {"text_length_stats": text_length_stats}
-ORACLES = {
-    "text_length_stats": "SELECT sum(coalesce(strlen(text), 0))::BIGINT AS total_chars, max(coalesce(strlen(text), 0))::BIGINT AS max_length, min(coalesce(strlen(text), 0))::BIGINT AS min_length, avg(coalesce(strlen(text), 0)) AS avg_length FROM documents"
-}
+@query("SELECT (floor(epoch(ts))::BIGINT // 3600 * 3600)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windowed(spark, d):
+    """The events as a stream of files, to the end, with hourly windows; the result is a row for each window and type."""
+    schema = load(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{abs(hash(d))}"
+    run = heartbeats.windowed(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("long").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
