@@ -120,7 +120,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     """The mixed corpus: each row of ``docs`` (doc_id, source, text) as often as the mix takes it, with its own columns.
 
     The text is read twice and never shuffled unless the table of sources is too large to broadcast. A null source is a source of its
-    own, last in order; null and empty texts have size 0 and follow their source's whole repetitions. Rows that repeat a doc_id within
+    own, last in order; null and empty texts have size 0 and are taken like others,
+    by their place in the order, and a source without words once. Rows that repeat a doc_id within
     a source are taken alike. An empty table gives an empty one. Columns of any other name pass through.
     """
     narrow = materialise(docs.select("doc_id", "source", word_count().alias("size"), draw_key(seed=seed).alias("key")), "mix-narrow")
