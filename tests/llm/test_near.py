@@ -219,7 +219,7 @@ def test_fingerprints(spark):
     assert got[got.doc_id.isin([0, 200])].fingerprint.nunique() == 1
     assert got.near_edited.between(0, 1).all() and got.near_next.between(0, 1).all()
     long = got[got.n_chars > 500]
-    assert (long.near_edited > 0.5).all() and (long.near_next[long.doc_id != 200] < 0.2).all()
+    assert (long.near_edited > 0.5).all() and (long.near_next[~long.doc_id.isin([0, 200])] < 0.2).all()  # after 0 comes 200, a copy
     assert fingerprints.fingerprint(frame.limit(0)).count() == 0
     alone = fingerprints.fingerprint(frame.where("doc_id = 5")).toPandas()
     assert len(alone) == 1 and alone.near_next[0] == 1
@@ -397,7 +397,7 @@ def test_pipeline(spark, tmp_path):
     want = plain_lines([(r.doc_id, r.text) for r in kept[1].orderBy("doc_id").collect()])
     assert {t for t in lines.values()} == {t for t in want.values() if t.strip()}
     assert sum(shared in t for t in lines.values()) == 1
-    assert ids[2] - ids[3] == {304}
+    assert ids[2] - ids[3] == {303, 304}  # both have the words of document 4
     taken = Counter(r.doc_id for r in kept[4].collect())
     assert max(taken.values()) <= 3
     words = kept[4].selectExpr("sum(size(regexp_extract_all(text, '[^ \\t-\\r]+', 0)))").first()[0]
