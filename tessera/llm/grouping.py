@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, materialise
 
 #: Entries that a task holds before it sends them, and rows of a batch that it returns.
-HELD, ROWS = 1 << 20, 1 << 16
+HELD, ROWS = 1 << 18, 1 << 16
 #: Bits of the filter over the items that have candidates.
 FILTER_BITS = 1 << 26
 SLICES = 64
@@ -20,70 +20,118 @@ SLICES = 64
 BLOCK = 512
 
 
-def candidate_groups(rows: DataFrame, entries: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]], hot: int | None = None) -> DataFrame:
-    """(kind, a, b): kind 0, item b belongs to the group that item a leads.
+def candidate_groups(rows: DataFrame, entries: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]]], hot: int | None = None, percent: int | None = None, shared: int = 1) -> DataFrame:
+    """(kind, a, b, n, need): kind 0, item b belongs to the group that item a leads.
 
     ``entries()`` makes a task's function from a batch of ``rows`` to arrays of keys (uint64) and the items (int64) that have them. The
     inverted index goes through the shuffle in packed pieces, each the entries of many items for one part of the keys. The items of a
     key join the group of the smallest, so a key with n items costs n rows, and any two items that share a key are in one group.
     With ``hot``, keys with more items than that make no groups but a row of kind 1, key a with b items.
+    With ``percent``, entries have a third array, the items' sizes (int32). An item can then only be linked with one of at least that part
+    of its size, so a key's items are cut into groups where the next smaller size is below that. With ``shared`` as well, groups of two
+    are rows of kind 2 instead: a and b share n of their keys (here), and are to share ``shared``, or the least overlap if that is less.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["part", "keys", "items", "sizes"][: 4 if percent else 3]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, keys, items, held = entries(), [], [], 0
+        make, arrays, held = entries(), [], 0
 
         def sent() -> pa.RecordBatch:
-            k, x = np.concatenate(keys), np.concatenate(items)
-            part = (k % np.uint64(parts)).astype(np.int32)
+            cols = [np.concatenate(x) for x in zip(*arrays, strict=True)]
+            part = (cols[0] % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            k, x, part = k[order], x[order], part[order]
+            part = part[order]
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
             pairs = list(zip(cut[:-1], cut[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *[pa.array([v[a:b].tobytes() for a, b in pairs], pa.binary()) for v in (k, x)]], names=["part", "keys", "items"])
+            packed = [pa.array([v[a:b].tobytes() for a, b in pairs], pa.binary()) for v in (x[order] for x in cols)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *packed], names=names)
 
         for batch in batches:
-            for k, x in make(batch):
-                keys.append(k)
-                items.append(x)
-                held += len(k)
+            for some in make(batch):
+                arrays.append(some)
+                held += len(some[0])
                 if held >= HELD:
                     yield sent()
-                    keys, items, held = [], [], 0
+                    arrays, held = [], 0
         if held:
             yield sent()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, items = [], []
+        held: list[list] = [[] for _ in names[1:]]
         for batch in batches:
-            keys += [np.frombuffer(v.as_py(), np.uint64) for v in batch.column(1)]
-            items += [np.frombuffer(v.as_py(), np.int64) for v in batch.column(2)]
-        if not keys:
+            for i, kind in enumerate((np.uint64, np.int64, np.int32)[: len(held)]):
+                held[i] += [np.frombuffer(v.as_py(), kind) for v in batch.column(i + 1)]
+        if not held[0]:
             return
-        k, x = np.concatenate(keys), np.concatenate(items)
-        keys.clear(), items.clear()
+        k, x, *n = (np.concatenate(v) for v in held)
+        held.clear()
         order = np.argsort(k, kind="stable")  # most keys occur once, and go before items are sorted
-        k, x = k[order], x[order]
+        k = k[order]
         same = k[1:] == k[:-1]
         keep = np.r_[same, False] | np.r_[False, same]
-        k, x = k[keep], x[keep]
+        k, x, n = k[keep], x[order][keep], [v[order][keep] for v in n]
         if not len(k):
             return
-        order = np.lexsort((x, k))
-        k, x = k[order], x[order]
+        order = np.lexsort((x, *n, k))
+        k, x, n = k[order], x[order], [v[order] for v in n]
         new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
-        k, x = k[new], x[new]
+        k, x, n = k[new], x[new], [v[new].astype(np.int64) for v in n]
         head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[head, len(k)])
         many = size > hot if hot else np.zeros(len(size), bool)
-        take = np.repeat((size > 1) & ~many, size)
-        pairs = np.unique(np.stack([np.repeat(x[head], size)[take], x[take]], 1), axis=0)
-        out = np.concatenate([pairs, np.stack([k[head][many].view(np.int64), size[many]], 1)])
-        kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(int(many.sum()), np.int32)]
+        hot_rows = np.stack([k[head][many].view(np.int64), size[many]], 1)
+        cool = np.repeat(~many, size)
+        k, x, n = k[cool], x[cool], [v[cool] for v in n]
+        apart = k[1:] != k[:-1]
+        if percent:
+            apart |= 100 * n[0][:-1] < percent * n[0][1:]
+        head = np.flatnonzero(np.r_[True, apart]) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[head, len(k)])
+        lead = np.repeat(np.minimum.reduceat(x, head), size) if len(k) else x
+        twos = np.zeros((0, 4), np.int64)
+        if percent and shared > 1:
+            at = head[size == 2]
+            need = np.minimum(shared, -(-percent * np.maximum(n[0][at], n[0][at + 1]) // 100)) if len(at) else at
+            two, count = np.unique(np.stack([np.minimum(x[at], x[at + 1]), np.maximum(x[at], x[at + 1]), need], 1), axis=0, return_counts=True)
+            twos = np.column_stack([two[:, :2], count, two[:, 2]])
+        take = np.repeat(size > (2 if len(twos) else 1), size)
+        pairs = np.unique(np.stack([lead[take], x[take]], 1), axis=0)
+        filled = lambda v: np.column_stack([v, np.zeros((len(v), 4 - v.shape[1]), np.int64)])
+        out = np.concatenate([filled(pairs), filled(hot_rows), twos])
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(pairs), len(hot_rows), len(twos)])
         for i in range(0, len(out), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(kind[i : i + ROWS]), pa.array(out[i : i + ROWS, 0]), pa.array(out[i : i + ROWS, 1])], names=["kind", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind[i : i + ROWS]), *[pa.array(out[i : i + ROWS, j]) for j in range(4)]], names=["kind", "a", "b", "n", "need"])
+
+    packed = rows.mapInArrow(post, ", ".join(f"{x} {'int' if x == 'part' else 'binary'}" for x in names))
+    return packed.repartition(parts, "part").mapInArrow(meet, "kind int, a long, b long, n long, need long")
+
+
+def leads(found: DataFrame) -> DataFrame:
+    """(lead, name) of candidate groups, those of two that share enough keys included."""
+    groups = found.where("kind = 0").select(F.col("a").alias("lead"), F.col("b").alias("name"))
+    twos = found.where("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need")
+    both = twos.select(F.col("a").alias("lead"), F.explode(F.array("a", "b")).alias("name"))
+    return groups.union(both).distinct()
+
+
+def hottest(found: DataFrame, most: int) -> np.ndarray:
+    """Keys of the rows of kind 1, sorted; the most frequent ones, all of equal frequency or none, and no more than ``most``."""
+    hot = found.where("kind = 1")
+    least, n = None, 0
+    for r in hot.groupBy("b").count().orderBy(F.col("b").desc()).collect():  # a row for each frequency
+        n += r["count"]
+        if n > most:
+            break
+        least = r["b"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+
+    def packed(rows: pa.Table) -> pa.Table:
+        return pa.table({"keys": pa.array([rows.column("a").to_numpy().tobytes()], pa.binary())})
 
-    return rows.mapInArrow(post, "part int, keys binary, items binary").repartition(parts, "part").mapInArrow(meet, "kind int, a long, b long")
+    rows = hot.where(F.col("b") >= least).groupBy(F.pmod("a", F.lit(SLICES)).alias("slice"), "a").count()
+    return np.sort(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows.groupBy("slice").applyInArrow(packed, "keys binary").collect()]))
 
 
 class Filter:
@@ -121,13 +169,14 @@ def blocks_met(members: DataFrame, bodies: DataFrame, links: Callable[[list[int]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for lead, block, name, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            bodies_ = batch.column(3)
+            for i, (lead, block, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 if (lead, block) != key:
                     found += links(names, held) if len(names) > 1 else []
                     key, names, held = (lead, block), [], []
                 if not names or names[-1] != name:
                     names.append(name)
-                    held.append(body)
+                    held.append(bodies_[i].as_py())
             if found:
                 yield told()
                 found = []

@@ -9,19 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialise, table
+from tessera.llm.common import materialise, table
+from tessera.llm.grouping import Filter, blocks_met, candidate_groups, connected, hottest, leads
 
 WORDS = 5
 #: Documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Bytes shingled at once, and index entries that a task holds before it sends them.
-CHUNK, HELD = 2 << 20, 1 << 20
-#: A token in the prefixes of more different sets than this comes last in the order of tokens; at most so many tokens do.
-HOT, HOT_TOKENS = 512, 500_000
-#: Sets that are verified together, and sets of a group in the token-group matrix.
-BLOCK, GROUP = 512, 16
-#: Bits of the filter over the sets that have candidates.
-FILTER_BITS = 1 << 26
+#: Bytes shingled at once.
+CHUNK = 1 << 19
+#: Tokens that two sets must share if no third set has them in its prefix: one may be chance.
+SHARED = 4
+#: A token in the prefixes of more different sets than this comes last in the order of tokens; at most so many tokens do (32 MB).
+HOT, HOT_TOKENS = 2, 4_000_000
+#: Sets of a group in the token-group matrix.
+GROUP = 16
 U = np.uint64
 
 
@@ -95,7 +96,7 @@ class Shingler:
 
     def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The sorted distinct shingles of each text; none for nulls and texts without words."""
-        texts = texts.fill_null("").cast(pa.large_binary())
+        texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
         starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         i = 0
@@ -119,8 +120,10 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def prefix(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
-    """The first tokens of the set, so many that two sets that link share one of them: hot tokens last, else by hash."""
-    p = len(s) - least_overlap(len(s), percent) + 1
+    """The first tokens of the set, so many that two sets that link share SHARED of them, or their least overlap if that is less: hot
+    tokens last, else by hash."""
+    least = least_overlap(len(s), percent)
+    p = len(s) - least + min(SHARED, least)
     if not len(hot):
         return s[:p]
     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -140,83 +143,29 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
                 names.append(name_of(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n", "name"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, name long")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, name long")
 
 
-def candidate_groups(docs: DataFrame, words: int, percent: int, hot: np.ndarray, first_pass: bool) -> DataFrame:
-    """(kind, a, b): kind 0, set b belongs to the group that set a leads; kind 1, token a is in b prefixes (first pass only).
+def prefix_groups(docs: DataFrame, words: int, percent: int, last: np.ndarray, hot: int | None) -> DataFrame:
+    """Candidate groups of the sets of ``docs`` (text) by the tokens of their prefixes, ``last`` being the tokens that come last."""
+    shared = docs.sparkSession.sparkContext.broadcast(last)  # at most HOT_TOKENS numbers
 
-    The inverted index over prefixes goes through the shuffle in packed pieces, each the entries of many texts for one part of the
-    tokens. A token's sets all join the group of the smallest of them: two sets that link share a token of their prefixes, so they meet
-    in the group of its leader, and a token with n sets costs n rows.
-    """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = spark.sparkContext.broadcast(hot)  # at most HOT_TOKENS numbers
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, tokens, names, held = Shingler(words), set(), [], [], 0
-
-        def sent() -> pa.RecordBatch:
-            t, x = np.concatenate(tokens), np.repeat(np.array([i for i, _ in names], np.int64), [c for _, c in names])
-            part = (t % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            t, x, part = t[order], x[order], part[order]
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            pairs = list(zip(cut[:-1], cut[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array([t[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary())], names=["part", "tokens", "names"])
+    def entries():
+        shingler, seen = Shingler(words), set()
 
-        for batch in batches:
+        def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
             for s in shingler.sets(batch.column(0)):
                 if not len(s) or (me := name_of(s)) in seen:
                     continue
-                seen.add(me)
                 if len(seen) > 1 << 20:
                     seen.clear()
-                tokens.append(prefix(s, percent, shared.value))
-                names.append((me, len(tokens[-1])))
-                held += len(tokens[-1])
-                if held >= HELD:
-                    yield sent()
-                    tokens, names, held = [], [], 0
-        if held:
-            yield sent()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, names = [], []
-        for batch in batches:
-            tokens += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
-            names += [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
-        if not tokens:
-            return
-        t, x = np.concatenate(tokens), np.concatenate(names)
-        tokens.clear(), names.clear()
-        # most tokens occur once and need no full sort
-        order = np.argsort(t, kind="stable")
-        t, x = t[order], x[order]
-        same = t[1:] == t[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
-        t, x = t[keep], x[keep]
-        order = np.lexsort((x, t))
-        t, x = t[order], x[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (x[1:] != x[:-1])] if len(t) else np.zeros(0, bool)
-        t, x = t[new], x[new]
-        head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[head, len(t)])
-        many = size > HOT
-        leads = np.repeat(x[head], size)
-        take = np.repeat(size > 1, size)
-        if first_pass:
-            take &= ~np.repeat(many, size)
-        pairs = np.unique(np.stack([leads[take], x[take]], 1), axis=0) if take.any() else np.zeros((0, 2), np.int64)
-        hot_ = np.stack([t[head][many].view(np.int64), size[many]], 1) if first_pass else np.zeros((0, 2), np.int64)
-        both = np.concatenate([pairs, hot_])
-        kind = np.r_[np.zeros(len(pairs), np.int32), np.ones(len(hot_), np.int32)]
-        for i in range(0, len(both), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(kind[i : i + (1 << 16)]), pa.array(both[i : i + (1 << 16), 0]), pa.array(both[i : i + (1 << 16), 1])], names=["kind", "a", "b"])
-
-    posted = docs.select("text").mapInArrow(post, "part int, tokens binary, names binary")
-    return posted.repartition(parts, "part").mapInArrow(meet, "kind int, a long, b long")
+                seen.add(me)
+                p = prefix(s, percent, shared.value)
+                yield p, np.full(len(p), me, np.int64), np.full(len(p), len(s), np.int32)
+
+        return make
+
+    return candidate_groups(docs.select(F.coalesce("text", F.lit("")).alias("text")), entries, hot, percent, SHARED)
 
 
 def links_within(names: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -265,68 +214,29 @@ def links_within(names: list[int], sets: list[np.ndarray], percent: int = PERCEN
     return found
 
 
-def verified_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links among sets of the same block; ``members`` is (lead, block, name)."""
-    spark = docs.sparkSession
-    bit = F.pmod("name", F.lit(FILTER_BITS))
-    width = FILTER_BITS // 64
-
-    def slice_of(table_: pa.Table) -> pa.Table:
-        bits = np.zeros(width, bool)
-        bits[table_.column("bit").to_numpy() % width] = True
-        return pa.table({"slice": pa.array([table_.column("slice")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+def set_bodies(docs: DataFrame, wanted: Filter, words: int) -> DataFrame:
+    """(name, body) of the sets that ``wanted`` may hold; a set once for each task that meets it, or more."""
 
-    slices = members.select(bit.alias("bit")).distinct().withColumn("slice", F.floor(F.col("bit") / width)).groupBy("slice").applyInArrow(slice_of, "slice long, bits binary").collect()
-    packed = np.zeros((64, width // 8), np.uint8)
-    for r in slices:
-        packed[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(packed.ravel())  # FILTER_BITS, whatever the input
-
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, wanted = Shingler(words), set(), shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(words), set()
+        names, sets, size = [], [], 0
         for batch in batches:
-            names, sets, size = [], [], 0
             for s in shingler.sets(batch.column(0)):
-                if not len(s) or (me := name_of(s)) in seen:
+                if not len(s) or (me := name_of(s)) in seen or not wanted.may_hold(me):
                     continue
-                b = me % FILTER_BITS
-                if wanted[b >> 3] >> (7 - (b & 7)) & 1:
-                    seen.add(me)
-                    names.append(me)
-                    sets.append(s.tobytes())
-                    size += len(sets[-1])
-                if size > CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "tokens"])
-                    names, sets, size = [], [], 0
                 if len(seen) > 1 << 20:
                     seen.clear()
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "tokens"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sets = None, [], []
-
-        def told() -> list[tuple[int, int]]:
-            return links_within(names, sets, percent) if len(names) > 1 else []
+                seen.add(me)
+                names.append(me)
+                sets.append(s.tobytes())
+                size += len(sets[-1])
+                if size > CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "body"])
+                    names, sets, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "body"])
 
-        for batch in batches:
-            out = []
-            for lead, block, name, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if (lead, block) != key:
-                    out += told()
-                    key, names, sets = (lead, block), [], []
-                if not names or names[-1] != name:
-                    names.append(name)
-                    sets.append(np.frombuffer(tokens.as_py(), np.uint64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        if out := told():
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    sets = docs.select("text").mapInArrow(blobs, "name long, tokens binary")
-    # copies of a set that several tasks send fall together in verify, where the rows of a block are in order of name
-    met = members.join(sets, "name").select("lead", "block", "name", "tokens")
-    return met.repartition("lead", "block").sortWithinPartitions("lead", "block", "name").mapInArrow(verify, "a long, b long")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "name long, body binary")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -337,41 +247,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows share a component; it is named by its smallest doc_id. A null doc_id never names a component unless all its ids are null.
 
     1. Each text becomes a set; equal sets are one from here on. 2. Sets that share a token of their prefixes (the tokens of which any
-    partner has at least one) join the group of that token's smallest set. Tokens that occur in many prefixes are put last in a second
+    partner has some) join the group of that token's smallest set; two sets that only the two of them share tokens with must share several,
+    which the prefixes are long enough for, so that chance doesn't pair them. Tokens that occur in many prefixes are put last in a second
     pass, so that widely shared passages don't gather unrelated texts. 3. Groups are verified in blocks of bounded size with token-group
     matrices. Of a group of several blocks, each block also holds the leader; what isn't connected with it after that is then held
     against every block. 4. Components of the links.
     """
-    spark = docs.sparkSession
     sets = materialise(set_table(docs, words), "jaccard-sets")
-    found = materialise(candidate_groups(docs, words, percent, np.zeros(0, np.uint64), True), "jaccard-groups")
-    hot = found.where("kind = 1").orderBy(F.col("b").desc(), "a").limit(HOT_TOKENS).select("a").collect()
-    if hot:
-        ordered = np.sort(np.array([r["a"] for r in hot], np.int64).view(np.uint64))
-        found = materialise(candidate_groups(docs, words, percent, ordered, False), "jaccard-groups")
-    groups = found.where("kind = 0").select(F.col("a").alias("lead"), F.col("b").alias("name")).distinct()
-    sizes = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("m"))
-    groups = materialise(groups.join(sizes, "lead").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "jaccard-members")
-    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    members = groups.select("lead", "name", F.explode(F.when((F.col("name") == F.col("lead")) & (F.col("blocks") > 1), everywhere).otherwise(F.array(own))).alias("block"))
-    links = materialise(verified_links(docs, members, words, percent), "jaccard-links")
-    large = groups.where("blocks > 1")
-    if not large.isEmpty():
-        roots = components(links)
-        named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        placed = large.join(named("name"), "name", "left").join(named("lead"), "lead", "left")
-        placed = placed.withColumn("odd", F.coalesce("name_root", "name") != F.coalesce("lead_root", "lead"))
-        odd = placed.where("odd").groupBy("lead").agg(F.count(F.lit(1)).alias("n_odd"))
-        placed = materialise(placed.join(odd, "lead").withColumn("chunks", F.ceil(F.col("n_odd") / BLOCK).cast("int")), "jaccard-odd")
-        if not placed.isEmpty():
-            # block b of the group with chunk c of the odd ones is number b * chunks + c
-            chunk = F.pmod(F.xxhash64("name", F.lit(1)), F.col("chunks")).cast("int")
-            as_member = placed.select("lead", "name", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: own * F.col("chunks") + c)).alias("block"))
-            as_odd = placed.where("odd").select("lead", "name", F.explode(F.transform(everywhere, lambda b: b * F.col("chunks") + chunk)).alias("block"))
-            more = materialise(verified_links(docs, as_member.union(as_odd).distinct(), words, percent), "jaccard-more-links")
-            links = links.union(more)
-    roots = components(links)
+    found = materialise(prefix_groups(docs, words, percent, np.zeros(0, np.uint64), HOT), "jaccard-groups")
+    last = hottest(found, HOT_TOKENS)
+    if not found.where("kind = 1").isEmpty():
+        found = materialise(prefix_groups(docs, words, percent, last, None), "jaccard-groups")
+    groups = materialise(leads(found), "jaccard-leads")
+    bodies = set_bodies(docs, Filter(groups.select("name")), words)
+    compare = lambda names, held: links_within(names, [np.frombuffer(x, np.uint64) for x in held], percent)
+    roots = connected(groups, lambda members: blocks_met(members, bodies, compare), "jaccard")
     classes = sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least")).join(roots, F.col("name") == F.col("node"), "left")
     classes = classes.select("name", "least", F.coalesce("root", "name").alias("root"))
     labels = classes.groupBy("root").agg(F.min("least").alias("component_id")).join(classes.select("root", "name"), "root").select(F.col("name").alias("_name"), "component_id")

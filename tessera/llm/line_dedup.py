@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, table
-from tessera.llm.grouping import Filter, blocks_met, candidate_groups, connected
+from tessera.llm.grouping import Filter, blocks_met, candidate_groups, connected, leads
 
 #: Lines at most so many edits (of code points) apart are near-equal.
 EDITS = 2
 #: Code points of a line that takes part; shorter ones stay as they are.
 SHORTEST = 24
 #: Code points taken at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bins of the character histograms that bound the distance before it is computed.
 BINS = 64
 U = np.uint64
@@ -203,7 +203,7 @@ def near_classes(rows: DataFrame, edits: int = EDITS) -> DataFrame:
 
         return make
 
-    groups = materialise(candidate_groups(rows, entries).select(F.col("a").alias("lead"), F.col("b").alias("name")).distinct(), "lines-groups")
+    groups = materialise(leads(candidate_groups(rows, entries)), "lines-groups")
     wanted = Filter(groups.select("name"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
