@@ -29,18 +29,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> U(31)
 
 
-def segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """Start and size of ``edits`` + 1 segments of a line; the last ones take what doesn't divide."""
-    k = edits + 1
-    size, extra = divmod(length, k)
-    out, at = [], 0
-    for i in range(k):
-        n = size + (i >= k - extra)
-        out.append((at, n))
-        at += n
-    return out
-
-
 def shifts(i: int, longer: int, edits: int) -> range:
     """Where segment i of a line can lie in one that is ``longer`` by so many, if no earlier segment of it is found in place: edits left
     of it move it by no more than there can be, and so do those right of it."""
@@ -266,7 +254,7 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("numbers").alias("_gone"))
     both = docs.withColumn("_hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_tie")), "left")
-    both = both.withColumn("n_lines", F.when(F.length("text") > 0, F.length(F.regexp_replace("text", "[^\n]", "")) + 1).otherwise(0).cast("long"))
+    both = both.withColumn("n_lines", F.when(F.octet_length("text") > 0, F.regexp_count("text", F.lit("\n")) + 1).otherwise(0).cast("long"))
     both = both.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     return both.withColumn("text", without("text", "_gone")).drop("_hash", "_doc", "_tie", "_gone")
 
