@@ -177,7 +177,7 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     own = F.struct(part.alias("part"), F.lit(False).alias("guest"))
     also = F.when(at.isNotNull(), F.array(own, F.struct(at.cast("int").alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(own))
     rows = docs.select("doc_id", "text", F.explode(also).alias("x")).select("doc_id", "text", "x.part", "x.guest")
-    return rows.repartition(max(1, len(tops)), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    return rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
