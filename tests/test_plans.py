@@ -1,6 +1,7 @@
 """Shard plans, collectives, balancing, executors, the character model and streams."""
 
 import math
+import time
 
 import pandas as pd
 import pytest
@@ -156,6 +157,9 @@ def test_sampling(spark):
 def test_monitor_stream(spark, tmp_path):
     pd.DataFrame({"worker_id": [1, 1, 2], "at": [1, 2, 1], "load": [10.0, 20.0, 5.0]}).to_parquet(tmp_path / "a.parquet")
     beats = spark.readStream.schema("worker_id long, at long, load double").parquet(str(tmp_path))
-    run = heartbeats.monitor(beats).writeStream.format("memory").queryName("monitored").trigger(availableNow=True).start()
-    run.awaitTermination()
+    run = heartbeats.monitor(beats).writeStream.format("memory").queryName("monitored").start()
+    until = time.time() + 60
+    while time.time() < until and spark.table("monitored").count() < 2:
+        time.sleep(0.5)
+    run.stop()
     assert rows(spark.table("monitored"), "worker_id") == [(1, 13.0, True), (2, 5.0, True)]
