@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, small_batches, table
 from tessera.llm.grouping import Filter, blocks_met, candidate_groups, connected, hottest, leads
 
 WORDS = 5
 #: Documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bytes shingled at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Tokens that two sets must share if no third set has them in its prefix: one may be chance.
 SHARED = 4
 #: A token in the prefixes of more different sets than this comes last in the order of tokens; at most so many tokens do (32 MB).
@@ -253,6 +253,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     matrices. Of a group of several blocks, each block also holds the leader; what isn't connected with it after that is then held
     against every block. 4. Components of the links.
     """
+    small_batches(docs.sparkSession)
     sets = materialise(set_table(docs, words), "jaccard-sets")
     found = materialise(prefix_groups(docs, words, percent, np.zeros(0, np.uint64), HOT), "jaccard-groups")
     last = hottest(found, HOT_TOKENS)

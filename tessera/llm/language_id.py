@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table
 
 #: Bytes of context at most; a longer one is tried first and escapes to shorter ones.
 ORDER = 3
 #: The training sample: documents of each language, documents in all, and bytes of a document that may be sampled.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_BYTES = 200, 6400, 20_000
 #: Bytes scored at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 #: Documents whose language is less likely than this, given the texts' code lengths, are rejected by the filter.
 SURE = 0.5
 UNKNOWN = "und"
@@ -144,6 +144,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     lengths of the whole text under equal priors. A null text, a text without letters, and every text if nothing could be learned, get
     ``und`` and score 0. Equal code lengths go to the language first by name. Columns named ``language`` in the input are replaced.
     """
+    small_batches(docs.sparkSession)
     texts = training_sample(docs if labelled is None else labelled)
     model = docs.sparkSession.sparkContext.broadcast(ContextTrees(texts) if texts else None)  # bounded by the sample
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, small_batches, table
 from tessera.llm.grouping import Filter, blocks_met, candidate_groups, connected, leads
 
 #: Lines at most so many edits (of code points) apart are near-equal.
@@ -239,6 +239,7 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     Any two near-equal lines share a segment: cut into ``edits`` + 1 segments, one survives. Lines whose pieces can be such a segment, by
     length and place, meet and are verified. A line that is repeated, however often, is one entry.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     gone = removals(rows, edits)
 
