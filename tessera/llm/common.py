@@ -34,15 +34,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a Python worker gets at once; with texts of some KB, a few MB on either side.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that a Python worker gets at once; long texts fill a batch before it has all its rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Has whole texts go to Python in batches of at most BATCH_ROWS rows; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Has whole texts go to Python in batches of at most BATCH_ROWS rows and some BATCH_BYTES bytes; smaller plain numbers stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def utf8(text: str | Column) -> Column:
