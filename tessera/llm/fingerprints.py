@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, table
+from tessera.llm.grouping import blocks_met, candidate_groups, connected, leads
 
 #: Characters after which a walk starts anew, and its steps; a step goes on by one character with probability a half.
 BLOCK, STEPS = 1024, 2048
@@ -181,7 +182,8 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per document of ``docs`` (doc_id, text): doc_id, n_chars, text_sha256, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next.
 
     The edited text has the last third of the code points replaced by the first as many of the next document, downwards by doc_id (after
     the last: the first). A null text counts as empty; an empty text has a fingerprint of zeros, which is like another such one in full.
@@ -201,6 +203,7 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
             return pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([held[i][0] for i in pick], pa.int64()),
                 "n_chars": pa.array([len(held[i][1]) for i in pick], pa.int64()),
+                "text_sha256": pa.array([hashlib.sha256(held[i][1].encode()).hexdigest() for i in pick], pa.string()),
                 "edited_sha256": pa.array([hashlib.sha256(edited[i].encode()).hexdigest() for i in pick], pa.string()),
                 "fingerprint": pa.array(_hex(prints[pick]), pa.string()),
                 "edited_fingerprint": pa.array(_hex(changed[pick]), pa.string()),
@@ -220,29 +223,58 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
         if len(held) > 1:
             yield told(held)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(run, "doc_id long, n_chars long, text_sha256 string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_documents(prints: DataFrame, least: float = 0.75, band: int = 4) -> DataFrame:
-    """Likely near copies among ``prints`` (doc_id, fingerprint): (a, b, likeness), a < b.
+def near_links(names: list[int], prints: list[str], least: float) -> list[tuple[int, int]]:
+    """Links that connect all of a block whose ``likeness`` is at least ``least``, directly or through others."""
+    cells = np.frombuffer(bytes.fromhex("".join(prints)), ">u2").reshape(len(prints), SAMPLES)
+    root = np.arange(len(prints))
+    found = []
+    for q in range(len(prints) - 1):
+        rest = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
+        for x in rest[likeness(cells[rest], cells[q]) >= least]:
+            if root[x] != root[q]:
+                found.append((names[q], names[x]))
+                root[root == root[x]] = root[q]
+    return found
+
+
+def near_texts(prints: DataFrame, least: float = 0.75, band: int = 4) -> DataFrame:
+    """(text_sha256, doc_id, near_root) of the different texts of ``prints`` (doc_id, text_sha256, fingerprint).
 
-    Equal fingerprints are taken as one. Those that agree in a band of ``band`` samples are held against the band's first, so that a group
-    of n costs n pairs, not its square; ``likeness`` of the whole fingerprints then decides.
+    doc_id is the smallest that has the text, near_root the smallest of its class: texts whose fingerprints' ``likeness`` is at least
+    ``least``, directly or through others. Those that agree in a band of ``band`` samples meet; what isn't connected with the first of
+    them is held against all others, in blocks, so that a group of n that are alike costs n pairs, not its square.
     """
-    one = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "prints")
-    width = 4 * band
-    bands = one.select("doc_id", "fingerprint", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES // band - 1)), lambda i: F.substring("fingerprint", i * width + 1, F.lit(width)))).alias("n", "band"))
-    bands = bands.where(F.col("band") != "0" * width)
-    first = bands.groupBy("n", "band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = bands.join(first, ["n", "band"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    left = one.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa"))
-    right = one.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb"))
-    cell = lambda f, i: F.substring(f, i * 4 + 1, F.lit(4))
-    cells = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
-    same = F.size(F.filter(cells, lambda i: (cell("fa", i) == cell("fb", i)) & (cell("fa", i) != "0000")))
-    either = F.size(F.filter(cells, lambda i: (cell("fa", i) != "0000") | (cell("fb", i) != "0000")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (same / either).alias("likeness")).where(F.col("likeness") >= least)
+    one = materialise(prints.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint")).withColumn("name", F.xxhash64("text_sha256")), "prints")
+
+    def entries() -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]:
+        def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            names = batch.column(0).to_numpy()
+            cells = np.frombuffer(bytes.fromhex("".join(batch.column(1).to_pylist())), ">u2").reshape(len(names), SAMPLES).astype(np.uint64)
+            for i in range(0, SAMPLES, band):
+                some = cells[:, i : i + band].any(1)
+                key = np.full(int(some.sum()), i, np.uint64)
+                for j in range(i, min(i + band, SAMPLES)):
+                    key = _mix(key ^ cells[some, j])
+                yield key, names[some]
+
+        return make
+
+    groups = materialise(leads(candidate_groups(one.select("name", "fingerprint"), entries)), "prints-groups")
+    bodies = one.select("name", F.col("fingerprint").alias("body"))
+    classes = connected(groups, lambda members: blocks_met(members, bodies, lambda n, b: near_links(n, b, least)), "prints")
+    placed = materialise(one.join(classes, F.col("name") == F.col("node"), "left").select("text_sha256", "doc_id", "root"), "prints-classes")
+    roots = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("near_root"))
+    return placed.join(roots, "root", "left").select("text_sha256", "doc_id", F.coalesce("near_root", "doc_id").alias("near_root"))
+
+
+def near_documents(prints: DataFrame, least: float = 0.75, band: int = 4) -> DataFrame:
+    """(a, b): of each class of ``near_texts`` the smallest doc_id with each other text's."""
+    return near_texts(prints, least, band).where("near_root <> doc_id").select(F.col("near_root").alias("a"), F.col("doc_id").alias("b"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    prints = materialise(fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
+    return prints.join(near_texts(prints).select("text_sha256", "near_root"), "text_sha256").select(*prints.columns, "near_root")

@@ -254,6 +254,25 @@ def test_likely_copies(spark):
     assert [(r.a, r.b) for r in fingerprints.near_documents(prints).collect()] == [(0, 2)]
 
 
+def test_near_texts(spark):
+    cells = np.random.default_rng(4).integers(1, 1 << 16, (5, fingerprints.SAMPLES)).astype(np.uint16)
+    cells[1, :32] = cells[0, :32]  # 1 and 2 are as one but for a sample, and share bands with 0 only where that does
+    cells[2, :32] = cells[0, :32]
+    cells[2, 32:] = np.where(np.arange(32) % 4 == 0, cells[2, 32:], cells[1, 32:])
+    cells[3, 4:] = cells[4, 4:]
+    hexed = fingerprints._hex(cells)
+    rows = [(i, f"text {i}", x) for i, x in enumerate(hexed)] + [(10, "text 4", hexed[4]), (11, "another text", hexed[4])]
+    got = fingerprints.near_texts(spark.createDataFrame(rows, "doc_id long, text_sha256 string, fingerprint string"))
+    assert {r.doc_id: r.near_root for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 11: 3}
+
+
+def test_op8_has_classes(spark, tmp_path):
+    rng = random.Random(9)
+    base, other = prose(rng, "xx", 800), prose(rng, "yy", 800)
+    docs(spark, [(i, t, "xx", "s") for i, t in enumerate([base, base, base[:2000] + "#" + base[2001:], other, None, ""])]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.near_root for r in fingerprints.op8(spark, str(tmp_path)).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
 # -- language ID ----------------------------------------------------------------------------------------------------------------------
 
 
