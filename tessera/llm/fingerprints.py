@@ -13,34 +13,40 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise, table
 from tessera.llm.grouping import blocks_met, candidate_groups, connected, leads
 
-#: Characters after which a walk starts anew, and its steps; a step goes on by one character with probability a half.
-BLOCK, STEPS = 1024, 2048
+#: Steps for which random bits are drawn at once; a step goes on by one character with probability a half.
+STEPS = 2048
+#: Walks from which on they take a step together; fewer go one by one.
+TOGETHER = 64
 #: Samples of a fingerprint, and consecutive outputs in each.
 SAMPLES, RUN = 64, 16
 #: Characters embedded at once.
-CHUNK = 3 << 20
+CHUNK = 6 << 20
 SEED = 20
 
 
 class Embedding:
-    """Shared random walks over characters.
+    """A shared random walk over the characters of each text.
 
-    A walk starts at every BLOCK-th character. At step j it puts out its character c and goes on by one if the random bit of (j, c) says
-    so, else it stays. All walks share these bits, so two texts that are an edit apart fall into step again soon after it, and their
-    edit distance shows as a Hamming distance of their outputs. Starting anew at fixed places leaves that as it is for replaced
-    characters, adds at most twice the shift for inserted ones, and lets thousands of walks take each step together.
+    The walk starts at the text's first character. At step j it puts out its character c and goes on by one if the random bit of (j, c)
+    says so, else it stays; it takes two steps a character. All texts share these bits, so two that are an edit apart fall into step again
+    soon after it and stay so, and their edit distance shows as a Hamming distance of their outputs. The walks of many texts take each
+    step together.
 
     A fingerprint samples SAMPLES runs of RUN outputs. Which runs does not depend on the text, only on how many there are: every run has
     a random bin and rank, and of each bin the run of lowest rank is sampled, so texts of different length mostly sample the same places.
     """
 
     def __init__(self, seed: int = SEED):
-        rng = np.random.Generator(np.random.Philox(seed))
-        self.goes = rng.integers(0, 2, (STEPS, 256), dtype=np.int64)
-        self.goes[:, 0] = 0  # the end of a text
         self.seed, self.known = seed, 0
         self._plan(1 << 16)
 
+    def goes(self, part: int) -> np.ndarray:
+        """The random bits (STEPS, 256) of the steps from ``part`` * STEPS on."""
+        raw = np.random.Generator(np.random.Philox(key=[self.seed, part])).bytes(STEPS * 32)
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(STEPS, 256)
+        bits[:, 0] = 0  # the end of a text
+        return bits
+
     def _plan(self, runs: int) -> None:
         """The sampled run of every bin, for any number of runs up to ``runs``."""
         r = np.arange(runs, dtype=np.uint64)
@@ -58,33 +64,58 @@ class Embedding:
             self.chosen[i + 1, b] = x
         self.known = runs
 
-    def walks(self, flat: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        """Outputs (STEPS + RUN, walks) of the walks from ``starts`` in ``flat``, where each text ends with a 0; 0 after a walk's end."""
+    def walks(self, flat: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+        """Outputs of the walks from ``starts`` in ``flat``, where each text ends with a 0, and place(walk, step), which is where one lies.
+
+        The outputs of a step lie side by side, longest walk first, and a walk that has ended takes no room.
+        """
         order = np.argsort(-steps, kind="stable")
-        out = np.zeros((STEPS + RUN, len(starts)), np.uint8)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ends = steps[order][::-1]
+        before = np.r_[0, np.cumsum(ends)]
+
+        def base(j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Outputs before step j, and walks that take it."""
+            gone = np.searchsorted(ends, j, "right")
+            return before[gone] + j * (len(ends) - gone), len(ends) - gone
+
+        out = np.zeros(before[-1], np.uint8)
         at = starts[order].astype(np.int64)
-        live = len(order) - np.searchsorted(steps[order][::-1], np.arange(STEPS), "right")
-        sym, go = np.empty(len(at), np.uint8), np.empty(len(at), np.int64)
-        for j in range(int(steps.max(initial=0))):
-            n = live[j]
-            np.take(flat, at[:n], out=sym[:n], mode="clip")
-            out[j, :n] = sym[:n]
-            np.take(self.goes[j], sym[:n], out=go[:n], mode="clip")
-            at[:n] += go[:n]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return out[:, back]
-
-    def prints(self, out: np.ndarray, walk: np.ndarray, n_out: np.ndarray) -> np.ndarray:
-        """(texts, SAMPLES) uint16, 0 for a bin without runs. walk(text, block numbers) gives the columns of ``out``."""
+        go = np.empty(len(at), np.uint8)
+        for part in range(-(-int(steps.max(initial=0)) // STEPS)):
+            bits = self.goes(part)
+            first, live = base(np.arange(part * STEPS, (part + 1) * STEPS))
+            if live[0] >= TOGETHER:
+                for goes, a, n in zip(bits, first.tolist(), live.tolist(), strict=True):
+                    sym, here, step = out[a : a + n], at[:n], go[:n]
+                    np.take(flat, here, out=sym, mode="clip")
+                    np.take(goes, sym, out=step, mode="clip")
+                    here += step
+                continue
+            plain = bits.tobytes()
+            for i in range(live[0]):
+                m = int(np.searchsorted(-live, -i, "left"))  # steps that more than i walks take
+                x, k, got = flat[at[i] : at[i] + m + 1].tobytes(), 0, bytearray(m)
+                for j in range(m):
+                    got[j] = c = x[k]
+                    k += plain[j << 8 | c]
+                at[i] += k
+                out[first[:m] + i] = np.frombuffer(got, np.uint8)
+        return out, lambda walk, step: base(step)[0] + rank[walk]
+
+    def prints(self, out: np.ndarray, place: Callable[[np.ndarray, np.ndarray], np.ndarray], n_out: np.ndarray) -> np.ndarray:
+        """(texts, SAMPLES) uint16, 0 for a bin without runs. What a last run lacks counts as 0."""
         runs = -(-n_out // RUN)
         if runs.max(initial=0) > self.known:
             self._plan(1 << int(runs.max()).bit_length())
         run = self.chosen[np.searchsorted(self.at, runs, "left")]
-        first = np.maximum(run, 0) * RUN
-        block, row = first // STEPS, first % STEPS
-        got = out[row[:, :, None] + np.arange(RUN), walk(np.arange(len(n_out))[:, None], block)[:, :, None]]
-        words = np.ascontiguousarray(got).view(np.uint64)
+        step = np.maximum(run, 0)[:, :, None] * RUN + np.arange(RUN)
+        there = step < n_out[:, None, None]
+        text = np.broadcast_to(np.arange(len(n_out))[:, None, None], step.shape)
+        got = np.zeros(step.shape, np.uint8)
+        got[there] = out[place(text[there], step[there])]
+        words = got.view(np.uint64)
         h = _mix(words[..., 0] ^ _mix(words[..., 1] + np.uint64(0x9E3779B97F4A7C15)))
         return np.where(run < 0, 0, h % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
@@ -110,48 +141,22 @@ def _hex(prints: np.ndarray) -> list[str]:
     return [x.astype(">u2").tobytes().hex() for x in prints]
 
 
-def embed(texts: list[str], model: Embedding, firsts: list[int] | None = None, base: tuple | None = None) -> tuple[np.ndarray, tuple]:
-    """Fingerprints of ``texts`` and what is needed to fingerprint edits of them.
-
-    With ``firsts`` and ``base``, the walks of text i before block firsts[i] are those of base's text i.
-    """
-    firsts = firsts or [0] * len(texts)
-    n = np.array([len(t) for t in texts], np.int64)
-    skip = np.array(firsts, np.int64)
-    rest = [symbols(t[f * BLOCK :]) for t, f in zip(texts, firsts, strict=True)]
-    sizes = np.array([len(x) for x in rest], np.int64)
-    flat = np.concatenate([p for x in rest for p in (x, np.zeros(1, np.uint8))]) if rest else np.zeros(1, np.uint8)
-    offset = np.r_[0, np.cumsum(sizes + 1)][:-1]
-    blocks = -(-sizes // BLOCK)
-    lane0 = np.r_[0, np.cumsum(blocks)]
-    text = np.repeat(np.arange(len(texts)), blocks)
-    block = np.arange(len(text)) - lane0[text]
-    out = model.walks(flat, offset[text] + block * BLOCK, np.minimum(STEPS, 2 * (sizes[text] - block * BLOCK)))
-    lane0 = lane0[:-1]
-    if base is None:
-        walk = lambda i, b: lane0[i] + b
-    else:
-        old, old_lane0 = base
-        shift = old.shape[1]
-        out = np.concatenate([old, out], 1)
-        walk = lambda i, b: np.where(b < skip[i], old_lane0[i] + b, shift + lane0[i] + b - skip[i])
-    if out.shape[1] == 0:
-        out = np.zeros((STEPS + RUN, 1), np.uint8)
-    safe = lambda i, b: np.minimum(walk(i, b), out.shape[1] - 1)  # noqa: E731  of bins without runs, whose output isn't used
-    return model.prints(out, safe, 2 * n), (out, lane0)
+def embed(texts: list[str], model: Embedding) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of ``texts``, and the outputs of each's walk."""
+    coded = [symbols(t) for t in texts]
+    sizes = np.array([len(x) for x in coded], np.int64)
+    flat = np.concatenate([p for x in coded for p in (x, np.zeros(1, np.uint8))]) if coded else np.zeros(1, np.uint8)
+    out, place = model.walks(flat, np.r_[0, np.cumsum(sizes + 1)][:-1], 2 * sizes)
+    return model.prints(out, place, 2 * sizes), 2 * sizes
 
 
 def fingerprint_pairs(texts: list[str], model: Embedding) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Of each text but the last, with the one after it: the edited text; prints of all texts and of the edited ones."""
-    prints, (out, lane0) = embed(texts, model)
-    edited, firsts = [], []
+    edited = []
     for t, after in zip(texts, texts[1:], strict=False):
         q = len(t) // 3
         edited.append(t[: len(t) - q] + after[:q])
-        # a walk reads STEPS characters at most, so those that end before the edit stay as they are
-        firsts.append(max(0, (len(t) - q - STEPS) // BLOCK + 1))
-    changed, _ = embed(edited, model, firsts, (out, lane0[: len(edited)]))
-    return edited, prints, changed
+    return edited, embed(texts, model)[0], embed(edited, model)[0]
 
 
 def neighbours(docs: DataFrame, parts: int) -> DataFrame:

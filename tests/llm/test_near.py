@@ -246,6 +246,41 @@ def test_small_edits_stay_near():
     assert fingerprints.likeness(a, b) < 0.1
 
 
+def plain_walk(text, model):
+    """Outputs step by step, with one walk over the whole text."""
+    x, at, out = fingerprints.symbols(text).tolist() + [0], 0, []
+    for j in range(2 * len(text)):
+        out.append(x[at])
+        at += int(model.goes(j // fingerprints.STEPS)[j % fingerprints.STEPS, x[at]])
+    return out
+
+
+@pytest.mark.parametrize("together", [1, 3, 64])
+def test_one_walk_over_the_whole_text(monkeypatch, together):
+    monkeypatch.setattr(fingerprints, "TOGETHER", together)
+    rng = random.Random(6)
+    model = fingerprints.Embedding()
+    kept = {p: model.goes(p) for p in range(8)}
+    model.goes = kept.__getitem__
+    texts = [prose(rng, "xx", n) for n in (1, 300, 900, 1100, 3)] + ["", "a"]
+    coded = [fingerprints.symbols(t) for t in texts]
+    flat = np.concatenate([p for x in coded for p in (x, np.zeros(1, np.uint8))])
+    sizes = np.array([len(x) for x in coded])
+    out, place = model.walks(flat, np.r_[0, np.cumsum(sizes + 1)][:-1], 2 * sizes)
+    for i, t in enumerate(texts):
+        steps = np.arange(2 * len(t))
+        assert out[place(np.full(len(steps), i), steps)].tolist() == plain_walk(t, model)
+
+
+@pytest.mark.parametrize("inserted,least", [(4, 0.9), (10, 0.75), (30, 0.25)])
+def test_early_insertions_stay_near(inserted, least):
+    rng = random.Random(8)
+    model = fingerprints.Embedding()
+    texts = [prose(rng, "yy", 1500) for _ in range(24)]
+    near = fingerprints.likeness(*[fingerprints.embed(x, model)[0] for x in (texts, [t[:200] + prose(rng, "yy", inserted)[:inserted] + t[200:] for t in texts])])
+    assert near.mean() > least
+
+
 def test_likely_copies(spark):
     rng = random.Random(9)
     base = prose(rng, "xx", 800)
