@@ -77,6 +77,11 @@ def numbered(df: DataFrame, order: list[str], tag: str = "numbered") -> tuple[Da
     return out.withColumn("row_no", F.col("_start") + place).drop("_part", "_start", "_at"), n
 
 
+def edge_state(u: str, v: str) -> list[Column]:
+    """Aggregates that tell one set of edges from another, whatever their number: a count and an exclusive or can't overflow."""
+    return [F.count(F.lit(1)), F.bit_xor(F.xxhash64(u, v)), F.bit_xor(F.xxhash64(v, u, F.lit(1)))]
+
+
 def components(edges: DataFrame, nodes_tag: str = "components", max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b long): (node, root), root being the smallest node of the component.
 
@@ -101,7 +106,7 @@ def components(edges: DataFrame, nodes_tag: str = "components", max_rounds: int
             .distinct()
         )
         e = materialise(small, nodes_tag)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+        now = e.agg(*edge_state("u", "v")).first()
         if tuple(now) == seen:
             break
         seen = tuple(now)

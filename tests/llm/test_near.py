@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import common, fingerprints, grouping, jaccard_join, language_id, line_dedup, url_filter
@@ -54,6 +55,16 @@ def test_components(spark):
 # -- Jaccard join ---------------------------------------------------------------------------------------------------------------------
 
 
+def test_edges_of_any_number_have_a_state(spark):
+    """20 million edges, beyond which a sum of 40-bit hashes is more than a long."""
+    edges = spark.range(20_000_000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("long").alias("v"))
+    state = edges.agg(*common.edge_state("u", "v")).first()
+    assert state[0] == 20_000_000
+    assert tuple(edges.where("u <> 5").agg(*common.edge_state("u", "v")).first()) != tuple(state)
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        edges.agg(F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+
+
 def plain_sets(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
