@@ -14,7 +14,7 @@ from tessera.llm.grouping import Filter, blocks_met, candidate_groups, connected
 
 #: Lines at most so many edits (of code points) apart are near-equal.
 EDITS = 2
-#: Code points of a line that takes part; shorter ones stay as they are.
+#: Code points of a line that near-equal ones are sought for; shorter ones repeat exactly or not at all.
 SHORTEST = 24
 #: Code points taken at once.
 CHUNK = 1 << 18
@@ -45,8 +45,8 @@ class Lines:
         self.inverses = [U(pow(int(b), -1, 1 << 64)) for b in self.bases]
         self.powers: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def take(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, number in the text, start and size of each line long enough."""
+    def take(self, texts: list[str], short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, number in the text, start and size of each line long enough; with ``short``, of shorter ones too that aren't blank."""
         flat = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
         ends = np.flatnonzero(flat == 10)
         starts = np.r_[0, ends[:-1] + 1]
@@ -55,6 +55,9 @@ class Lines:
         number = np.arange(len(starts)) - np.searchsorted(starts, first)[text]
         size = ends - starts
         long = size >= SHORTEST
+        if short:
+            solid = np.r_[0, np.cumsum((flat != 32) & ((flat < 9) | (flat > 13)))]
+            long |= solid[ends] > solid[starts]
         n = len(flat) + 1
         if not self.powers or len(self.powers[0][0]) < n:
             self.powers = [tuple(np.cumprod(np.r_[U(1), np.full((1 << n.bit_length()) - 1, b)]) for b in pair) for pair in zip(self.bases, self.inverses, strict=True)]
@@ -156,14 +159,14 @@ def near_lines(names: list[int], lines: list[str], edits: int = EDITS) -> list[t
     return found
 
 
-def line_table(rows: DataFrame) -> DataFrame:
+def line_table(rows: DataFrame, short: bool = False) -> DataFrame:
     """(name, name2, doc_id, tie, number) of every line of ``rows`` (doc_id, tie, text) that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines()
         for batch in batches:
             for at, texts in texts_of(batch, 2):
-                text, number, start, size = lines.take(texts)
+                text, number, start, size = lines.take(texts, short)
                 who = pa.array(text + at)
                 yield pa.RecordBatch.from_arrays([pa.array(lines.name(start, size)), pa.array(lines.hash(start, size, 1).view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(number.astype(np.int32))], names=["name", "name2", "doc_id", "tie", "number"])
 
@@ -215,9 +218,9 @@ def near_classes(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     return connected(groups, lambda members: blocks_met(members, held, lambda n, b: near_lines(n, b, edits)), "lines")
 
 
-def removals(rows: DataFrame, edits: int = EDITS) -> DataFrame:
+def removals(rows: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
     """(doc_id, tie, numbers): the lines that go from each row of ``rows`` (doc_id, tie, text); rows that keep all have none."""
-    lines = materialise(line_table(rows), "lines")
+    lines = materialise(line_table(rows, short), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "number")
     each = lines.groupBy("name", "name2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     roots = near_classes(rows, edits)
@@ -228,10 +231,11 @@ def removals(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     return materialise(gone.groupBy("doc_id", "tie").agg(F.collect_set("number").alias("numbers")), "lines-gone")
 
 
-def deduplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, edits: int = EDITS, short: bool = False) -> DataFrame:
     """``docs`` with each near-equal line kept once in the corpus, and the columns ``n_lines`` and ``n_removed``.
 
-    Lines end with a line feed; those of at least SHORTEST code points take part. Lines at most ``edits`` edits apart, directly or through
+    Lines end with a line feed; those of at least SHORTEST code points take part. With ``short``, exact repeats of shorter lines go as
+    well, except blank ones (of ASCII white space only). Lines at most ``edits`` edits apart, directly or through
     others, are one class; its first line, by doc_id (null last), then by the text's hash and the number in the text, stays and all
     others go, within a text as well. What a text keeps stays in order. A text that loses nothing is returned as it was, null included;
     one that loses all lines becomes empty. Rows that repeat both doc_id and text are treated alike. Other columns pass through.
@@ -241,7 +245,7 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    gone = removals(rows, edits)
+    gone = removals(rows, edits, short)
 
     @F.arrow_udf("string")
     def without(text: pa.Array, numbers: pa.Array) -> pa.Array:
@@ -261,5 +265,5 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

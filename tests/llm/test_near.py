@@ -212,6 +212,18 @@ def test_lines(spark, monkeypatch, block):
     assert line_dedup.deduplicate_lines(docs(spark, [])).count() == 0
 
 
+def test_short_lines_repeat_exactly(spark, tmp_path):
+    rng = random.Random(12)
+    line = prose(rng, "xx", 12)
+    texts = [f"Les.\n{line}\n\n \t\nLes", f"\n{line[:9]}z{line[10:]}\nLes.\nLes.\n \t", "All rights reserved.\nLet.", None, "All rights reserved."]
+    docs(spark, [(i, t, "xx", "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [texts[0], "\n \t", texts[2], "", ""]
+    got = {r.doc_id: (r.n_removed, r.text_sha256) for r in line_dedup.op9(spark, str(tmp_path)).collect()}
+    assert got == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, (n, t) in enumerate(zip([0, 3, 0, 0, 1], want, strict=True))}
+    kept = corpus_pipeline.lines_once(spark, common.table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert {r.doc_id: r.text for r in kept.collect()} == {0: texts[0], 2: texts[2], 3: None}
+
+
 # -- fingerprints ---------------------------------------------------------------------------------------------------------------------
 
 
