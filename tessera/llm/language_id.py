@@ -122,18 +122,23 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[bytes]]:
-    """A bounded sample of the labelled texts, as many of each language, by a hash of doc_id; held-out rows have no part in it."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out() & F.octet_length("text").between(1, SAMPLE_BYTES)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    sizes = usable.groupBy("lang").count().collect()  # a row for each language
+    """A bounded sample of the labelled texts, as many of each language, by a hash of doc_id; held-out rows have no part in it.
+
+    Texts of more than SAMPLE_BYTES take part, with so many of their bytes, only where a language has too few others.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out() & (F.octet_length("text") > 0)).select("lang", "text", F.xxhash64("doc_id").alias("h"), (F.octet_length("text") > SAMPLE_BYTES).alias("long"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("long")).alias("short")).collect()  # a row for each language
     if not sizes:
         return {}
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(sizes)))
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 4 * each / r["count"] + 50 / r["count"]))]), F.col("lang"))
-    few = usable.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    best = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= each)
+    of = lambda n: F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(n(r)))]), F.col("lang"))
+    rate = lambda n, wanted: min(1.0, (4 * wanted + 50) / n) if n and wanted > 0 else 0.0
+    share = F.when(F.col("long"), of(lambda r: rate(r["all"] - r["short"], each - r["short"]))).otherwise(of(lambda r: rate(r["short"], each)))
+    few = usable.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).withColumn("text", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES))
+    best = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "text"))).where(F.col("n") <= each)
     out: dict[str, list[bytes]] = {}
     for r in best.select("lang", "text").collect():
-        out.setdefault(r["lang"], []).append(r["text"].encode())
+        out.setdefault(r["lang"], []).append(bytes(r["text"]).decode(errors="ignore").encode())  # a window can end inside a character
     return out
 
 

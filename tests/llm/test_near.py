@@ -424,6 +424,16 @@ def test_language_id(spark):
 # -- URL filter -----------------------------------------------------------------------------------------------------------------------
 
 
+def test_languages_of_long_texts_only(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, "xx", 60), "xx", "s") for i in range(12)] + [(100 + i, "é" + prose(rng, "yy", 6000), "yy", "s") for i in range(12)]
+    rows.append((200, "x" * 30_000, "xx", "s"))
+    assert all(len(t) > language_id.SAMPLE_BYTES for _, t, lang, _ in rows if lang == "yy")
+    sample = language_id.training_sample(docs(spark, rows))
+    assert sample.keys() == {"xx", "yy"}
+    assert all(0 < len(t) <= language_id.SAMPLE_BYTES for texts in sample.values() for t in texts)
+
+
 def test_urls(spark):
     rng = random.Random(4)
     good = [f"https://a{rng.randrange(99)}.example.com/en/7{rng.randrange(10**4)}/{prose(rng, 'xx', 1)}" for _ in range(200)]
