@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,59 +10,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, small_batches, table
-from tessera.llm.grouping import Filter, blocks_met, candidate_groups, connected, hottest, leads
+from tessera.llm.common import beside, discard, fresh, materialise, table
+from tessera.llm.grouping import U, Filter, Names, blocks_met, candidate_groups, connected, counted_keys, digests, hottest, leads, mix, settled_names
 
 WORDS = 5
 #: Documents link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bytes shingled at once.
 CHUNK = 1 << 18
+#: Bytes of a word that are hashed eight by eight; longer words are digested one by one.
+LONG_WORD = 256
 #: Tokens that two sets must share if no third set has them in its prefix: one may be chance.
 SHARED = 4
 #: A token in the prefixes of more different sets than this comes last in the order of tokens; at most so many tokens do (32 MB).
 HOT, HOT_TOKENS = 2, 4_000_000
 #: Sets of a group in the token-group matrix.
 GROUP = 16
-U = np.uint64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> U(30)) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> U(27)) * U(0x94D049BB133111EB)
-    return x ^ x >> U(31)
 
 
 class Shingler:
     """Sets of hashed word n-grams of many texts at once.
 
-    A word's hash is a polynomial in its bytes, read off running sums; a shingle's mixes those of its words. 64 bits stand for a shingle.
+    A word's hash takes its bytes eight by eight, each time mixed with what came before; a shingle's mixes those of its words. 64 bits
+    stand for a shingle: two different ones in a pair of texts have the same with a chance of some 1e-19.
     """
 
     def __init__(self, words: int = WORDS):
         rng = np.random.Generator(np.random.Philox(7))
         self.words = words
-        self.of_byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        lower = np.arange(256)
-        lower[65:91] += 32
-        self.of_byte = self.of_byte[lower]
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
         self.space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
         self.factor = rng.integers(1, 1 << 63, words, dtype=np.uint64) | U(1)
-        self.base = U(0x9E3779B97F4A7C15)
-        self.inverse = U(pow(int(self.base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            self.up, self.down = (np.cumprod(np.r_[U(1), np.full(size - 1, b)]) for b in (self.base, self.inverse))
+        self.seed, self.step = (U(x) for x in rng.integers(1, 1 << 63, 2, dtype=np.uint64))
+        self.mask = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+    def word_hashes(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words data[a:b]; eight bytes that belong to none follow the last."""
+        size = b - a
+        h = mix(size.astype(U) ^ self.seed)
+        eight = np.arange(8)
+        live = np.flatnonzero(size <= LONG_WORD)
+        for i in np.flatnonzero(size > LONG_WORD):
+            h[i] = int.from_bytes(hashlib.blake2b(data[a[i] : b[i]].tobytes(), digest_size=8).digest(), "little")
+        at, left = a[live], size[live]
+        while len(live):
+            piece = data[at[:, None] + eight].view(U).ravel() & self.mask[np.minimum(left, 8)]
+            h[live] = mix((h[live] ^ piece) * self.step + self.seed)
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        return h
 
     def hashes(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of all texts, and where each text's begin; text i is data[starts[i]:starts[i + 1]]."""
         n = len(data)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-        self._powers(n + 1)
         word = ~self.space[data]
         begins, ends = word.copy(), word.copy()
         begins[1:] &= ~word[:-1]
@@ -71,8 +75,7 @@ class Shingler:
         begins[edge] = word[edge]
         ends[edge - 1] = word[edge - 1]
         a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        total = np.r_[U(0), np.cumsum(self.of_byte[data] * self.up[:n])]
-        w = _mix((total[b] - total[a]) * self.down[a] + (b - a).astype(np.uint64))
+        w = self.word_hashes(np.r_[self.lower[data], np.zeros(8, np.uint8)], a, b)
         first = np.searchsorted(a, starts)
         count = np.diff(first)
         k = self.words
@@ -82,14 +85,14 @@ class Shingler:
             h += w[i : i + spans] * self.factor[i]
         text = np.repeat(np.arange(len(count)), count)
         inside = text[:spans] == text[k - 1 :] if spans else np.zeros(0, bool)
-        h, owner = _mix(h[inside]), text[:spans][inside]
+        h, owner = mix(h[inside]), text[:spans][inside]
         few = np.flatnonzero((count > 0) & (count < k))
         if len(few):
             short = count[few].astype(np.uint64)
             for i in range(k - 1):
                 has = count[few] > i
                 short[has] += w[first[few][has] + i] * self.factor[i]
-            h, owner = np.r_[h, _mix(short)], np.r_[owner, few]
+            h, owner = np.r_[h, mix(short)], np.r_[owner, few]
             order = np.argsort(owner, kind="stable")
             h, owner = h[order], owner[order]
         return h, np.searchsorted(owner, np.arange(len(count) + 1))
@@ -104,16 +107,11 @@ class Shingler:
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK, "right")) - 1)
             h, cut = self.hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                yield np.unique(h[a:b])
+                s = np.sort(h[a:b])
+                yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
             i = j
 
 
-def name_of(s: np.ndarray) -> int:
-    """One number for the whole set."""
-    with np.errstate(over="ignore"):
-        return int(_mix(np.array([_mix(s ^ U(0x5851F42D4C957F2D)).sum() + U(len(s))], np.uint64)).view(np.int64)[0])
-
-
 def least_overlap(n: int, percent: int) -> int:
     """A set of n tokens shares at least so many with any set it links with."""
     return -(-percent * n // 100)
@@ -131,41 +129,60 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     return np.r_[s[~is_hot][:p], s[is_hot]][:p]
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, name) of each row's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for batch in batches:
-            n, names = [], []
-            for s in shingler.sets(batch.column(1)):
-                n.append(len(s))
-                names.append(name_of(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n", "name"])
+def _sets_of(shingler: Shingler, names: Names, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The sets of each batch, those that this task hasn't met lately and that aren't empty, with their names."""
+    seen: set[int] = set()
+    for batch in batches:
+        sets = [s for s in shingler.sets(batch.column(column)) if len(s)]
+        called = names.of(digests(s.tobytes() for s in sets))
+        fresh_ = []
+        for i, me in enumerate(called.tolist()):
+            if me not in seen:
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.add(me)
+                fresh_.append(i)
+        yield [sets[i] for i in fresh_], called[fresh_]
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, name long")
 
+def set_table(docs: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """(doc_id, n, name, name2, keys) of each row's set: its size, both halves of its digest, and the packed tokens of its prefix, these
+    once for each task that meets the set, or more."""
 
-def prefix_groups(docs: DataFrame, words: int, percent: int, last: np.ndarray, hot: int | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, names, none, seen = Shingler(words), Names(bits=bits), np.zeros(0, U), set()
+        for batch in batches:
+            sets = [*shingler.sets(batch.column(1))]
+            found = digests(s.tobytes() for s in sets)
+            first, keys = names.first(found), []
+            for s, me in zip(sets, first.tolist(), strict=True):
+                new = len(s) and me not in seen
+                if new:
+                    if len(seen) > 1 << 20:
+                        seen.clear()
+                    seen.add(me)
+                keys.append(prefix(s, percent, none).tobytes() if new else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first), pa.array(found[:, 1]), pa.array(keys, pa.binary())], names=["doc_id", "n", "name", "name2", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, name long, name2 long, keys binary")
+
+
+def prefix_groups(docs: DataFrame, words: int, percent: int, last: np.ndarray, names: Names, n_entries: int) -> DataFrame:
     """Candidate groups of the sets of ``docs`` (text) by the tokens of their prefixes, ``last`` being the tokens that come last."""
     shared = docs.sparkSession.sparkContext.broadcast(last)  # at most HOT_TOKENS numbers
 
     def entries():
-        shingler, seen = Shingler(words), set()
+        shingler = Shingler(words)
 
         def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-            for s in shingler.sets(batch.column(0)):
-                if not len(s) or (me := name_of(s)) in seen:
-                    continue
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.add(me)
-                p = prefix(s, percent, shared.value)
-                yield p, np.full(len(p), me, np.int64), np.full(len(p), len(s), np.int32)
+            for sets, called in _sets_of(shingler, names, iter([batch]), 0):
+                for s, me in zip(sets, called, strict=True):
+                    p = prefix(s, percent, shared.value)
+                    yield p, np.full(len(p), me, np.int64), np.full(len(p), len(s), np.int32)
 
         return make
 
-    return candidate_groups(docs.select(F.coalesce("text", F.lit("")).alias("text")), entries, hot, percent, SHARED)
+    return candidate_groups(docs.select(F.coalesce("text", F.lit("")).alias("text")), entries, n_entries, last, lambda keys, sizes: 8 * sizes, percent, SHARED)
 
 
 def links_within(names: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -214,68 +231,63 @@ def links_within(names: list[int], sets: list[np.ndarray], percent: int = PERCEN
     return found
 
 
-def set_bodies(docs: DataFrame, wanted: Filter, words: int) -> DataFrame:
+def set_bodies(docs: DataFrame, wanted: Filter, words: int, names: Names) -> DataFrame:
     """(name, body) of the sets that ``wanted`` may hold; a set once for each task that meets it, or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
-        names, sets, size = [], [], 0
-        for batch in batches:
-            for s in shingler.sets(batch.column(0)):
-                if not len(s) or (me := name_of(s)) in seen or not wanted.may_hold(me):
-                    continue
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.add(me)
-                names.append(me)
-                sets.append(s.tobytes())
-                size += len(sets[-1])
-                if size > CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "body"])
-                    names, sets, size = [], [], 0
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "body"])
+        for sets, called in _sets_of(Shingler(words), names, batches, 0):
+            take = np.flatnonzero(wanted.may_hold(called))
+            out, size = [], 0
+            for j, i in enumerate(take):
+                out.append(i)
+                size += sets[i].nbytes
+                if size > CHUNK or j == len(take) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(called[out]), pa.array([sets[x].tobytes() for x in out], pa.binary())], names=["name", "body"])
+                    out, size = [], 0
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "name long, body binary")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, name_bits: int = 64) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Exact: no candidates are capped or sampled. Words are runs of other than ASCII white space, A-Z in lower case; a text of fewer words
     than a shingle is one shingle, a text without words (or null) has none and is a component of its own. Equal sets link, so repeated
     rows share a component; it is named by its smallest doc_id. A null doc_id never names a component unless all its ids are null.
 
-    1. Each text becomes a set; equal sets are one from here on. 2. Sets that share a token of their prefixes (the tokens of which any
-    partner has some) join the group of that token's smallest set; two sets that only the two of them share tokens with must share several,
-    which the prefixes are long enough for, so that chance doesn't pair them. Tokens that occur in many prefixes are put last in a second
-    pass, so that widely shared passages don't gather unrelated texts. 3. Groups are verified in blocks of bounded size with token-group
-    matrices. Of a group of several blocks, each block also holds the leader; what isn't connected with it after that is then held
-    against every block. 4. Components of the links.
+    1. Each text becomes a set; equal sets are one from here on, known by a digest. 2. Sets that share a token of their prefixes (the
+    tokens of which any partner has some) join the group of that token's smallest set; two sets that only the two of them share tokens
+    with must share several, which the prefixes are long enough for, so that chance doesn't pair them. Tokens that occur in many prefixes
+    are counted first and put last, so that widely shared passages don't gather unrelated texts. 3. Groups are verified in blocks of
+    bounded size with token-group matrices. Of a group of several blocks, each block also holds the leader; what isn't connected with it
+    after that is then held against every block. 4. Components of the links. ``name_bits`` shortens names (tests, to make them clash).
     """
-    small_batches(docs.sparkSession)
-    sets = materialise(set_table(docs, words), "jaccard-sets")
-    found = materialise(prefix_groups(docs, words, percent, np.zeros(0, np.uint64), HOT), "jaccard-groups")
-    last = hottest(found, HOT_TOKENS)
-    if not found.where("kind = 1").isEmpty():
-        found = materialise(prefix_groups(docs, words, percent, last, None), "jaccard-groups")
-    groups = materialise(leads(found), "jaccard-leads")
-    bodies = set_bodies(docs, Filter(groups.select("name")), words)
-    compare = lambda names, held: links_within(names, [np.frombuffer(x, np.uint64) for x in held], percent)
+    sets = materialise(set_table(docs, words, percent, name_bits), "jaccard-sets")
+    n_entries = sets.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
+    counted = materialise(counted_keys(sets.where("keys is not null"), n_entries, HOT), "jaccard-counts")
+    last = hottest(counted, HOT_TOKENS)
+    names, called = settled_names(sets.where("n > 0"), name_bits)
+    found = materialise(prefix_groups(docs, words, percent, last, names, n_entries), "jaccard-found")
+    groups = materialise(leads(found), "jaccard-groups")
+    discard(counted, found)
+    bodies = set_bodies(docs, Filter(groups.select("name")), words, names)
+    compare = lambda names, held: links_within(names, [np.frombuffer(x, U) for x in held], percent)
     roots = connected(groups, lambda members: blocks_met(members, bodies, compare), "jaccard")
-    classes = sets.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least")).join(roots, F.col("name") == F.col("node"), "left")
-    classes = classes.select("name", "least", F.coalesce("root", "name").alias("root"))
-    labels = classes.groupBy("root").agg(F.min("least").alias("component_id")).join(classes.select("root", "name"), "root").select(F.col("name").alias("_name"), "component_id")
-    labels = materialise(labels, "jaccard-labels")
-    out = sets.join(labels, (F.col("name") == F.col("_name")) & (F.col("n") > 0), "left")
+    least = called.groupBy("name").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    classes = materialise(least.join(roots, F.col("name") == F.col("node"), "left").where("rows > 1 or root is not null").select("name", "least", F.coalesce("root", "name").alias("root")), "jaccard-classes")
+    ids = materialise(classes.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-ids")
+    labels = materialise(classes.join(beside(ids), "root").select(F.col("name").alias("_name"), "component_id"), "jaccard-labels")
+    out = called.join(beside(labels), F.col("name") == F.col("_name"), "left").select("doc_id", "n", "component_id").union(sets.where("n = 0").select("doc_id", "n", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group, with its columns. Rows with a null doc_id stay."""
+    """The rows of ``docs`` that name their component: one document of each group, with its columns. Rows with a null doc_id stay, and
+    of rows that repeat a doc_id all or none."""
     told = jaccard_components(docs.select("doc_id", "text"), words, percent)
-    gone = materialise(told.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone_,) = fresh(docs.columns, "gone")
+    gone = materialise(told.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_)).distinct(), "jaccard-gone")
+    return docs.join(beside(gone), F.col("doc_id") == F.col(gone_), "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,13 +109,15 @@ def jaccard_rows():
     return [(i, t) for i, t in zip(order, texts, strict=True)] + [(3, "repeated row of six words here"), (3, "repeated row of six words here")]
 
 
-@pytest.mark.parametrize("block,hot", [(512, 2), (8, 2), (8, 1000)])
-def test_jaccard(spark, monkeypatch, block, hot):
+@pytest.mark.parametrize("block,hot,bits", [(128, 2, 64), (8, 2, 5), (8, 1000, 64)])
+def test_jaccard(spark, monkeypatch, block, hot, bits):
     monkeypatch.setattr(grouping, "BLOCK", block)
+    monkeypatch.setattr(grouping, "WIDE_BLOCK", block)
+    monkeypatch.setattr(grouping, "PART_ENTRIES", 4000)
     monkeypatch.setattr(jaccard_join, "HOT", hot)
     rows = jaccard_rows()
-    frame = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, name string").repartition(3)
-    got = jaccard_join.jaccard_components(frame).collect()
+    frame = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, name string").withColumn("_name", F.lit(1)).repartition(3)
+    got = jaccard_join.jaccard_components(frame, name_bits=bits).collect()
     want = Counter()
     for (i, n, c), k in plain_jaccard(rows).items():
         want[i, n, c if n else i] += k
@@ -175,7 +177,7 @@ def test_near_lines_share_a_key(line, edits):
     if len(other) < line_dedup.SHORTEST or distance(line, other) > 2:
         return
     lines = line_dedup.Lines()
-    _, _, start, size = lines.take([line, other])
+    _, start, size = lines.take([line, other])
     keys = [set(), set()]
     for k in lines.keys(start, size, 2):
         keys[0].add(int(k[0]))
@@ -186,32 +188,54 @@ def test_near_lines_share_a_key(line, edits):
 def plain_lines(rows, edits=2, shortest=line_dedup.SHORTEST):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     first, lines = {}, []
+    solid = lambda x: bool(x.strip(" \t\n\v\f\r"))
     for k in order:
         for n, line in enumerate((rows[k][1] or "").split("\n")):
-            if len(line) >= shortest and line not in first:
+            if solid(line) and line not in first:
                 first[line] = (k, n)
                 lines.append(line)
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if abs(len(lines[a]) - len(lines[b])) <= edits and distance(lines[a], lines[b]) <= edits]
+    near = [i for i, x in enumerate(lines) if len(x) >= shortest]
+    links = [(a, b) for a in near for b in near if b < a and abs(len(lines[a]) - len(lines[b])) <= edits and distance(lines[a], lines[b]) <= edits]
     where = plain_components(range(len(lines)), links)
     keep = {lines[i]: first[lines[r]] for i, r in where.items()}
-    return {k: None if rows[k][1] is None else "\n".join(x for n, x in enumerate(rows[k][1].split("\n")) if len(x) < shortest or keep[x] == (k, n)) for k in order}
+    return {k: None if rows[k][1] is None else "\n".join(x for n, x in enumerate(rows[k][1].split("\n")) if not solid(x) or keep[x] == (k, n)) for k in order}
 
 
-@pytest.mark.parametrize("block", [512, 6])
-def test_lines(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,bits", [(128, 64), (6, 6)])
+def test_lines(spark, monkeypatch, block, bits):
     monkeypatch.setattr(grouping, "BLOCK", block)
+    monkeypatch.setattr(grouping, "WIDE_BLOCK", block)
     rng = random.Random(5)
     pool = [prose(rng, "xx", 8) for _ in range(20)]
     near = [p[:i] + "z" + p[i + 1 :] for p in pool[:10] for i in (3, 9, 20)] + [p[:5] + p[7:] for p in pool[:5]] + [f"{pool[0][:20]} page {i:04d} {pool[0][20:]}" for i in range(25)]
     rows = [(i, "\n".join(rng.choice(pool + near + ["short", ""]) for _ in range(6))) for i in range(30)] + [(50, None), (51, ""), (None, pool[0]), (52, "\n".join(["é" * 40] * 3)), (53, prose(rng, "yy", 30_000))]
-    frame = docs(spark, [(i, t, "xx", "s") for i, t in rows]).withColumnRenamed("lang", "tie")
-    out = line_dedup.deduplicate_lines(frame)
-    assert out.columns == ["doc_id", "text", "tie", "source", "n_chars", "n_lines", "n_removed"]
+    rows += [(60, f"{prose(random.Random(1), 'yy', 9)}\n\n{pool[1]}")] * 3 + [(None, prose(random.Random(2), "yy", 9))] * 2 + [(61, None)] * 2
+    frame = docs(spark, [(i, t, "xx", "s") for i, t in rows]).withColumnRenamed("lang", "tie").withColumnRenamed("n_chars", "n_lines").withColumn("_gone", F.lit(1)).withColumn("nth", F.lit(1))
+    out = line_dedup.deduplicate_lines(frame, name_bits=bits)
+    assert out.columns == ["doc_id", "text", "tie", "source", "n_lines", "_gone", "nth", "_n_lines", "n_removed"]
     want = plain_lines(rows)
-    assert {r.doc_id: r.text for r in out.collect()} == {rows[k][0]: t for k, t in want.items()}
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((rows[k][0], t) for k, t in want.items())
+    solid = lambda t: sum(bool(x.strip()) for x in (t or "").split("\n"))
+    assert Counter((r.doc_id, r.n_removed) for r in got) == Counter((rows[k][0], solid(rows[k][1]) - solid(t)) for k, t in want.items())
     assert line_dedup.deduplicate_lines(docs(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_lines_and_words_of_equal_polynomials_stay_apart(spark):
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2^64, whatever the base."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate_lines(frame).collect()} == dict(rows)
+    assert sorted(jaccard_join.jaccard_components(frame).collect()) == [(1, 1, 1), (2, 1, 2)]
+    assert len({s.tobytes() for s in jaccard_join.Shingler().sets(pa.array([one[:200], other[:200], one, other]))}) == 4
+
+
 def test_short_lines_repeat_exactly(spark, tmp_path):
     rng = random.Random(12)
     line = prose(rng, "xx", 12)
