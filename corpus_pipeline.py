@@ -19,10 +19,11 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: near-equal lines, and equal short ones, stay once; documents that keep nothing but white space of what they had go. n_chars is counted anew."""
-    out = line_dedup.deduplicate_lines(docs, short=True)
-    kept = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.deduplicate_lines(docs)
+    removed = F.col(out.columns[-1])
+    kept = out.where((removed == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
