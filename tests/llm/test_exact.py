@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, packing, revisits, sharding
+from tessera.llm import common, exact_dedup, mixing, packing, revisits, sharding
 
 DOCS = "doc_id long, text string, source string, digest string, row_no long"
 
@@ -84,19 +85,31 @@ def plain_dedup(rows):
 def test_exact_dedup(spark, digest_bytes):
     rng = random.Random(4)
     rows = ROWS + [(100 + i, f"text {rng.randrange(40)}{' ' * rng.randrange(1, 3)}end", "s") for i in range(300)]
-    got = exact_dedup.deduplicate(docs(spark, rows), digest_bytes=digest_bytes, ranges=4).collect()
+    rows += [((1 << 63) - 1, "last", "s"), ((1 << 63) - 1, "last", "s"), ((1 << 63) - 1, "ok", "s"), (None, "ok", "s"), (-5, "ok", "s")]
+    frame = docs(spark, rows).withColumn("raw", F.lit(1)).withColumn("uid", F.lit(1)).withColumn("digest", F.lit(b"x")).repartition(5)
+    got = exact_dedup.deduplicate(frame, digest_bytes=digest_bytes, memtable=40, fan_in=2).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == plain_dedup(rows)
     kept = Counter(r.text_sha256 for r in got if r.kept)
     assert set(kept.values()) == {1} and len(kept) == len({r.text_sha256 for r in got})
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_integers_of_any_width(spark):
+    frame = spark.createDataFrame([(3, "a"), (2, "a"), (2, "a\t"), (4, "b"), (2, "a  ")], "doc_id int, text string")
+    got = exact_dedup.deduplicate(frame).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter({(3, 2, 2): 1, (2, 2, 2): 3, (4, 4, 1): 1})
+    assert sum(r.kept for r in got) == 3
+
+
 def test_small_memtables(spark):
     rows = [(i, f"t{i % 50}", "s") for i in range(1000)]
-    base = docs(spark, rows).selectExpr("doc_id", "unhex(sha2(text, 256)) AS digest").repartition(3)
-    runs = exact_dedup.build_runs(base, 32, memtable=10, ranges=8)
-    index = exact_dedup.compact(runs, 32).toPandas()
-    assert len(index) == 50 and (index.group_size == 20).all() and sorted(index.keep_id) == list(range(50))
+    base = docs(spark, rows).selectExpr("doc_id", "doc_id AS uid", "unhex(sha2(text, 256)) AS digest").repartition(3)
+    runs = common.materialise(exact_dedup.build_runs(base, 32, 8, memtable=10), "runs")
+    assert runs.groupBy("range").count().agg(F.max("count")).first()[0] > 9  # more than three levels of three
+    done = exact_dedup.compact(runs, 32, fan_in=3)
+    assert done.groupBy("range").count().agg(F.max("count")).first()[0] == 1
+    index = exact_dedup.entries_of(done, 32).toPandas()
+    assert len(index) == 50 and (index.group_size == 20).all() and sorted(index.keep_id) == list(range(50)) == sorted(index.keep_uid)
 
 
 def test_filters_miss_nothing():
