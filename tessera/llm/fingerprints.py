@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
-from tessera.llm.grouping import blocks_met, candidate_groups, connected, leads
+from tessera.llm.common import beside, discard, materialise, table
+from tessera.llm.grouping import Filter, Names, blocks_met, candidate_groups, connected, digests, leads, settled_names
 
 #: Steps for which random bits are drawn at once; a step goes on by one character with probability a half.
 STEPS = 2048
@@ -19,8 +19,14 @@ STEPS = 2048
 TOGETHER = 64
 #: Samples of a fingerprint, and consecutive outputs in each.
 SAMPLES, RUN = 64, 16
-#: Characters embedded at once.
-CHUNK = 6 << 20
+#: Samples of a band: texts that agree in all of a band are candidates.
+BAND = 2
+#: Texts are near where no more edits are between them than 1 - NEAR of the longer one's characters.
+NEAR = 0.75
+#: Bins of the character counts that bound the edit distance before it is computed.
+BINS = 64
+#: Characters, and texts, embedded at once.
+CHUNK, CHUNK_TEXTS = 3 << 20, 2000
 SEED = 20
 
 
@@ -28,9 +34,10 @@ class Embedding:
     """A shared random walk over the characters of each text.
 
     The walk starts at the text's first character. At step j it puts out its character c and goes on by one if the random bit of (j, c)
-    says so, else it stays; it takes two steps a character. All texts share these bits, so two that are an edit apart fall into step again
-    soon after it and stay so, and their edit distance shows as a Hamming distance of their outputs. The walks of many texts take each
-    step together.
+    says so, else it stays; it takes as many steps as bring it past the last character, but for a chance of some 1e-8. All texts share
+    these bits, so two that are an edit apart fall into step again soon after it and stay so, and their edit distance shows as a Hamming
+    distance of their outputs. Characters that share a bit by their hash are still put out as themselves. The walks of many texts take
+    each step together.
 
     A fingerprint samples SAMPLES runs of RUN outputs. Which runs does not depend on the text, only on how many there are: every run has
     a random bin and rank, and of each bin the run of lowest rank is sampled, so texts of different length mostly sample the same places.
@@ -38,6 +45,7 @@ class Embedding:
 
     def __init__(self, seed: int = SEED):
         self.seed, self.known = seed, 0
+        self.class_of = classes(np.arange(0x110001, dtype=np.uint32))
         self._plan(1 << 16)
 
     def goes(self, part: int) -> np.ndarray:
@@ -80,32 +88,35 @@ class Embedding:
             gone = np.searchsorted(ends, j, "right")
             return before[gone] + j * (len(ends) - gone), len(ends) - gone
 
-        out = np.zeros(before[-1], np.uint8)
+        class_of = self.class_of[flat]
+        out = np.zeros(before[-1], np.uint32)
         at = starts[order].astype(np.int64)
-        go = np.empty(len(at), np.uint8)
+        sym, go = np.empty(len(at), np.uint8), np.empty(len(at), np.uint8)
         for part in range(-(-int(steps.max(initial=0)) // STEPS)):
             bits = self.goes(part)
             first, live = base(np.arange(part * STEPS, (part + 1) * STEPS))
             if live[0] >= TOGETHER:
                 for goes, a, n in zip(bits, first.tolist(), live.tolist(), strict=True):
-                    sym, here, step = out[a : a + n], at[:n], go[:n]
-                    np.take(flat, here, out=sym, mode="clip")
-                    np.take(goes, sym, out=step, mode="clip")
+                    here, cls, step = at[:n], sym[:n], go[:n]
+                    np.take(flat, here, out=out[a : a + n], mode="clip")
+                    np.take(class_of, here, out=cls, mode="clip")
+                    np.take(goes, cls, out=step, mode="clip")
                     here += step
                 continue
             plain = bits.tobytes()
             for i in range(live[0]):
                 m = int(np.searchsorted(-live, -i, "left"))  # steps that more than i walks take
-                x, k, got = flat[at[i] : at[i] + m + 1].tobytes(), 0, bytearray(m)
+                x, k, got = class_of[at[i] : at[i] + m + 1].tobytes(), 0, bytearray(m)
                 for j in range(m):
-                    got[j] = c = x[k]
-                    k += plain[j << 8 | c]
+                    got[j] = go_on = plain[j << 8 | x[k]]
+                    k += go_on
+                moved = np.frombuffer(got, np.uint8).cumsum(dtype=np.int64)
+                out[first[:m] + i] = flat[at[i] + np.r_[0, moved[:-1]]]
                 at[i] += k
-                out[first[:m] + i] = np.frombuffer(got, np.uint8)
         return out, lambda walk, step: base(step)[0] + rank[walk]
 
     def prints(self, out: np.ndarray, place: Callable[[np.ndarray, np.ndarray], np.ndarray], n_out: np.ndarray) -> np.ndarray:
-        """(texts, SAMPLES) uint16, 0 for a bin without runs. What a last run lacks counts as 0."""
+        """(texts, SAMPLES) uint16, 0 for a bin without a run inside the text. What a last run lacks counts as 0."""
         runs = -(-n_out // RUN)
         if runs.max(initial=0) > self.known:
             self._plan(1 << int(runs.max()).bit_length())
@@ -113,11 +124,13 @@ class Embedding:
         step = np.maximum(run, 0)[:, :, None] * RUN + np.arange(RUN)
         there = step < n_out[:, None, None]
         text = np.broadcast_to(np.arange(len(n_out))[:, None, None], step.shape)
-        got = np.zeros(step.shape, np.uint8)
+        got = np.zeros(step.shape, np.uint32)
         got[there] = out[place(text[there], step[there])]
+        h = np.zeros(run.shape, np.uint64)
         words = got.view(np.uint64)
-        h = _mix(words[..., 0] ^ _mix(words[..., 1] + np.uint64(0x9E3779B97F4A7C15)))
-        return np.where(run < 0, 0, h % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+        for i in range(words.shape[-1]):
+            h = _mix(h ^ words[..., i])
+        return np.where((run < 0) | (got[..., 0] == 0), 0, h % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,7 +141,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def symbols(text: str) -> np.ndarray:
-    return (np.frombuffer(text.encode("utf-32-le"), np.uint32) % 255 + 1).astype(np.uint8)
+    """A number above 0 for each code point, another for each."""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32) + np.uint32(1)
+
+
+def classes(flat: np.ndarray) -> np.ndarray:
+    """By which random bit each character goes on: 1 to 255, and 0 for the end of a text."""
+    return np.where(flat == 0, 0, _mix(flat.astype(np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+
+
+def steps_of(sizes: np.ndarray) -> np.ndarray:
+    """Steps that take a walk past its last character: twice as many on average, and eight deviations of half a character more."""
+    return np.where(sizes > 0, 2 * sizes + (8 * np.sqrt(sizes)).astype(np.int64) + 16, 0)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,12 +166,14 @@ def _hex(prints: np.ndarray) -> list[str]:
 
 
 def embed(texts: list[str], model: Embedding) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of ``texts``, and the outputs of each's walk."""
+    """Fingerprints of ``texts``, and the steps of each's walk."""
     coded = [symbols(t) for t in texts]
     sizes = np.array([len(x) for x in coded], np.int64)
-    flat = np.concatenate([p for x in coded for p in (x, np.zeros(1, np.uint8))]) if coded else np.zeros(1, np.uint8)
-    out, place = model.walks(flat, np.r_[0, np.cumsum(sizes + 1)][:-1], 2 * sizes)
-    return model.prints(out, place, 2 * sizes), 2 * sizes
+    end = np.zeros(1, np.uint32)
+    flat = np.concatenate([p for x in coded for p in (x, end)]) if coded else end
+    steps = steps_of(sizes)
+    out, place = model.walks(flat, np.r_[0, np.cumsum(sizes + 1)][:-1], steps)
+    return model.prints(out, place, steps), steps
 
 
 def fingerprint_pairs(texts: list[str], model: Embedding) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -163,32 +189,47 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     """``docs`` (doc_id, text) dealt into ranges of doc_id, sorted downwards, so that each row is followed by its next.
 
     The text is shuffled once. The first row of each range goes along with the range above as a guest, and that of the topmost range
-    with the lowest. The bounds and the firsts are a number for each range. Null doc_ids are lowest; equal ones are in order of text.
+    with the lowest. The bounds and the firsts are a number for each range. Null doc_ids are lowest and all in the lowest range; equal
+    ones are in order of text.
     """
     ids = docs.select("doc_id")
     bounds = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)).cast("int")
-    tops = sorted((r["p"], r["m"]) for r in ids.groupBy(part.alias("p")).agg(F.max("doc_id").alias("m")).collect())
+    bounds = np.array(sorted(set(bounds)), np.int64)
+
+    def range_of(ids: pa.Array) -> np.ndarray:
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "right"))
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(range_of(ids).astype(np.int32))
+
+    tops = sorted((r["p"], r["m"]) for r in ids.groupBy(part("doc_id").alias("p")).agg(F.max("doc_id").alias("m")).collect())  # a row for each range
     if not tops:
         return docs.select("doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("guest"))
     follows = list(zip([*tops[-1:], *tops[:-1]], tops, strict=True))  # the first of the one range is a guest of the other
-    guest_of = {top[1]: host[0] for top, host in follows}
-    at = F.lit(None).cast("int")
-    known = {k: v for k, v in guest_of.items() if k is not None}
-    if known:
-        at = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("doc_id")]
-    if None in guest_of:
-        at = F.when(F.col("doc_id").isNull(), F.lit(guest_of[None])).otherwise(at)
-    own = F.struct(part.alias("part"), F.lit(False).alias("guest"))
-    also = F.when(at.isNotNull(), F.array(own, F.struct(at.cast("int").alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    rows = docs.select("doc_id", "text", F.explode(also).alias("x")).select("doc_id", "text", "x.part", "x.guest")
+    host_of_null = next((host[0] for top, host in follows if top[1] is None), -1)
+    known = sorted((top[1], host[0]) for top, host in follows if top[1] is not None)
+    firsts, hosts = (np.array([x[i] for x in known], np.int64) for i in (0, 1))
+
+    @F.arrow_udf("array<int>")
+    def places(ids: pa.Array) -> pa.Array:
+        """The row's own range, and the range whose guest it is, if any."""
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(firsts, x), max(len(firsts) - 1, 0))
+        guest = np.where(none, host_of_null, np.where(firsts[at] == x, hosts[at], -1) if len(firsts) else -1)
+        own, many = range_of(ids), 1 + (guest >= 0)
+        flat = np.repeat(own, many)
+        flat[(np.cumsum(many) - 1)[guest >= 0]] = guest[guest >= 0]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+    rows = docs.select("doc_id", "text", F.posexplode(places("doc_id")).alias("nth", "part")).select("doc_id", "text", "part", (F.col("nth") > 0).alias("guest"))
     return rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text): doc_id, n_chars, text_sha256, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.
+    """One row per document of ``docs`` (doc_id, text): doc_id, n_chars, name, name2, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next. name and name2 are the halves of the text's digest.
 
     The edited text has the last third of the code points replaced by the first as many of the next document, downwards by doc_id (after
     the last: the first). A null text counts as empty; an empty text has a fingerprint of zeros, which is like another such one in full.
@@ -196,7 +237,7 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = neighbours(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), parts)
+    rows = neighbours(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Embedding(seed)
@@ -205,10 +246,12 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
             edited, prints, changed = fingerprint_pairs([t for _, t, _ in held], model)
             own = np.array([not g for _, _, g in held[:-1]], bool)
             pick = np.flatnonzero(own)
+            found = digests(held[i][1].encode() for i in pick)
             return pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([held[i][0] for i in pick], pa.int64()),
                 "n_chars": pa.array([len(held[i][1]) for i in pick], pa.int64()),
-                "text_sha256": pa.array([hashlib.sha256(held[i][1].encode()).hexdigest() for i in pick], pa.string()),
+                "name": pa.array(found[:, 0]),
+                "name2": pa.array(found[:, 1]),
                 "edited_sha256": pa.array([hashlib.sha256(edited[i].encode()).hexdigest() for i in pick], pa.string()),
                 "fingerprint": pa.array(_hex(prints[pick]), pa.string()),
                 "edited_fingerprint": pa.array(_hex(changed[pick]), pa.string()),
@@ -222,64 +265,121 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
             for i in range(batch.num_rows):
                 held.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].as_py()))
                 size += len(held[-1][1])
-                if size > CHUNK and len(held) > 1:
+                if (size > CHUNK or len(held) > CHUNK_TEXTS) and len(held) > 1:
                     yield told(held)
                     held, size = held[-1:], len(held[-1][1])
         if len(held) > 1:
             yield told(held)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, text_sha256 string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(run, "doc_id long, n_chars long, name long, name2 long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
 
+def edits_within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
+    """Whether at most ``most`` insertions, deletions and replacements turn x into y, which are arrays of code points.
 
-def near_links(names: list[int], prints: list[str], least: float) -> list[tuple[int, int]]:
-    """Links that connect all of a block whose ``likeness`` is at least ``least``, directly or through others."""
-    cells = np.frombuffer(bytes.fromhex("".join(prints)), ">u2").reshape(len(prints), SAMPLES)
-    root = np.arange(len(prints))
+    What both begin and end with is cut off; the rest goes through columns of the distance matrix, the differences in a column being the
+    bits of two numbers, until the last cell is known or can't come down to ``most`` any more.
+    """
+    if abs(len(x) - len(y)) > most:
+        return False
+    n = min(len(x), len(y))
+    odd = np.flatnonzero(x[:n] != y[:n])
+    a = int(odd[0]) if len(odd) else n
+    odd = np.flatnonzero(x[len(x) - n + a :][::-1] != y[len(y) - n + a :][::-1])
+    b = int(odd[0]) if len(odd) else n - a
+    x, y = sorted((x[a : len(x) - b], y[a : len(y) - b]), key=len)
+    if not len(x):
+        return len(y) <= most
+    here = {int(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x)}
+    full, top = (1 << len(x)) - 1, 1 << len(x) - 1
+    up, down, last = full, 0, len(x)
+    for left, c in enumerate(reversed(y.tolist())):
+        left = len(y) - 1 - left
+        same = here.get(c, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        plus = down | full & ~(across | up)
+        minus = up & across
+        last += bool(plus & top) - bool(minus & top)
+        if last - left > most:
+            return False
+        plus = plus << 1 | 1
+        up = (minus << 1 | ~((same | down) | plus)) & full
+        down = plus & (same | down)
+    return last <= most
+
+
+def near_links(names: list[int], texts: list[str], least: float = NEAR) -> list[tuple[int, int]]:
+    """Links that connect all of a block whose edit distance is small enough, directly or through others. Pairs that are connected
+    already, or whose lengths or character counts show that they are too far apart, aren't compared."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    names, coded = [names[i] for i in order], [symbols(texts[i]) for i in order]
+    size = np.array([len(x) for x in coded])
+    counts = np.stack([np.bincount(x % BINS, minlength=BINS) for x in coded])
+    root = np.arange(len(coded))
     found = []
-    for q in range(len(prints) - 1):
-        rest = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
-        for x in rest[likeness(cells[rest], cells[q]) >= least]:
-            if root[x] != root[q]:
+    for q in range(len(coded) - 1):
+        most = np.floor((1 - least) * size).astype(np.int64)
+        rest = np.flatnonzero((root[q + 1 :] != root[q]) & (size[q + 1 :] - size[q] <= most[q + 1 :])) + q + 1
+        if not len(rest):
+            continue
+        off = np.abs(counts[rest] - counts[q]).sum(1)
+        for x in rest[off <= 2 * most[rest] - (size[rest] - size[q])]:
+            if root[x] != root[q] and edits_within(coded[q], coded[x], int(most[x])):
                 found.append((names[q], names[x]))
                 root[root == root[x]] = root[q]
     return found
 
 
-def near_texts(prints: DataFrame, least: float = 0.75, band: int = 4) -> DataFrame:
-    """(text_sha256, doc_id, near_root) of the different texts of ``prints`` (doc_id, text_sha256, fingerprint).
+def near_texts(prints: DataFrame, docs: DataFrame, least: float = NEAR, band: int = BAND, name_bits: int = 64) -> DataFrame:
+    """(name, name2, near_root) of the different texts of ``prints`` (doc_id, n_chars, name, name2, fingerprint; a written table), which
+    are those of ``docs`` (text), that have several rows or a near text.
 
-    doc_id is the smallest that has the text, near_root the smallest of its class: texts whose fingerprints' ``likeness`` is at least
-    ``least``, directly or through others. Those that agree in a band of ``band`` samples meet; what isn't connected with the first of
-    them is held against all others, in blocks, so that a group of n that are alike costs n pairs, not its square.
+    near_root is the smallest doc_id (null last) of the class: texts that agree in a band of ``band`` samples meet, and are linked where
+    the edit distance is at most 1 - ``least`` of the longer one; classes are linked directly or through others. What isn't connected
+    with the first of a group is held against all others, in blocks, so that a group of n that are alike costs n pairs, not its square.
+    Null texts count as empty, and empty texts are equal.
     """
-    one = materialise(prints.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint")).withColumn("name", F.xxhash64("text_sha256")), "prints")
+    keyed = prints.select(F.col("name").alias("name1"), "name2", "doc_id", "n_chars", "fingerprint", F.col("name").bitwiseAND(F.lit(int(Names(bits=name_bits).keep))).alias("name"))
+    names, keyed = settled_names(keyed, name_bits)
+    one = materialise(keyed.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.min("name1").alias("name1"), F.min("name2").alias("name2"), F.min("n_chars").alias("n_chars"), F.min("fingerprint").alias("fingerprint")), "prints")
 
     def entries() -> Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]:
         def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            names = batch.column(0).to_numpy()
-            cells = np.frombuffer(bytes.fromhex("".join(batch.column(1).to_pylist())), ">u2").reshape(len(names), SAMPLES).astype(np.uint64)
+            called, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cells = np.frombuffer(bytes.fromhex("".join(batch.column(2).to_pylist())), ">u2").reshape(len(called), SAMPLES).astype(np.uint64)
             for i in range(0, SAMPLES, band):
                 some = cells[:, i : i + band].any(1)
                 key = np.full(int(some.sum()), i, np.uint64)
                 for j in range(i, min(i + band, SAMPLES)):
                     key = _mix(key ^ cells[some, j])
-                yield key, names[some]
+                yield key, called[some], np.minimum(size[some], (1 << 31) - 1).astype(np.int32)
 
         return make
 
-    groups = materialise(leads(candidate_groups(one.select("name", "fingerprint"), entries)), "prints-groups")
-    bodies = one.select("name", F.col("fingerprint").alias("body"))
-    classes = connected(groups, lambda members: blocks_met(members, bodies, lambda n, b: near_links(n, b, least)), "prints")
-    placed = materialise(one.join(classes, F.col("name") == F.col("node"), "left").select("text_sha256", "doc_id", "root"), "prints-classes")
-    roots = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("near_root"))
-    return placed.join(roots, "root", "left").select("text_sha256", "doc_id", F.coalesce("near_root", "doc_id").alias("near_root"))
+    rows = one.select("name", "n_chars", "fingerprint")
+    found = candidate_groups(rows, entries, one.count() * -(-SAMPLES // band), np.zeros(0, np.uint64), lambda keys, sizes: 4 * sizes, int(100 * least))
+    found = materialise(found, "prints-found")
+    groups = materialise(leads(found), "prints-groups")
+    discard(found)
+    wanted = Filter(groups.select("name"))
 
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            called = names.of(digests(t.encode() for t in texts))
+            take = np.flatnonzero(wanted.may_hold(called))
+            yield pa.RecordBatch.from_arrays([pa.array(called[take]), pa.array([texts[i] for i in take], pa.string())], names=["name", "body"])
 
-def near_documents(prints: DataFrame, least: float = 0.75, band: int = 4) -> DataFrame:
-    """(a, b): of each class of ``near_texts`` the smallest doc_id with each other text's."""
-    return near_texts(prints, least, band).where("near_root <> doc_id").select(F.col("near_root").alias("a"), F.col("doc_id").alias("b"))
+    held = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(bodies, "name long, body string")
+    roots = connected(groups, lambda members: blocks_met(members, held, lambda n, b: near_links(n, b, least)), "prints")
+    classes = materialise(one.join(beside(roots), F.col("name") == F.col("node"), "left").where("rows > 1 or root is not null").select("name1", "name2", "doc_id", F.coalesce("root", "name").alias("root")), "prints-classes")
+    firsts = materialise(classes.groupBy("root").agg(F.min("doc_id").alias("near_root")), "prints-roots")
+    return materialise(classes.join(beside(firsts), "root").select(F.col("name1").alias("name"), "name2", "near_root"), "prints-near")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = materialise(fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text")), "fingerprints")
-    return prints.join(near_texts(prints).select("text_sha256", "near_root"), "text_sha256").select(*prints.columns, "near_root")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = materialise(fingerprint(docs), "fingerprints")
+    near = near_texts(prints, docs).select(F.col("name").alias("_name"), F.col("name2").alias("_name2"), "near_root")
+    columns = [c for c in prints.columns if not c.startswith("name")]
+    return prints.join(beside(near), (F.col("name") == F.col("_name")) & (F.col("name2") == F.col("_name2")), "left").select(*columns, F.coalesce("near_root", "doc_id").alias("near_root"))

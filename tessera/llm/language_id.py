@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import fresh, small_batches, table
 
 #: Bytes of context at most; a longer one is tried first and escapes to shorter ones.
 ORDER = 3
 #: The training sample: documents of each language, documents in all, and bytes of a document that may be sampled.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_BYTES = 200, 6400, 20_000
+#: Bytes of the table of code lengths, at most; where many languages would make it larger, contexts are shorter.
+TABLE_BYTES = 256 << 20
 #: Bytes scored at once.
 CHUNK = 1 << 18
 #: Documents whose language is less likely than this, given the texts' code lengths, are rejected by the filter.
@@ -28,10 +30,10 @@ class ContextTrees:
     seen there, and otherwise escapes with d / (n + d) to order k - 1, where bytes seen at order k are excluded. Order -1 is uniform
     over the bytes of the sample and one symbol for all others. As the counts are frozen, the code length of a byte depends on the last
     ORDER bytes and the language only: ``node`` finds the longest context known to any language, ``bits[language][node, byte]`` has the
-    exact length that the escapes add up to.
+    exact length that the escapes add up to. The table takes at most ``table_bytes``: the order ends before the one that would go beyond.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TABLE_BYTES):
         self.langs, self.order = sorted(texts), order
         seen = np.unique(np.frombuffer(b"\n" + b"".join(b"".join(t) for t in texts.values()), np.uint8))
         self.size = a = len(seen) + 1
@@ -50,6 +52,9 @@ class ContextTrees:
             codes = [self._code(g[1 : k + 1]) if k else np.zeros(len(g[0]), np.int64) for g in grams]
             mine = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
             mine = mine if k else np.zeros(1, np.int64)
+            if k and (base + len(mine)) * a * len(self.langs) * 4 > table_bytes:
+                self.order = k - 1
+                break
             parent = np.searchsorted(known, mine % a ** max(k - 1, 0)) if k else np.zeros(1, np.int64)
             now = []
             for g, code, above in zip(grams, codes, levels, strict=True):
@@ -124,10 +129,12 @@ def held_out(doc_id: str = "doc_id"):
 def training_sample(docs: DataFrame) -> dict[str, list[bytes]]:
     """A bounded sample of the labelled texts, as many of each language, by a hash of doc_id; held-out rows have no part in it.
 
-    Texts of more than SAMPLE_BYTES take part, with so many of their bytes, only where a language has too few others.
+    Texts of more than SAMPLE_BYTES take part, with so many of their bytes, only where a language has too few others. Of more than
+    SAMPLE_ALL languages those with the most texts are learned, first by name where equal.
     """
     usable = docs.where(F.col("lang").isNotNull() & ~held_out() & (F.octet_length("text") > 0)).select("lang", "text", F.xxhash64("doc_id").alias("h"), (F.octet_length("text") > SAMPLE_BYTES).alias("long"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("long")).alias("short")).collect()  # a row for each language
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("long")).alias("short"))
+    sizes = sizes.orderBy(F.col("all").desc(), "lang").limit(SAMPLE_ALL).collect()
     if not sizes:
         return {}
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(sizes)))
@@ -143,11 +150,12 @@ def training_sample(docs: DataFrame) -> dict[str, list[bytes]]:
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with a struct column ``language``: lang_pred, score, bits (of the whole text under the best model).
+    """``docs`` with a last column ``language``, a struct: lang_pred, score, bits (of the whole text under the best model).
 
     Learns from ``labelled`` (doc_id, text, lang; ``docs`` if not given). The score is the posterior of the best language given the code
     lengths of the whole text under equal priors. A null text, a text without letters, and every text if nothing could be learned, get
-    ``und`` and score 0. Equal code lengths go to the language first by name. Columns named ``language`` in the input are replaced.
+    ``und`` and score 0. Equal code lengths go to the language first by name. If a column ``language`` is there already, the new one has
+    underscores in front.
     """
     small_batches(docs.sparkSession)
     texts = training_sample(docs if labelled is None else labelled)
@@ -169,13 +177,14 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
         names[~lettered] = UNKNOWN
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(least)], names=["lang_pred", "score", "bits"])
 
-    return docs.withColumn("language", predict("text", F.col("text").rlike(r"\p{L}")))
+    return docs.withColumn(fresh(docs.columns, "language")[0], predict("text", F.col("text").rlike(r"\p{L}")))
 
 
 def keep_identified(docs: DataFrame, sure: float = SURE) -> DataFrame:
     """The rows of ``docs`` whose language is known: not ``und``, and at least ``sure``. Columns stay as they are."""
     told = identify(docs)
-    return told.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= sure)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    language = F.col(told.columns[-1])
+    return told.where((language["lang_pred"] != UNKNOWN) & (language["score"] >= sure)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

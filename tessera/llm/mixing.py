@@ -108,12 +108,13 @@ def plan(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     return materialise(src.join(drawn, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "b", "n_docs"), "mix-plan")
 
 
-def with_copies(keyed: DataFrame, drawn: DataFrame) -> DataFrame:
-    """``keyed`` (source, doc_id, key and any more columns) with its source's plan and ``copies``, how often the mix takes it."""
+def with_copies(keyed: DataFrame, drawn: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``keyed`` (source, doc_id, key and any more columns) with its source's plan and ``copies``, how often the mix takes it: never more
+    than ``max_epochs`` times, a row without words included."""
     order = F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"))
     more = (F.coalesce(order <= F.col("_last"), F.lit(False)) | F.coalesce(order == F.col("_fill"), F.lit(False))).cast("long")
     src = drawn.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("last").alias("_last"), F.col("fill").alias("_fill"))
-    return keyed.join(src, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("_whole") + more)
+    return keyed.join(src, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.least(F.col("_whole") + more, F.lit(max_epochs).cast("long")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     drawn = plan(narrow, weights, max_epochs)
     names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
     held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "doc_id", "source").withColumn("key", draw_key(seed=seed))
-    out = with_copies(held, drawn).where("copies > 0").withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = with_copies(held, drawn, max_epochs).where("copies > 0").withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

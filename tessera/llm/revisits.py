@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import table
+from tessera.llm.common import numbered, table
 
 #: Headers that a not-modified answer may replace in the stored response. Fixed values of RFC 9110, section 15.4.5.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't change what a url names.
-TRACKING = r"(?i)^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
-#: Slices of time into which the captures of a url are cut, so that no url, however often captured, is one task.
-SLICES = 1024
+TRACKING = r"(?i)^(utm_[^=]*|fbclid|gclid)(=.*)?$"
+#: Captures of a slice; a url with more is cut into slices by rank of time, so that no url, however often captured, is one task.
+SLICE_ROWS = 20_000
 
 
 def canonical(url: str = "url") -> Column:
@@ -39,7 +39,7 @@ def merge_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(kept, allowed)
 
 
-def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per revisit of ``captures`` (record_id long, url, ts long, kind response or revisit, headers map with lower-case names).
 
     Returns record_id, url_key, ts, response_id, status and headers. The response is the latest one of the same canonical url strictly
@@ -48,22 +48,22 @@ def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
     ``unvalidated``: the revisit has none. ``orphan``: no earlier response, no url or no time. Only resolved rows have headers. Payloads
     take no part: the response_id says where the body is. Rows of any other kind are left out, repeated rows are answered alike.
 
-    Each url's captures are cut into slices of time. Within a slice a window finds the latest response; what earlier slices end with is
-    carried forward over one row for each url and slice. So a url with a third of all captures is spread like any other.
+    Captures are numbered by url and time, and cut into slices of ``slice_rows`` numbers. Within a slice a window finds the latest
+    response; what earlier slices of the url end with is carried forward over one row for each url and slice. So a url with a third of
+    all captures is spread like any other, whenever they were made.
     """
     rows = captures.select(
         "record_id", canonical().alias("url_key"), "ts", (F.col("kind") == "response").alias("full"), "headers"
     ).where(F.col("kind").isin("response", "revisit"))
-    ends = captures.agg(F.min("ts"), F.max("ts")).first()
-    low, high = (ends[0] or 0), (ends[1] or 0)
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - low) / max(1, -(-(high - low + 1) // slices))))
     usable = rows.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
     lost = rows.where((F.col("url_key").isNull() | F.col("ts").isNull()) & ~F.col("full"))
-    found = F.when(F.col("full"), F.struct("ts", "record_id", "headers"))
     # a response at the same time isn't earlier: it comes after the revisit
-    before = Window.partitionBy("url_key", "slice").orderBy("ts", "full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    usable, _ = numbered(usable, ["url_key", "ts", "full", "record_id"], "captures")
+    usable = usable.withColumn("slice", F.floor(F.col("row_no") / slice_rows))
+    found = F.when(F.col("full"), F.struct("ts", "record_id", "headers"))
+    before = Window.partitionBy("url_key", "slice").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     near = usable.withColumn("near", F.last(found, ignorenulls=True).over(before)).where(~F.col("full"))
-    closing = usable.groupBy("url_key", "slice").agg(F.max_by(found, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("close"))
+    closing = usable.groupBy("url_key", "slice").agg(F.max_by(found, F.when(F.col("full"), F.col("row_no"))).alias("close"))
     carried = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     closing = closing.withColumn("far", F.last("close", ignorenulls=True).over(carried)).drop("close")
     both = near.join(closing, ["url_key", "slice"]).withColumn("hit", F.coalesce("near", "far"))
@@ -115,8 +115,8 @@ WITH p AS (
          regexp_extract(url, '(?s)^[^/?#]*?://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['h', 'p', 'q']) AS x FROM pages),
 k AS (
   SELECT *, regexp_replace(lower(x.h), ':(80|443)$', '') || regexp_replace(x.p, '/+$', '')
-    || CASE WHEN len(list_filter(string_split(x.q, '&'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))) > 0
-       THEN '?' || array_to_string(list_sort(list_filter(string_split(x.q, '&'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))), '&') ELSE '' END AS url_key
+    || CASE WHEN len(list_filter(string_split(x.q, '&'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(utm_[^=]*|fbclid|gclid)(=.*)?$'))) > 0
+       THEN '?' || array_to_string(list_sort(list_filter(string_split(x.q, '&'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(utm_[^=]*|fbclid|gclid)(=.*)?$'))), '&') ELSE '' END AS url_key
   FROM p),
 resp AS (SELECT page_id * 4 AS response_id, url_key, t AS rt, tag, t - 100 AS lm FROM k),
 rev AS (

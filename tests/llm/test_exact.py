@@ -1,6 +1,7 @@
 """Sharding, exact dedup, mixing, packing and revisits against plain versions, with odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -103,7 +104,7 @@ def test_integers_of_any_width(spark):
 
 def test_small_memtables(spark):
     rows = [(i, f"t{i % 50}", "s") for i in range(1000)]
-    base = docs(spark, rows).selectExpr("doc_id", "doc_id AS uid", "unhex(sha2(text, 256)) AS digest").repartition(3)
+    base = docs(spark, rows).selectExpr("doc_id", "doc_id AS uid", "unhex(sha2(text, 256)) AS digest").repartition(12)
     runs = common.materialise(exact_dedup.build_runs(base, 32, 8, memtable=10), "runs")
     assert runs.groupBy("range").count().agg(F.max("count")).first()[0] > 9  # more than three levels of three
     done = exact_dedup.compact(runs, 32, fan_in=3)
@@ -173,7 +174,7 @@ def test_bucket_size_changes_nothing(spark):
 
 
 def test_mix_rows(spark):
-    frame = docs(spark, [(1, "a b c", "x"), (2, "a", "y"), (3, None, "y"), (4, "", None)])
+    frame = docs(spark, [(1, "a b c", "x"), (2, "a", "y"), (3, None, "y"), (4, "", None)]).withColumn("copies", F.lit(1))
     mixed = mixing.mix(frame)
     assert mixed.columns == frame.columns
     got = Counter(r.doc_id for r in mixed.collect())
@@ -235,17 +236,59 @@ def plain_best_fit(lengths, capacity):
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
 def test_best_fit(lengths):
     lengths = sorted(lengths, reverse=True)
-    bins, _, _ = packing.fit(lengths, (64,), 1, None)
+    bins, _, _ = packing.fit(lengths, (64,), 1)
     assert len(set(bins)) == plain_best_fit(lengths, 64)
     sizes = (16, 32, 64)
-    bins, places, final = packing.pack_block(lengths, sizes, 2)
+    bins, places, final = packing.pack_block(lengths, sizes, 2, 512)
     used = Counter()
     for b, p, n in zip(bins, places, lengths, strict=True):
         assert p == used[b]
         used[b] += n
-    cost = sum(packing.least_holding(used[b], sizes) + 2 for b in used)
+    cost = sum(packing.cost_of(packing.least_holding(used[b], sizes), 2, 512) for b in used)
     assert all(f == packing.least_holding(used[b], sizes) for b, f in zip(bins, final, strict=True))
-    assert cost <= min(packing.fit(lengths, sizes, 2, w)[2] for w in (None, *sizes))
+    assert cost <= min(packing.fit(lengths, sizes, 2, 512, w)[2] for w in (None, *sizes)) + 1e-9
+
+
+def least_cost(lengths, sizes):
+    """Over all ways to put the pieces into bins."""
+    if not lengths:
+        return 0.0
+    first, rest = lengths[0], lengths[1:]
+    best = math.inf
+    for mask in range(1 << len(rest)):
+        n = first + sum(x for i, x in enumerate(rest) if mask >> i & 1)
+        if n <= sizes[-1]:
+            best = min(best, packing.cost_of(packing.least_holding(n, sizes), 2, 512) + least_cost([x for i, x in enumerate(rest) if not mask >> i & 1], sizes))
+    return best
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=6))
+def test_packing_is_near_the_least_cost(lengths):
+    sizes = (16, 32, 64)
+    bins, _, final = packing.pack_block(sorted(lengths, reverse=True), sizes, 2, 512)
+    cost = sum(packing.cost_of(c, 2, 512) for c in dict(zip(bins, final, strict=True)).values())
+    assert least_cost(lengths, sizes) - 1e-9 <= cost <= 1.3 * least_cost(lengths, sizes)
+
+
+@pytest.mark.parametrize("lengths", [
+    [(37 * i) % 280 + 520 for i in range(3000)],
+    [(37 * i) % 900 + 500 for i in range(3000)],
+    [(53 * i) % 2500 + 600 for i in range(3000)],
+    [700] * 500 + [1400] * 500 + [2700] * 300 + [90] * 400,
+])
+def test_sizes_that_compete_beat_any_one_size(lengths):
+    lengths = sorted(lengths, reverse=True)
+    jointly = packing.complete(lengths, packing.CAPACITIES)[2]
+    assert all(jointly < packing.fit(lengths, packing.CAPACITIES, widest=c)[2] for c in packing.CAPACITIES)
+    bins, _, final = packing.pack_block(lengths)
+    assert sum(packing.cost_of(c) for c in dict(zip(bins, final, strict=True)).values()) <= jointly + 1e-6
+
+
+def test_packing_does_not_depend_on_splits(spark):
+    rows = [(i % 50, "w " * (i % 37), "s") for i in range(200)]
+    one, other = (Counter(packing.pack(docs(spark, x).repartition(n)).collect()) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert one == other
 
 
 # -- revisits -------------------------------------------------------------------------------------------------------------------------
@@ -295,8 +338,9 @@ def test_revisits(spark):
             h["etag"] = rng.choice(['"1"', 'W/"1"', '"2"'])
         if rng.random() < 0.4:
             h["last_modified"] = rng.choice(["m", "n"])
-        rows.append(capture(i, rng.choice(urls), ts, kind, **h))
-    got = revisits.resolve(spark.createDataFrame(rows, CAPTURE), slices=7).collect()
+        rows.append(capture(i, rng.choice(urls) if i % 50 else f"http://long.com/{'x' * 5000}", ts if i else 10**12, kind, **h))
+    key[f"http://long.com/{'x' * 5000}"] = f"long.com/{'x' * 5000}"
+    got = revisits.resolve(spark.createDataFrame(rows, CAPTURE), slice_rows=7).collect()
     want = plain_resolve(rows, key)
     assert {r.record_id: (r.response_id, r.status) for r in got} == want and len(got) == len(want)
     assert all((r.headers is not None) == (r.status == "resolved") for r in got)

@@ -284,21 +284,23 @@ def test_edited_walks_equal_walks_of_the_edited_text():
 def test_small_edits_stay_near():
     rng = random.Random(3)
     model = fingerprints.Embedding()
-    text = prose(rng, "xx", 1500)
-    at = len(text) // 2
-    for other in (text[:at] + "#" + text[at + 1 :], text[:at] + "##" + text[at:], text[:at] + text[at + 2 :]):
-        a, b = fingerprints.embed([text, other], model)[0]
-        assert fingerprints.likeness(a, b) > 0.7
-    a, b = fingerprints.embed([text, prose(rng, "xx", 1500)], model)[0]
-    assert fingerprints.likeness(a, b) < 0.1
+    texts = [prose(rng, "xx", 1500) for _ in range(20)]
+    at = len(texts[0]) // 2
+    for edit in (lambda t: t[:at] + "#" + t[at + 1 :], lambda t: t[:at] + "##" + t[at:], lambda t: t[:at] + t[at + 2 :]):
+        near = fingerprints.likeness(*(fingerprints.embed(x, model)[0] for x in (texts, [edit(t) for t in texts])))
+        assert near.mean() > 0.85
+    near = fingerprints.likeness(*(fingerprints.embed(x, model)[0] for x in (texts[1:], texts[:-1])))
+    assert near.max() < 0.1
 
 
 def plain_walk(text, model):
     """Outputs step by step, with one walk over the whole text."""
-    x, at, out = fingerprints.symbols(text).tolist() + [0], 0, []
-    for j in range(2 * len(text)):
-        out.append(x[at])
-        at += int(model.goes(j // fingerprints.STEPS)[j % fingerprints.STEPS, x[at]])
+    x, at, out = np.r_[fingerprints.symbols(text), 0].astype(np.uint32), 0, []
+    kind = fingerprints.classes(x)
+    for j in range(int(fingerprints.steps_of(np.array([len(text)]))[0])):
+        out.append(int(x[at]))
+        at += int(model.goes(j // fingerprints.STEPS)[j % fingerprints.STEPS, kind[at]])
+    assert at == len(text)  # the last character has been put out
     return out
 
 
@@ -311,11 +313,11 @@ def test_one_walk_over_the_whole_text(monkeypatch, together):
     model.goes = kept.__getitem__
     texts = [prose(rng, "xx", n) for n in (1, 300, 900, 1100, 3)] + ["", "a"]
     coded = [fingerprints.symbols(t) for t in texts]
-    flat = np.concatenate([p for x in coded for p in (x, np.zeros(1, np.uint8))])
+    flat = np.concatenate([p for x in coded for p in (x, np.zeros(1, np.uint32))])
     sizes = np.array([len(x) for x in coded])
-    out, place = model.walks(flat, np.r_[0, np.cumsum(sizes + 1)][:-1], 2 * sizes)
+    out, place = model.walks(flat, np.r_[0, np.cumsum(sizes + 1)][:-1], fingerprints.steps_of(sizes))
     for i, t in enumerate(texts):
-        steps = np.arange(2 * len(t))
+        steps = np.arange(fingerprints.steps_of(sizes)[i])
         assert out[place(np.full(len(steps), i), steps)].tolist() == plain_walk(t, model)
 
 
@@ -328,24 +330,51 @@ def test_early_insertions_stay_near(inserted, least):
     assert near.mean() > least
 
 
-def test_likely_copies(spark):
+def test_walks_read_to_the_end_and_tell_characters_apart():
+    rng = random.Random(5)
+    model = fingerprints.Embedding()
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in range(1, 400)]
+    other = [t[:-1] + "Z" for t in texts]
+    coded = [fingerprints.embed(x, model)[0] for x in (texts, other)]
+    assert (coded[0] != coded[1]).any(1)[:60].mean() > 0.8  # short texts have most of their runs sampled
+    shifted = ["".join(chr(ord(c) + 255) for c in t) for t in texts]
+    assert fingerprints.likeness(coded[0], fingerprints.embed(shifted, model)[0]).max() < 0.1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abé", max_size=14), st.text("abé", max_size=14), st.integers(0, 6))
+def test_edits_within(a, b, k):
+    assert fingerprints.edits_within(fingerprints.symbols(a), fingerprints.symbols(b), k) == (distance(a, b) <= k)
+
+
+def test_edits_of_long_texts():
+    a = fingerprints.symbols(prose(random.Random(1), "xx", 3000))
+    b = np.r_[a[5:4000], fingerprints.symbols("new words here"), a[4000:]]
+    assert fingerprints.edits_within(a, b, 19) and not fingerprints.edits_within(a, b, 18)
+
+
+@pytest.mark.parametrize("block,bits", [(128, 64), (4, 4)])
+def test_near_texts(spark, monkeypatch, block, bits):
+    """Every link of brute force over all pairs of texts, of those that planted copies make, is found, and no other."""
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    monkeypatch.setattr(grouping, "WIDE_BLOCK", block)
     rng = random.Random(9)
-    base = prose(rng, "xx", 800)
-    rows = [(0, base), (1, base), (2, base[:-40] + "the end is new here"), (3, prose(rng, "xx", 800))]
-    prints = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert [(r.a, r.b) for r in fingerprints.near_documents(prints).collect()] == [(0, 2)]
-
-
-def test_near_texts(spark):
-    cells = np.random.default_rng(4).integers(1, 1 << 16, (5, fingerprints.SAMPLES)).astype(np.uint16)
-    cells[1, :32] = cells[0, :32]  # 1 and 2 are as one but for a sample, and share bands with 0 only where that does
-    cells[2, :32] = cells[0, :32]
-    cells[2, 32:] = np.where(np.arange(32) % 4 == 0, cells[2, 32:], cells[1, 32:])
-    cells[3, 4:] = cells[4, 4:]
-    hexed = fingerprints._hex(cells)
-    rows = [(i, f"text {i}", x) for i, x in enumerate(hexed)] + [(10, "text 4", hexed[4]), (11, "another text", hexed[4])]
-    got = fingerprints.near_texts(spark.createDataFrame(rows, "doc_id long, text_sha256 string, fingerprint string"))
-    assert {r.doc_id: r.near_root for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 11: 3}
+    texts = []
+    for _ in range(12):
+        base = prose(rng, "xx", rng.randrange(60, 200))
+        texts += [base, base] + [base[:i] + "#" * n + base[i + m :] for i, n, m in ((rng.randrange(len(base)), rng.randrange(4), rng.randrange(4)) for _ in range(4))]
+    texts += [prose(rng, "xx", rng.randrange(20, 100)) for _ in range(20)] + [None, "", "a", "b"]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (None, "only here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = common.materialise(fingerprints.fingerprint(frame), "prints")
+    got = {(r.name, r.name2): r.near_root for r in fingerprints.near_texts(prints, frame, name_bits=bits).collect()}
+    root = {(r.doc_id): got.get((r.name, r.name2), r.doc_id) for r in prints.collect() if r.doc_id is not None}
+    plain = [t or "" for t in texts]
+    links = [(a, b) for a in range(len(plain)) for b in range(a) if fingerprints.edits_within(fingerprints.symbols(plain[a]), fingerprints.symbols(plain[b]), max(len(plain[a]), len(plain[b])) // 4)]
+    want = plain_components(range(len(plain)), links)
+    assert all(root[i] != root[j] or want[i] == want[j] for i in root for j in root)  # nothing but what is near
+    found = sum(root[a] == root[b] for a, b in links)
+    assert found >= 0.95 * len(links) and all(root[i] == r for i, r in want.items() if i < 12 * 6 and i % 6 < 2)
 
 
 def test_op8_has_classes(spark, tmp_path):
