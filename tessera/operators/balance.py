@@ -51,19 +51,24 @@ def by_turn(shards: DataFrame, workers: DataFrame, shard: str = "shard_id") -> D
     return shards.crossJoin(F.broadcast(of)).withColumn("_n", F.pmod(F.col(shard), F.col("_of")).cast("int")).join(F.broadcast(healthy.drop("_of")), "_n").select(shard, "worker_id")
 
 
+def shard_number(shard: str = "shard_id", seed: int = 0) -> Column:
+    """A 60-bit number of a shard, from a digest of its name."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(shard).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def by_hash(shards: DataFrame, workers: DataFrame, shard: str = "shard_id") -> DataFrame:
-    """As by_turn, by a hash of the shard."""
-    hashed = shards.select(shard, F.pmod(F.xxhash64(shard), F.lit(1 << 40)).alias("_h"))
-    return by_turn(hashed, workers, "_h").join(hashed, "_h").select(shard, "worker_id").distinct()
+    """(shard_id, worker_id): a healthy worker by the shard's number."""
+    listed = workers.where("healthy").agg(F.array_sort(F.collect_list("worker_id")).alias("_w"))  # workers are few
+    return shards.crossJoin(F.broadcast(listed)).select(shard, F.element_at("_w", F.pmod(shard_number(shard), F.size("_w")).cast("int") + 1).alias("worker_id"))
 
 
 def by_two_choices(shards: DataFrame, workers: DataFrame, seed: int = 42, shard: str = "shard_id") -> DataFrame:
-    """Of two different healthy workers that a hash of the shard names, the one with less load for its score."""
+    """Of two different healthy workers that the shard's numbers name, the one with less load for its score."""
     norm = F.when(F.col("score") > 0, (F.col("queue") + F.col("assigned")) / F.col("score")).otherwise(F.col("queue") + F.col("assigned"))
     listed = workers.where("healthy").agg(F.array_sort(F.collect_list(F.struct("worker_id", norm.alias("load")))).alias("w"))  # workers are few
     n = F.size("w")
-    first = F.pmod(F.xxhash64(shard, F.lit(seed)), n).cast("int")
-    second = F.when(n > 1, F.pmod(first + 1 + F.pmod(F.xxhash64(shard, F.lit(seed + 1)), F.greatest(n - 1, F.lit(1))).cast("int"), n)).otherwise(first)
+    first = F.pmod(shard_number(shard, seed), n).cast("int")
+    second = F.when(n > 1, F.pmod(first + 1 + F.pmod(shard_number(shard, seed + 1), F.greatest(n - 1, F.lit(1))).cast("int"), n)).otherwise(first)
     a, b = F.element_at("w", first + 1), F.element_at("w", second + 1)
     return shards.crossJoin(F.broadcast(listed)).select(shard, F.when(a["load"] <= b["load"], a["worker_id"]).otherwise(b["worker_id"]).alias("worker_id"))
 
@@ -87,13 +92,25 @@ def by_fairness(workers: DataFrame) -> DataFrame:
     return w.crossJoin(F.broadcast(tops)).agg(F.min_by("worker_id", F.struct(worst, "worker_id")).alias("worker_id"))
 
 
-def smoothed_load(beats: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def smoothed_load(beats: DataFrame, alpha: float = ALPHA, slices: int = 256) -> DataFrame:
     """(worker_id, load): queue plus 100 times the missing score, smoothed over each worker's beats (worker_id, at, queue, score) in time;
-    a value of 0 starts anew."""
+    a value of 0 starts anew.
+
+    Time is cut into slices. A slice turns the load before it into ``keep`` times that plus ``add``, or into ``anew`` if it was 0: loads
+    aren't negative, so one above 0 stays above. So only what slices do is brought together for each worker.
+    """
     now = F.col("queue") + (1.0 - F.col("score")) * 100.0
-    ordered = beats.groupBy("worker_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", now.alias("x")))), lambda s: s["x"]).alias("xs"))
-    fold = F.aggregate("xs", F.lit(0.0), lambda p, x: F.when(p == 0, x).otherwise(alpha * x + (1 - alpha) * p))
-    return ordered.select("worker_id", fold.alias("load"))
+    ends = beats.agg(F.min("at").alias("_low"), F.max("at").alias("_high"))
+    width = F.greatest(F.ceil((F.col("_high") - F.col("_low") + 1) / slices), F.lit(1))
+    cut = beats.crossJoin(F.broadcast(ends)).withColumn("slice", F.floor((F.col("at") - F.col("_low")) / width))
+    xs = cut.groupBy("worker_id", "slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", now.alias("x")))), lambda s: s["x"]).alias("xs"))
+    blend = lambda p, x: alpha * x + (1 - alpha) * p
+    done = xs.select(
+        "worker_id", "slice", F.pow(F.lit(1 - alpha), F.size("xs")).alias("keep"), F.aggregate("xs", F.lit(0.0), blend).alias("add"),
+        F.aggregate("xs", F.lit(0.0), lambda p, x: F.when(p == 0, x).otherwise(blend(p, x))).alias("anew"),
+    )
+    by_time = done.groupBy("worker_id").agg(F.array_sort(F.collect_list(F.struct("slice", "keep", "add", "anew"))).alias("s"))
+    return by_time.select("worker_id", F.aggregate("s", F.lit(0.0), lambda p, s: F.when(p == 0, s["anew"]).otherwise(s["keep"] * p + s["add"])).alias("load"))
 
 
 Strategy = Callable[[pd.DataFrame, int], int]

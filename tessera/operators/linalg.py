@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from tessera.operators.tensor import ShapeError, Tensor
 
 
+#: Cells of a matrix that is broadcast, some 5 MB; a larger one is dealt.
+BROADCAST_CELLS = 200_000
+
+
 def _product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, v): sum over k of a (i, k, v) times b (k, j, v); one join on k, then partial and final sums."""
+    """(i, j, v): sum over k of a (i, k, v) times b (k, j, v), with partial and final sums.
+
+    A small b goes to the rows of a, which stay where they are. A larger one is dealt by k and by one of as many blocks of rows as there
+    are shuffle partitions, of which each has a copy of b; so a few values of k are still many tasks.
+    """
     left = a.select("i", "k", F.col("v").cast("double").alias("v"))
     right = b.select("k", "j", F.col("v").cast("double").alias("w"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    if right.count() <= BROADCAST_CELLS:
+        joined = left.join(F.broadcast(right), "k")
+    else:
+        blocks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = left.withColumn("_block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+        joined = left.join(right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["k", "_block"])
+    return joined.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def matmul_abt(a: Tensor, b: Tensor) -> Tensor:
@@ -23,14 +37,6 @@ def matmul_abt(a: Tensor, b: Tensor) -> Tensor:
     return Tensor.of_cells(cells, a.shape[0], b.shape[0])
 
 
-def gram(rows: DataFrame, key: str, vector: str, others: DataFrame | None = None) -> DataFrame:
-    """(i, j, v): dot products of the vectors of ``rows`` with those of ``others`` (a stated set, small enough to broadcast when checked by
-    the optimiser), without exploding the vectors into cells."""
-    right = (rows if others is None else others).select(F.col(key).alias("j"), F.col(vector).alias("_w"))
-    products = F.zip_with("_v", "_w", lambda a, b: a.cast("double") * b.cast("double"))
-    return rows.select(F.col(key).alias("i"), F.col(vector).alias("_v")).crossJoin(right).select("i", "j", F.aggregate(products, F.lit(0.0), lambda s, p: s + p).alias("v"))
-
-
 def linear_forward(x: DataFrame, w: DataFrame, bias: DataFrame | None = None) -> DataFrame:
     """Y = X W + b: x (i, j, v) over inputs j, w (i, j, v) from input i to output j, bias (j, v)."""
     y = _product(x.withColumnRenamed("j", "k"), w.withColumnRenamed("i", "k"))
@@ -42,8 +48,15 @@ def linear_forward(x: DataFrame, w: DataFrame, bias: DataFrame | None = None) ->
 def linear_backward(x: DataFrame, w: DataFrame, dy: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """dX = dY Wt, dW = Xt dY, db = column sums of dY."""
     dx = _product(dy.withColumnRenamed("j", "k"), w.select(F.col("j").alias("k"), F.col("i").alias("j"), "v"))
-    dw = _product(x.select(F.col("j").alias("i"), F.col("i").alias("k"), "v"), dy.withColumnRenamed("i", "k"))
-    return dx, dw, dy.groupBy("j").agg(F.sum("v").alias("v"))
+    return dx, of_columns(x, dy), dy.groupBy("j").agg(F.sum("v").alias("v"))
+
+
+def of_columns(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(i, j, v): products of each column i of x (i, j, v) with each column j of y (i, j, v), added up over their rows. Rows are many, so
+    they are what the join deals by."""
+    left = x.select(F.col("j").alias("_i"), F.col("i").alias("k"), F.col("v").cast("double").alias("v"))
+    right = y.select(F.col("i").alias("k"), "j", F.col("v").cast("double").alias("w"))
+    return left.join(right, "k").groupBy(F.col("_i").alias("i"), "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def embedding_forward(tokens: DataFrame, weights: DataFrame) -> DataFrame:

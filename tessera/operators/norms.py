@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.tensor import Tensor
@@ -28,11 +30,17 @@ def softmax_rows(cells: DataFrame) -> DataFrame:
     return e.join(e.groupBy("i").agg(F.sum("v").alias("_sum")), "i").select("i", "j", (F.col("v") / F.col("_sum")).alias("v"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once, however often ``then`` and the lambdas in it name it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def softmax_array(x):
-    """Softmax of an array column, inside the row: no shuffle."""
+    """Softmax of an array column, inside the row: no shuffle. The largest value and the sum are computed once for each row."""
     x = F.transform(x, lambda v: v.cast("double"))
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, p: s + p))
+    e = _once(F.struct(x.alias("x"), F.array_max(x).alias("top")), lambda s: F.transform(s["x"], lambda v: F.exp(v - s["top"])))
+    e = _once(e, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda s, p: s + p).alias("sum")))
+    return _once(e, lambda s: F.transform(s["e"], lambda v: v / s["sum"]))
 
 
 def layer_norm(t: Tensor, eps: float = 1e-5) -> Tensor:

@@ -148,15 +148,17 @@ def in_memory_source(spark, d):
     return generators.from_data(spark, [[1, 2, 3], [4, 5, 6]]).df
 
 
-@query()
+@query("SELECT true AS centred, true AS scaled, true AS even, 1000000::BIGINT AS n")
 def randn_moments(spark, d):
+    """Whether the first three moments of a million draws are those of the normal law, within six of their deviations."""
     t = generators.randn(spark, (1000, 1000)).df
-    return t.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.skewness("v").alias("skewness"))
+    return t.agg((F.abs(F.avg("v")) < 0.006).alias("centred"), (F.abs(F.stddev_pop("v") - 1) < 0.0043).alias("scaled"), (F.abs(F.skewness("v")) < 0.015).alias("even"), F.count("v").alias("n"))
 
 
-@query()
+@query("SELECT true AS centred, true AS inside, 1000000::BIGINT AS n")
 def uniform_moments(spark, d):
-    return generators.rand(spark, (1000, 1000)).df.agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+    t = generators.rand(spark, (1000, 1000)).df
+    return t.agg((F.abs(F.avg("v") - 0.5) < 0.0018).alias("centred"), ((F.min("v") >= 0) & (F.max("v") < 1)).alias("inside"), F.count("v").alias("n"))
 
 
 # -- element by element ---------------------------------------------------------------------------------------------------------------
@@ -358,8 +360,7 @@ def matmul_abt(spark, d):
 @query(f"WITH a AS ({CELLS}) SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) AS v FROM a JOIN a b ON a.i = b.i GROUP BY a.j, b.j")
 def gram_of_columns(spark, d):
     x = cells(spark, d)
-    _, dw, _ = linalg.linear_backward(x, x.select("j", "i", "v").limit(0), x)
-    return rounded(dw.select("i", "j", "v"), to=5)
+    return rounded(linalg.of_columns(x, x).select("i", "j", "v"), to=5)
 
 
 WEIGHT = "((i * 7 + j * 3) % 11 - 5) / 10.0"
@@ -383,6 +384,18 @@ def linear_backward(spark, d):
     return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, 10), dy)[1], to=5)
 
 
+@query(f"WITH w AS (SELECT i, j, ({WEIGHT})::DOUBLE AS v FROM (SELECT range // 10 AS i, range % 10 AS j FROM range(640))) SELECT e.vec_id AS i, w.i AS j, round(w.v, 5) AS v FROM embeddings e JOIN w ON w.j = e.label")
+def linear_backward_inputs(spark, d):
+    """Gradient of the inputs when the output's gradient is one at the label."""
+    dy = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("j"), F.lit(1.0).alias("v"))
+    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, 10), dy)[0], to=5)
+
+
+@query(f"SELECT j, round(sum(v), 5) AS v FROM ({CELLS}) GROUP BY j")
+def linear_backward_bias(spark, d):
+    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, DIM), cells(spark, d))[2], to=5)
+
+
 @query("SELECT event_id AS pos, j AS dim, ((user_id % 32 * 7 + j * 3) % 11 - 5)::DOUBLE / 10 AS v FROM (SELECT *, unnest(range(0, 4)) AS j FROM events)")
 def embedding_lookup(spark, d):
     tokens = load(spark, d, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") % 32).alias("token"))
@@ -439,13 +452,13 @@ def layer_norm_global(spark, d):
     return rounded(norms.layer_norm(matrix(spark, d)).df)
 
 
-LOGITS = f"SELECT i, j, v FROM ({CELLS}) WHERE j < 10"
+LOGITS = CELLS
 PROBS = f"SELECT i, j, exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY i) AS v FROM (SELECT *, max(v) OVER (PARTITION BY i) AS m FROM ({LOGITS}))"
 
 
 def logits(spark, d) -> DataFrame:
-    """The first ten columns: one logit for each class."""
-    return cells(spark, d).where("j < 10")
+    """Each value of the embeddings is a logit; the label names one of them."""
+    return cells(spark, d)
 
 
 def classes(spark, d) -> DataFrame:
@@ -457,7 +470,7 @@ def cross_entropy_soft(spark, d):
     x = logits(spark, d)
     y = x.join(classes(spark, d).select("i", F.col("j").alias("y")), "i").select("i", "j", (F.col("j") == F.col("y")).cast("double").alias("v"))
     n = load(spark, d, "embeddings").count()
-    return rounded(norms.cross_entropy(Tensor.of_cells(x, n, 10), Tensor.of_cells(y, n, 10)).df.select("v"), to=3)
+    return rounded(norms.cross_entropy(Tensor.of_cells(x, n, DIM), Tensor.of_cells(y, n, DIM)).df.select("v"), to=3)
 
 
 @query(f"SELECT round(-avg(ln(p.v)), 6) AS loss FROM ({PROBS}) p JOIN embeddings e ON p.i = e.vec_id AND p.j = e.label")
@@ -489,6 +502,9 @@ def _grad(name: str, build, sql: str, of: int = 0) -> None:
 
 
 _grad("grad_multiply", lambda x, y: (x * y).sum(), "value", 1)
+_grad("grad_add", lambda x, y: (x + y * y).sum(), "2 * u", 1)
+_grad("grad_negate", lambda x, y: (-x * y).sum(), "-u")
+_grad("grad_accumulated", lambda x, y: (x * y + x * 3.0).sum(), "u + 3")
 _grad("grad_subtract", lambda x, y: (x - y).sum(), "-1.0::DOUBLE", 1)
 _grad("grad_divide", lambda x, y: (x / y).sum(), "-value / (u * u)", 1)
 _grad("grad_mean", lambda x, y: (x * x).mean(), "2 * value / n")
@@ -535,12 +551,24 @@ def shard_plan_ceil(spark, d):
 DEVICES = [shards.Device("CUDA: GeForce MX130", "cuda", 30.0, 80_000), shards.Device("OpenCL: GeForce MX130/PCIe", "opencl", 31.0, 80_000), shards.Device("OpenCL: Intel(R) UHD 620", "opencl", 10.0, 40_000), shards.Device("RAM", "cpu_dense"), shards.Device("Disk", "cpu_mmap")]
 
 
-@query()
+@query(f"SELECT s::INT AS shard_id, CASE s % 3 WHEN 0 THEN '{DEVICES[1].name}' WHEN 1 THEN '{DEVICES[0].name}' ELSE '{DEVICES[2].name}' END AS device, s * (n // k) + least(s, n % k) AS \"offset\", n // k + (s < n % k)::INT AS count FROM (SELECT n, greatest(1, least(CASE WHEN n > {shards.TWO_EACH_ABOVE} THEN 6 ELSE 3 END, n // {shards.ACCELERATOR_ELEMENTS})) AS k FROM (SELECT count(*) AS n FROM lineitem)), (SELECT unnest(range(6)) AS s) WHERE s < k")
 def shard_plan_accelerators(spark, d):
     return shards.to_frame(spark, shards.accelerators_first(load(spark, d, "lineitem").count(), DEVICES))
 
 
-@query()
+SATURATING = f"""
+WITH n AS (SELECT count(*) AS n FROM lineitem),
+c AS (SELECT n, least(n, (80000 * {shards.MEMORY_PERCENT} / 100)::BIGINT // 4) AS a, least(n, (40000 * {shards.MEMORY_PERCENT} / 100)::BIGINT // 4) AS b FROM n),
+t AS (SELECT *, least(n, a + b) AS t FROM c),
+h AS (SELECT *, floor(a / (a + b)::DOUBLE * t)::BIGINT AS ha, floor(b / (a + b)::DOUBLE * t)::BIGINT AS hb FROM t),
+g AS (SELECT n, ha + least(a - ha, t - ha - hb) AS ha, hb + (t - ha - hb) - least(a - ha, t - ha - hb) AS hb FROM h)
+SELECT 0 AS shard_id, '{DEVICES[0].name}' AS device, 0::BIGINT AS "offset", ha AS count FROM g
+UNION ALL SELECT 1, '{DEVICES[2].name}', ha, hb FROM g
+UNION ALL SELECT 2, '{DEVICES[4].name}', ha + hb, n - ha - hb FROM g WHERE n > ha + hb
+"""
+
+
+@query(SATURATING)
 def shard_plan_saturating(spark, d):
     return shards.to_frame(spark, shards.saturating(load(spark, d, "lineitem").count(), DEVICES))
 
@@ -720,12 +748,16 @@ def assign_minmax_fairness(spark, d):
     return balance.by_fairness(workers(spark, d))
 
 
-@query()
+NUMBER = "('0x' || substr(md5('{}:' || doc_id), 1, 15))::BIGINT"
+LISTED = WORKERS + ", h AS (SELECT list(worker_id ORDER BY worker_id) AS w, list(CASE WHEN score > 0 THEN (queue + assigned) / score ELSE queue + assigned END ORDER BY worker_id) AS l, count(*) AS n FROM s WHERE healthy)"
+
+
+@query(LISTED + f", c AS (SELECT doc_id, w, l, n, {NUMBER.format(42)} % n AS a, ({NUMBER.format(42)} % n + 1 + {NUMBER.format(43)} % (n - 1)) % n AS b FROM documents, h) SELECT doc_id AS shard_id, CASE WHEN l[a + 1] <= l[b + 1] THEN w[a + 1] ELSE w[b + 1] END AS worker_id FROM c")
 def assign_two_choices(spark, d):
     return balance.by_two_choices(load(spark, d, "documents").select(F.col("doc_id").alias("shard_id")), workers(spark, d))
 
 
-@query()
+@query(LISTED + f" SELECT doc_id AS shard_id, w[{NUMBER.format(0)} % n + 1] AS worker_id FROM documents, h")
 def assign_hash(spark, d):
     return balance.by_hash(load(spark, d, "documents").select(F.col("doc_id").alias("shard_id")), workers(spark, d))
 
@@ -746,7 +778,19 @@ def predicted_load(spark, d):
     return rounded(balance.smoothed_load(beats), "load")
 
 
-@query()
+PREDICTED = WORKERS.replace("WITH w AS", "WITH RECURSIVE w AS").rstrip() + """,
+beats AS (SELECT user_id % 8 AS worker_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n, event_id % 40 + (1 - value / 200) * 100 AS x FROM events),
+f AS (
+  SELECT worker_id, n, x AS load FROM beats WHERE n = 1
+  UNION ALL
+  SELECT t.worker_id, t.n, CASE WHEN f.load = 0 THEN t.x ELSE 0.3::DOUBLE * t.x + (1 - 0.3::DOUBLE) * f.load END FROM f JOIN beats t ON t.worker_id = f.worker_id AND t.n = f.n + 1),
+p AS (SELECT worker_id, load FROM f QUALIFY n = max(n) OVER (PARTITION BY worker_id))
+SELECT s.worker_id FROM s LEFT JOIN p ON s.worker_id = p.worker_id WHERE healthy
+ORDER BY CASE WHEN score > 0 THEN (coalesce(load, 0) + assigned) / score ELSE coalesce(load, 0) + assigned END, s.worker_id LIMIT 1
+"""
+
+
+@query(PREDICTED)
 def assign_predictive(spark, d):
     beats = load(spark, d, "events").select((F.col("user_id") % 8).alias("worker_id"), F.col("event_id").alias("at"), (F.col("event_id") % 40).alias("queue"), (F.col("value") / 200).alias("score"))
     return balance.by_prediction(workers(spark, d), balance.smoothed_load(beats))
@@ -757,22 +801,57 @@ def experts(spark, d) -> DataFrame:
     return load(spark, d, "events").groupBy((F.col("user_id") % 32).alias("expert_id")).agg(F.round(F.sum("value"), 3).alias("load"))
 
 
-@query()
+def placed_sql(nodes: int, group: int, redundant: int, last: str) -> str:
+    """Experts of each node, largest first, to the worker with least load; then the largest again to another one, at half the load."""
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id % 32 AS expert_id, round(sum(value), 3) AS load FROM events GROUP BY 1),
+m AS (SELECT *, CASE WHEN {nodes} > 1 AND count(*) OVER () % {group} = 0 THEN {nodes} ELSE 1 END AS nodes, count(*) OVER () AS experts FROM e),
+d AS (SELECT *, CASE WHEN nodes = 1 THEN 0 ELSE least(expert_id // {group} // greatest(1, experts // {group} // nodes), nodes - 1) END AS node, 8 // nodes AS each FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY load DESC, expert_id) AS k, count(*) OVER (PARTITION BY node) AS n FROM d),
+r AS (
+  SELECT DISTINCT node, n, each, 0::BIGINT AS k, 0::BIGINT AS expert_id, 0::BIGINT AS w, [0.0::DOUBLE for i in range(each)] AS total, []::BIGINT[] AS has FROM o
+  UNION ALL
+  SELECT node, n, each, k, expert_id, w, [total[i] + CASE WHEN i = w THEN add ELSE 0 END for i in range(1, each + 1)], list_append(has, w)
+  FROM (
+    SELECT *, list_position(free, list_min(free)) AS w FROM (
+      SELECT r.node, r.n, r.each, r.k + 1 AS k, o.expert_id, CASE WHEN r.k < r.n THEN o.load ELSE o.load / 2 END AS add, total, has,
+             [CASE WHEN r.k >= r.n AND i = has[r.k - r.n + 1] THEN 1e300::DOUBLE ELSE total[i] END for i in range(1, r.each + 1)] AS free
+      FROM r JOIN o ON o.node = r.node AND o.k = CASE WHEN r.k < r.n THEN r.k + 1 ELSE r.k - r.n + 1 END WHERE r.k < r.n + {redundant}))),
+p AS (SELECT r.expert_id, r.node * r.each + r.w - 1 AS worker_id, o.load / CASE WHEN o.k <= {redundant} THEN 2 ELSE 1 END AS load FROM r JOIN o ON o.node = r.node AND o.expert_id = r.expert_id WHERE r.k > 0)
+{last}
+"""
+
+
+@query(placed_sql(1, 1, 4, "SELECT * FROM p"))
 def expert_lpt(spark, d):
     return balance.balance_experts(experts(spark, d), workers=8, redundant=4)
 
 
-@query()
+@query(placed_sql(2, 4, 2, "SELECT * FROM p"))
 def expert_hierarchical(spark, d):
     return balance.balance_experts(experts(spark, d), workers=8, nodes=2, group_size=4, redundant=2)
 
 
-@query()
+@query(placed_sql(1, 1, 4, "SELECT worker_id, count(*) AS experts, round(sum(load), 4) AS load FROM p GROUP BY 1"))
 def expert_worker_loads(spark, d):
-    return balance.worker_loads(balance.balance_experts(experts(spark, d), workers=8, redundant=4))
+    return rounded(balance.worker_loads(balance.balance_experts(experts(spark, d), workers=8, redundant=4)), "load", to=4)
 
 
-@query()
+STICKY = WORKERS.replace("WITH w AS", "WITH RECURSIVE w AS") + """,
+c AS (SELECT list(queue ORDER BY worker_id) AS q, list(assigned ORDER BY worker_id) AS a, list(healthy ORDER BY worker_id) AS h FROM s),
+r AS (
+  SELECT -1 AS k, 0::BIGINT AS got, q, a, h, []::BIGINT[] AS held FROM c
+  UNION ALL
+  SELECT k, got, q, [a[i] + CASE WHEN fresh AND i = got + 1 THEN 1 ELSE 0 END for i in range(1, 9)], able, CASE WHEN k < 25 THEN list_append(held, got) ELSE held END
+  FROM (
+    SELECT *, fresh_ AS fresh, CASE WHEN fresh_ THEN list_position(cost, list_min(cost)) - 1 ELSE held[k - 24] END AS got FROM (
+      SELECT *, k < 25 OR NOT able[held[greatest(k - 24, 1)] + 1] AS fresh_, [CASE WHEN able[i] THEN 0.6::DOUBLE * q[i] + 0.4::DOUBLE * a[i] ELSE 1e9 END for i in range(1, 9)] AS cost FROM (
+        SELECT k + 1 AS k, q, a, held, CASE WHEN k + 1 >= 25 THEN [h[i] AND i <> 1 for i in range(1, 9)] ELSE h END AS able FROM r WHERE k < 49))))
+SELECT CASE WHEN k < 25 THEN k ELSE k + 975 END AS at, k % 25 AS shard_id, got AS worker_id FROM r WHERE k >= 0
+"""
+
+
+@query(STICKY)
 def sticky_assign(spark, d):
     """Nations ask for a worker, and again after worker 0 has failed."""
     asks = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("shard_id"))
