@@ -71,7 +71,7 @@ def plan(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     src = src.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     src = materialise(src.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
     n = src.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]
-    bits = min(40, max(4, (n // bucket_rows).bit_length()))
+    bits = min(40, max(8, (n // bucket_rows).bit_length()))
     bucket = F.shiftright("key", 60 - bits).alias("bucket")
     by_source = Window.partitionBy("source")
     fits = (
