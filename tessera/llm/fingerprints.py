@@ -19,12 +19,11 @@ STEPS = 2048
 TOGETHER = 64
 #: Samples of a fingerprint, and consecutive outputs in each.
 SAMPLES, RUN = 64, 16
-#: Samples of a band: texts that agree in all of a band are candidates.
-BAND = 2
-#: Texts are near where no more edits are between them than 1 - NEAR of the longer one's characters.
-NEAR = 0.75
-#: Bins of the character counts that bound the edit distance before it is computed.
-BINS = 64
+#: Samples of a band: texts that agree in all of a band meet.
+BAND = 3
+#: Texts are near where no more edits are between them than 1 - NEAR of the longer one's characters. Of those that meet, the ones whose
+#: fingerprints have at least LIKELY in common are compared; those with SURE in common bring others together without more comparisons.
+NEAR, LIKELY, SURE = 0.75, 0.25, 0.75
 #: Characters, and texts, embedded at once.
 CHUNK, CHUNK_TEXTS = 3 << 20, 2000
 SEED = 20
@@ -308,36 +307,59 @@ def edits_within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return last <= most
 
 
-def near_links(names: list[int], texts: list[str], least: float = NEAR) -> list[tuple[int, int]]:
-    """Links that connect all of a block whose edit distance is small enough, directly or through others. Pairs that are connected
-    already, or whose lengths or character counts show that they are too far apart, aren't compared."""
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    names, coded = [names[i] for i in order], [symbols(texts[i]) for i in order]
-    size = np.array([len(x) for x in coded])
-    counts = np.stack([np.bincount(x % BINS, minlength=BINS) for x in coded])
-    root = np.arange(len(coded))
+def likely_links(names: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of a block whose fingerprints have LIKELY in common, but those that pairs with SURE in common connect already."""
+    cells = np.frombuffer(b"".join(prints), ">u2").reshape(len(prints), SAMPLES)
+    root = np.arange(len(prints))
     found = []
-    for q in range(len(coded) - 1):
-        most = np.floor((1 - least) * size).astype(np.int64)
-        rest = np.flatnonzero((root[q + 1 :] != root[q]) & (size[q + 1 :] - size[q] <= most[q + 1 :])) + q + 1
-        if not len(rest):
-            continue
-        off = np.abs(counts[rest] - counts[q]).sum(1)
-        for x in rest[off <= 2 * most[rest] - (size[rest] - size[q])]:
-            if root[x] != root[q] and edits_within(coded[q], coded[x], int(most[x])):
+    for q in range(len(prints) - 1):
+        rest = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
+        near = likeness(cells[rest], cells[q])
+        for x, part in zip(rest[near >= LIKELY], near[near >= LIKELY], strict=True):
+            if root[x] != root[q]:
                 found.append((names[q], names[x]))
-                root[root == root[x]] = root[q]
+                if part >= SURE:
+                    root[root == root[x]] = root[q]
     return found
 
 
+def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float) -> DataFrame:
+    """Those of ``links`` (a, b) whose texts, from ``docs`` (text), have a small enough edit distance. A text is sent once for each link."""
+    links = materialise(links.distinct(), "prints-likely")
+    ends = materialise(links.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "prints-ends")
+    wanted = Filter(ends)
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            called = names.of(digests(t.encode() for t in texts))
+            take = np.flatnonzero(wanted.may_hold(called))
+            yield pa.RecordBatch.from_arrays([pa.array(called[take]), pa.array([texts[i] for i in take], pa.string())], names=["name", "body"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if edits_within(symbols(x), symbols(y), int((1 - least) * max(len(x), len(y)))):
+                    ok.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok, pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+    held = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(bodies, "name long, body string")
+    held = materialise(held.groupBy("name").agg(F.first("body").alias("body")), "prints-texts")
+    both = links.join(held.toDF("a", "left"), "a").join(held.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    out = materialise(both.mapInArrow(near, "a long, b long"), "prints-verified")
+    discard(links, ends, held)
+    return out
+
+
 def near_texts(prints: DataFrame, docs: DataFrame, least: float = NEAR, band: int = BAND, name_bits: int = 64) -> DataFrame:
     """(name, name2, near_root) of the different texts of ``prints`` (doc_id, n_chars, name, name2, fingerprint; a written table), which
     are those of ``docs`` (text), that have several rows or a near text.
 
-    near_root is the smallest doc_id (null last) of the class: texts that agree in a band of ``band`` samples meet, and are linked where
-    the edit distance is at most 1 - ``least`` of the longer one; classes are linked directly or through others. What isn't connected
-    with the first of a group is held against all others, in blocks, so that a group of n that are alike costs n pairs, not its square.
-    Null texts count as empty, and empty texts are equal.
+    near_root is the smallest doc_id (null last) of the class: texts that agree in a band of ``band`` samples meet, those whose
+    fingerprints have LIKELY in common are compared, and linked where the edit distance is at most 1 - ``least`` of the longer one;
+    classes are linked directly or through others. What isn't connected with the first of a group is held against all others, in blocks,
+    so that a group of n that are alike costs n pairs, not its square. Null texts count as empty, and empty texts are equal.
     """
     keyed = prints.select(F.col("name").alias("name1"), "name2", "doc_id", "n_chars", "fingerprint", F.col("name").bitwiseAND(F.lit(int(Names(bits=name_bits).keep))).alias("name"))
     names, keyed = settled_names(keyed, name_bits)
@@ -357,21 +379,12 @@ def near_texts(prints: DataFrame, docs: DataFrame, least: float = NEAR, band: in
         return make
 
     rows = one.select("name", "n_chars", "fingerprint")
-    found = candidate_groups(rows, entries, one.count() * -(-SAMPLES // band), np.zeros(0, np.uint64), lambda keys, sizes: 4 * sizes, int(100 * least))
+    found = candidate_groups(rows, entries, one.count() * -(-SAMPLES // band), np.zeros(0, np.uint64), lambda keys, sizes: np.full(len(keys), 2 * SAMPLES), int(100 * least))
     found = materialise(found, "prints-found")
     groups = materialise(leads(found), "prints-groups")
     discard(found)
-    wanted = Filter(groups.select("name"))
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            called = names.of(digests(t.encode() for t in texts))
-            take = np.flatnonzero(wanted.may_hold(called))
-            yield pa.RecordBatch.from_arrays([pa.array(called[take]), pa.array([texts[i] for i in take], pa.string())], names=["name", "body"])
-
-    held = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(bodies, "name long, body string")
-    roots = connected(groups, lambda members: blocks_met(members, held, lambda n, b: near_links(n, b, least)), "prints")
+    held = one.select("name", F.unhex("fingerprint").alias("body"))
+    roots = connected(groups, lambda members: verified_links(blocks_met(members, held, likely_links), docs, names, least), "prints")
     classes = materialise(one.join(beside(roots), F.col("name") == F.col("node"), "left").where("rows > 1 or root is not null").select("name1", "name2", "doc_id", F.coalesce("root", "name").alias("root")), "prints-classes")
     firsts = materialise(classes.groupBy("root").agg(F.min("doc_id").alias("near_root")), "prints-roots")
     return materialise(classes.join(beside(firsts), "root").select(F.col("name1").alias("name"), "name2", "near_root"), "prints-near")

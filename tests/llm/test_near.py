@@ -374,7 +374,7 @@ def test_near_texts(spark, monkeypatch, block, bits):
     want = plain_components(range(len(plain)), links)
     assert all(root[i] != root[j] or want[i] == want[j] for i in root for j in root)  # nothing but what is near
     found = sum(root[a] == root[b] for a, b in links)
-    assert found >= 0.95 * len(links) and all(root[i] == r for i, r in want.items() if i < 12 * 6 and i % 6 < 2)
+    assert found >= 0.9 * len(links) and all(root[i] == r for i, r in want.items() if i < 12 * 6 and i % 6 < 2)
 
 
 def test_op8_has_classes(spark, tmp_path):
