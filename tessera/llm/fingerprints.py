@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import beside, discard, materialise, table
+from tessera.llm.common import beside, components, discard, materialise, table
 from tessera.llm.grouping import Filter, Names, blocks_met, candidate_groups, connected, digests, leads, settled_names
 
 #: Steps for which random bits are drawn at once; a step goes on by one character with probability a half.
@@ -22,8 +22,8 @@ SAMPLES, RUN = 64, 16
 #: Samples of a band: texts that agree in all of a band meet.
 BAND = 3
 #: Texts are near where they share at least NEAR of the longer one's runs of GRAM characters. Of those that meet, the ones whose
-#: fingerprints have at least LIKELY in common are compared; those with SURE in common bring others together without more comparisons.
-NEAR, LIKELY, SURE, GRAM = 0.75, 0.25, 0.75, 16
+#: fingerprints have at least LIKELY in common are compared.
+NEAR, LIKELY, GRAM = 0.75, 0.25, 16
 #: Characters, and texts, embedded at once.
 CHUNK, CHUNK_TEXTS = 3 << 20, 2000
 SEED = 20
@@ -181,7 +181,8 @@ def fingerprint_pairs(texts: list[str], model: Embedding) -> tuple[list[str], np
     for t, after in zip(texts, texts[1:], strict=False):
         q = len(t) // 3
         edited.append(t[: len(t) - q] + after[:q])
-    return edited, embed(texts, model)[0], embed(edited, model)[0]
+    prints = embed(texts + edited, model)[0]  # more walks take each step together
+    return edited, prints[: len(texts)], prints[len(texts) :]
 
 
 def neighbours(docs: DataFrame, parts: int) -> DataFrame:
@@ -278,44 +279,81 @@ def grams(text: str) -> np.ndarray:
     x = symbols(text).astype(np.uint64)
     if not len(x):
         return x
-    x = np.r_[x, np.zeros(max(0, GRAM - len(x)), np.uint64)]
-    h = np.zeros(len(x) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        h = _mix(h ^ x[i : i + len(h)])
+    h, width = np.r_[x, np.zeros(max(0, GRAM - len(x)), np.uint64)], 1
+    while width < GRAM:  # runs of twice the width from two of this one
+        h = _mix(_mix(h[:-width]) ^ h[width:])
+        width *= 2
     return h
 
 
-def overlap(x: str, y: str) -> float:
-    """The part of the longer text's ``grams`` that both share, each as often as both have it; 1 if both texts are empty.
+def counted_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``grams``, sorted, and how often each occurs."""
+    return np.unique(grams(text), return_counts=True)
+
+
+def overlap(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """The part of the longer text's ``counted_grams`` that both share, each as often as both have it; 1 if both texts are empty.
 
     One edit costs GRAM runs at most, so texts that are a 64th of their length apart by edit distance share three quarters.
     Linear but for sorting, so that texts of any length are verified whole.
     """
-    (a, n), (b, m) = (np.unique(grams(t), return_counts=True) for t in (x, y))
+    (a, n), (b, m) = x, y
     most = max(n.sum(), m.sum())
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     return float(np.minimum(n[i], m[j]).sum() / most) if most else 1.0
 
 
-def likely_links(names: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of a block whose fingerprints have LIKELY in common, but those that pairs with SURE in common connect already."""
-    cells = np.frombuffer(b"".join(prints), ">u2").reshape(len(prints), SAMPLES)
-    root = np.arange(len(prints))
+def cells_of(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), ">u2").reshape(len(prints), SAMPLES)
+
+
+def likely_tree(names: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
+    """Of the pairs of a block whose fingerprints have LIKELY in common, a forest of those most alike, which connects what all would."""
+    cells, n = cells_of(prints), len(prints)
+    best, nearest, left = np.zeros(n), np.full(n, -1), np.ones(n, bool)
     found = []
-    for q in range(len(prints) - 1):
-        rest = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
-        near = likeness(cells[rest], cells[q])
-        for x, part in zip(rest[near >= LIKELY], near[near >= LIKELY], strict=True):
-            if root[x] != root[q]:
-                found.append((names[q], names[x]))
-                if part >= SURE:
-                    root[root == root[x]] = root[q]
+    for _ in range(n):
+        q = int(np.argmax(np.where(left, best, -1.0)))
+        left[q] = False
+        if best[q] >= LIKELY:
+            found.append((names[nearest[q]], names[q]))
+        near = likeness(cells, cells[q])
+        closer = left & (near > best)
+        best[closer], nearest[closer] = near[closer], q
     return found
 
 
+def likely_rest(names: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+    """Pairs of a block whose fingerprints have LIKELY in common and whose roots, the first eight bytes of each body, differ."""
+    roots, cells = np.array([b[:8] for b in bodies]), cells_of([b[8:] for b in bodies])
+    found = []
+    for q in range(len(names) - 1):
+        rest = np.flatnonzero(roots[q + 1 :] != roots[q]) + q + 1
+        found += [(names[q], names[x]) for x in rest[likeness(cells[rest], cells[q]) >= LIKELY]]
+    return found
+
+
+def near_links(members: DataFrame, held: DataFrame, docs: DataFrame, names: Names, least: float) -> DataFrame:
+    """Links between texts of a block of ``members`` (lead, block, name) that are near; ``held`` (name, body) has their fingerprints.
+
+    First the forest of the likeliest pairs of each block is verified. Then every other likely pair is, unless links connect it by then:
+    so n copies of a text that all are near cost n verifications, and no pair is taken for near, or left out, by its fingerprints alone.
+    """
+    tree = materialise(blocks_met(members, held, likely_tree).distinct(), "prints-tree")
+    links = verified_links(tree, docs, names, least)
+    roots = components(links)
+    rooted = materialise(members.join(roots.withColumnRenamed("node", "name"), "name", "left").select("lead", "block", "name", F.coalesce("root", "name").alias("root")), "prints-rooted")
+    apart = materialise(rooted.groupBy("lead", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("lead", "block"), "prints-apart")
+    bodies = held.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.concat(F.unhex(F.lpad(F.hex(F.coalesce("root", "name")), 16, "0")), "body").alias("body"))
+    rest = blocks_met(rooted.join(apart, ["lead", "block"]).select("lead", "block", "name"), bodies, likely_rest)
+    rest = materialise(rest.distinct().join(tree, ["a", "b"], "left_anti").join(tree.toDF("b", "a"), ["a", "b"], "left_anti"), "prints-rest")
+    out = links.union(verified_links(rest, docs, names, least))
+    discard(tree, roots, rooted, apart, rest)
+    return out
+
+
 def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float) -> DataFrame:
-    """Those of ``links`` (a, b) whose texts, from ``docs`` (text), overlap enough. A text is sent once for each link."""
-    links = materialise(links.distinct(), "prints-likely")
+    """Those of ``links`` (a, b; a written table) whose texts, from ``docs`` (text), overlap enough. A text is sent once for each link."""
     ends = materialise(links.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "prints-ends")
     wanted = Filter(ends)
 
@@ -327,10 +365,13 @@ def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float
             yield pa.RecordBatch.from_arrays([pa.array(called[take]), pa.array([texts[i] for i in take], pa.string())], names=["name", "body"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, right = None, counted_grams("")  # links of one text mostly follow each other
         for batch in batches:
             ok = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if overlap(x, y) >= least:
+            for i, (b, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                if b != last:
+                    last, right = b, counted_grams(y)
+                if overlap(counted_grams(x), right) >= least:
                     ok.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
@@ -338,7 +379,7 @@ def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float
     held = materialise(held.groupBy("name").agg(F.first("body").alias("body")), "prints-texts")
     both = links.join(held.toDF("a", "left"), "a").join(held.toDF("b", "right"), "b").select("a", "b", "left", "right")
     out = materialise(both.mapInArrow(near, "a long, b long"), "prints-verified")
-    discard(links, ends, held)
+    discard(ends, held)
     return out
 
 
@@ -374,7 +415,7 @@ def near_texts(prints: DataFrame, docs: DataFrame, least: float = NEAR, band: in
     groups = materialise(leads(found), "prints-groups")
     discard(found)
     held = one.select("name", F.unhex("fingerprint").alias("body"))
-    roots = connected(groups, lambda members: verified_links(blocks_met(members, held, likely_links), docs, names, least), "prints")
+    roots = connected(groups, lambda members: near_links(members, held, docs, names, least), "prints")
     classes = materialise(one.join(beside(roots), F.col("name") == F.col("node"), "left").where("rows > 1 or root is not null").select("name1", "name2", "doc_id", F.coalesce("root", "name").alias("root")), "prints-classes")
     firsts = materialise(classes.groupBy("root").agg(F.min("doc_id").alias("near_root")), "prints-roots")
     return materialise(classes.join(beside(firsts), "root").select(F.col("name1").alias("name"), "name2", "near_root"), "prints-near")

@@ -347,7 +347,7 @@ def test_overlap(a, b):
     runs = lambda t: Counter(t[i : i + 16] for i in range(max(1, len(t) - 15)) if t)
     x, y = runs(a), runs(b)
     most = max(sum(x.values()), sum(y.values()))
-    assert fingerprints.overlap(a, b) == (sum((x & y).values()) / most if most else 1.0)
+    assert fingerprints.overlap(fingerprints.counted_grams(a), fingerprints.counted_grams(b)) == (sum((x & y).values()) / most if most else 1.0)
 
 
 @pytest.mark.parametrize("block,bits", [(128, 64), (4, 4)])
@@ -367,7 +367,8 @@ def test_near_texts(spark, monkeypatch, block, bits):
     got = {(r.name, r.name2): r.near_root for r in fingerprints.near_texts(prints, frame, name_bits=bits).collect()}
     root = {(r.doc_id): got.get((r.name, r.name2), r.doc_id) for r in prints.collect() if r.doc_id is not None}
     plain = [t or "" for t in texts]
-    links = [(a, b) for a in range(len(plain)) for b in range(a) if fingerprints.overlap(plain[a], plain[b]) >= fingerprints.NEAR]
+    grams = [fingerprints.counted_grams(t) for t in plain]
+    links = [(a, b) for a in range(len(plain)) for b in range(a) if fingerprints.overlap(grams[a], grams[b]) >= fingerprints.NEAR]
     want = plain_components(range(len(plain)), links)
     assert all(root[i] != root[j] or want[i] == want[j] for i in root for j in root)  # nothing but what is near
     found = sum(root[a] == root[b] for a, b in links)
