@@ -323,14 +323,35 @@ def likely_tree(names: list[int], prints: list[bytes]) -> list[tuple[int, int]]:
     return found
 
 
-def likely_rest(names: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of a block whose fingerprints have LIKELY in common and whose roots, the first eight bytes of each body, differ."""
-    roots, cells = np.array([b[:8] for b in bodies]), cells_of([b[8:] for b in bodies])
-    found = []
-    for q in range(len(names) - 1):
-        rest = np.flatnonzero(roots[q + 1 :] != roots[q]) + q + 1
-        found += [(names[q], names[x]) for x in rest[likeness(cells[rest], cells[q]) >= LIKELY]]
-    return found
+def likely_ends(names: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+    """Each item of a block, with itself, that has LIKELY in common with one whose root, the first eight bytes of a body, differs."""
+    roots, cells = np.array([b[:8].hex() for b in bodies]), cells_of([b[8:] for b in bodies])
+    return [(x, x) for q, x in enumerate(names) if (likeness(cells[roots != roots[q]], cells[q]) >= LIKELY).any()]
+
+
+def verified_rest(least: float) -> Callable[[list[int], list[bytes]], list[tuple[int, int]]]:
+    """Links of a block between texts that are likely, overlap enough and aren't connected by then; a body is root, fingerprint, text."""
+
+    def links(names: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+        root = np.unique(np.array([b[:8].hex() for b in bodies]), return_inverse=True)[1]
+        cells = cells_of([b[8 : 8 + 2 * SAMPLES] for b in bodies])
+        counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found = []
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in counted:
+                counted[i] = counted_grams(bodies[i][8 + 2 * SAMPLES :].decode())
+            return counted[i]
+
+        for q in range(len(names) - 1):
+            rest = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
+            for x in rest[likeness(cells[rest], cells[q]) >= LIKELY].tolist():
+                if root[x] != root[q] and overlap(of(q), of(x)) >= least:
+                    found.append((names[q], names[x]))
+                    root[root == root[x]] = root[q]
+        return found
+
+    return links
 
 
 def near_links(members: DataFrame, held: DataFrame, docs: DataFrame, names: Names, least: float) -> DataFrame:
@@ -338,23 +359,25 @@ def near_links(members: DataFrame, held: DataFrame, docs: DataFrame, names: Name
 
     First the forest of the likeliest pairs of each block is verified. Then every other likely pair is, unless links connect it by then:
     so n copies of a text that all are near cost n verifications, and no pair is taken for near, or left out, by its fingerprints alone.
+    For that the texts that still have such a pair go to their blocks, each once, and only links come out, fewer than a block has texts.
     """
     tree = materialise(blocks_met(members, held, likely_tree).distinct(), "prints-tree")
     links = verified_links(tree, docs, names, least)
     roots = components(links)
     rooted = materialise(members.join(roots.withColumnRenamed("node", "name"), "name", "left").select("lead", "block", "name", F.coalesce("root", "name").alias("root")), "prints-rooted")
     apart = materialise(rooted.groupBy("lead", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("lead", "block"), "prints-apart")
-    bodies = held.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.concat(F.unhex(F.lpad(F.hex(F.coalesce("root", "name")), 16, "0")), "body").alias("body"))
-    rest = blocks_met(rooted.join(apart, ["lead", "block"]).select("lead", "block", "name"), bodies, likely_rest)
-    rest = materialise(rest.distinct().join(tree, ["a", "b"], "left_anti").join(tree.toDF("b", "a"), ["a", "b"], "left_anti"), "prints-rest")
-    out = links.union(verified_links(rest, docs, names, least))
-    discard(tree, roots, rooted, apart, rest)
-    return out
-
-
-def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float) -> DataFrame:
-    """Those of ``links`` (a, b; a written table) whose texts, from ``docs`` (text), overlap enough. A text is sent once for each link."""
-    ends = materialise(links.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "prints-ends")
+    members = rooted.join(apart, ["lead", "block"]).select("lead", "block", "name")
+    heads = held.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.concat(F.unhex(F.lpad(F.hex(F.coalesce("root", "name")), 16, "0")), "body").alias("body"))
+    ends = materialise(blocks_met(members, heads, likely_ends).select(F.col("a").alias("name")).distinct(), "prints-open")
+    texts = texts_named(ends, docs, names)
+    whole = heads.join(texts.withColumnRenamed("body", "text"), "name").select("name", F.concat("body", F.col("text").cast("binary")).alias("body"))
+    rest = materialise(blocks_met(members.join(ends, "name", "left_semi"), whole, verified_rest(least)), "prints-rest")
+    discard(tree, roots, rooted, apart, ends, texts)
+    return links.union(rest)
+
+
+def texts_named(ends: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
+    """(name, body): the texts of ``docs`` (text) that ``ends`` (name; a written table) names, each once."""
     wanted = Filter(ends)
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,6 +387,15 @@ def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float
             take = np.flatnonzero(wanted.may_hold(called))
             yield pa.RecordBatch.from_arrays([pa.array(called[take]), pa.array([texts[i] for i in take], pa.string())], names=["name", "body"])
 
+    held = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(bodies, "name long, body string")
+    return materialise(held.groupBy("name").agg(F.first("body").alias("body")), "prints-texts")
+
+
+def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float) -> DataFrame:
+    """Those of ``links`` (a, b; a written table) whose texts, from ``docs`` (text), overlap enough. A text is sent once for each link."""
+    ends = materialise(links.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "prints-ends")
+    held = texts_named(ends, docs, names)
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, counted_grams("")  # links of one text mostly follow each other
         for batch in batches:
@@ -375,8 +407,6 @@ def verified_links(links: DataFrame, docs: DataFrame, names: Names, least: float
                     ok.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    held = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(bodies, "name long, body string")
-    held = materialise(held.groupBy("name").agg(F.first("body").alias("body")), "prints-texts")
     both = links.join(held.toDF("a", "left"), "a").join(held.toDF("b", "right"), "b").select("a", "b", "left", "right")
     out = materialise(both.mapInArrow(near, "a long, b long"), "prints-verified")
     discard(ends, held)
