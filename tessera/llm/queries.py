@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, revisits, sharding, url_filter
+from tessera.llm import exact_dedup, filter_audit, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, revisits, sharding, url_filter
 
 QUERIES = {
     "op1_warc_revisits": revisits.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8,
     "op9_line_dedup": line_dedup.op9,
     "op10_mixing": mixing.op10,
+    "op11_filter_audit": filter_audit.op11,
 }
 
 #: Sharding has no SQL (DuckDB has no CRC-32), nor have language ID, packing and fingerprints; tests hold those against brute force.
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_url_filter": url_filter.ORACLE,
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
