@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, filter_audit, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, revisits, sharding, url_filter
+from tessera.llm import exact_dedup, filter_audit, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, packing, revisits, sharding, url_filter
 
 QUERIES = {
     "op1_warc_revisits": revisits.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9,
     "op10_mixing": mixing.op10,
     "op11_filter_audit": filter_audit.op11,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 #: Sharding has no SQL (DuckDB has no CRC-32), nor have language ID, packing and fingerprints; tests hold those against brute force.
@@ -26,4 +27,5 @@ ORACLES = {
     "op7_jaccard_join": jaccard_join.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
