@@ -179,7 +179,8 @@ def search(seeking: DataFrame, lists: DataFrame, index: tuple[np.ndarray, np.nda
     first_k = F.row_number().over(Window.partitionBy("row", "slot").orderBy(F.desc("score"), F.asc_nulls_last("found")))
     ends = [e for e in VISITS if e < len(centres)] + [len(centres)]
     for first, last in zip([0, *ends], ends):
-        asked = materialise(visits(seeking, centres, radii, first, last).withColumn("slice", cut(F.lit(slices))), "negatives-visits")
+        useful = seeking if hits is None else narrowed(seeking, hits, k)
+        asked = materialise(visits(useful, centres, radii, first, last).withColumn("slice", cut(F.lit(slices))), "negatives-visits")
         wanted = materialise(asked.select("list", "slice").distinct(), "negatives-lists")  # a row for each list and slice at most
         met = lists.join(beside(wanted), "list").withColumn("chunk", cut(parts))
         keys = ["list", "slice", "chunk"]
@@ -188,8 +189,6 @@ def search(seeking: DataFrame, lists: DataFrame, index: tuple[np.ndarray, np.nda
         all_hits = new if hits is None else new.unionByName(hits.select(*new.columns))
         before, hits = hits, materialise(all_hits.withColumn("rank", first_k).where(F.col("rank") <= k), "negatives-hits")
         discard(asked, wanted, *([] if before is None else [before]))
-        if last < len(centres):
-            seeking = narrowed(seeking, hits, k)
     return hits
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, filter_audit, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, packing, revisits, sharding, url_filter
+from tessera.llm import exact_dedup, filter_audit, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, packing, personal_data, revisits, sharding, url_filter
 
 QUERIES = {
     "op1_warc_revisits": revisits.op1,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9,
     "op10_mixing": mixing.op10,
     "op11_filter_audit": filter_audit.op11,
+    "op12_personal_data": personal_data.op12,
     "op13_hard_negatives": hard_negatives.op13,
 }
 
-#: Sharding has no SQL (DuckDB has no CRC-32), nor have language ID, packing and fingerprints; tests hold those against brute force.
+#: Sharding has no SQL (DuckDB has no CRC-32), nor have language ID, packing, fingerprints and personal data; tests hold those against
+#: brute force.
 ORACLES = {
     "op1_warc_revisits": revisits.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,

@@ -60,7 +60,7 @@ def test_many_lists_rounds_and_cuts(spark, monkeypatch):
 
 
 def test_large_components(spark):
-    rows = [(0, [60_000.0, 1.0], 1), (1, [60_000.0, 2.0], 1), (2, [50_000.0, 3.0], 2), (3, [30_001.0, 0.0], 2), (4, [57_000.0, 0.0], 2)]
+    rows = [(50, [60_000.0, 1.0], 1), (1, [60_000.0, 2.0], 1), (2, [50_000.0, 3.0], 2), (3, [30_001.0, 0.0], 2), (4, [57_000.0, 0.0], 2)]
     assert mined(spark, rows) == plain(rows) and plain(rows)
 
 
