@@ -5,58 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks
 from tessera.operators.tensor import ShapeError, Tensor
 
-
-#: Cells of a matrix that is broadcast, some 5 MB; a larger one is dealt.
-BROADCAST_CELLS = 200_000
-
-
-def _product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, v): sum over k of a (i, k, v) times b (k, j, v), with partial and final sums.
-
-    A small b goes to the rows of a, which stay where they are. A larger one is dealt by k and by one of as many blocks of rows as there
-    are shuffle partitions, of which each has a copy of b; so a few values of k are still many tasks.
-    """
-    left = a.select("i", "k", F.col("v").cast("double").alias("v"))
-    right = b.select("k", "j", F.col("v").cast("double").alias("w"))
-    if right.count() <= BROADCAST_CELLS:
-        joined = left.join(F.broadcast(right), "k")
-    else:
-        blocks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = left.withColumn("_block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-        joined = left.join(right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["k", "_block"])
-    return joined.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+Shape = tuple[int, int, int]
 
 
 def matmul_abt(a: Tensor, b: Tensor) -> Tensor:
     """A times B transposed, for [M, K] and [N, K]."""
     if len(a.shape) != 2 or len(b.shape) != 2 or a.shape[1] != b.shape[1]:
         raise ShapeError(f"matmul of {a.shape} and {b.shape}")
-    cells = _product(a.cells().withColumnRenamed("j", "k"), b.cells().select(F.col("j").alias("k"), F.col("i").alias("j"), "v"))
+    cells = blocks.product(a.cells(), b.cells(), (a.shape[0], a.shape[1], b.shape[0]), ("i", "j"), ("i", "j"))
     return Tensor.of_cells(cells, a.shape[0], b.shape[0])
 
 
-def linear_forward(x: DataFrame, w: DataFrame, bias: DataFrame | None = None) -> DataFrame:
-    """Y = X W + b: x (i, j, v) over inputs j, w (i, j, v) from input i to output j, bias (j, v)."""
-    y = _product(x.withColumnRenamed("j", "k"), w.withColumnRenamed("i", "k"))
+def _shape(shape: Shape | None, x: DataFrame, w: DataFrame) -> Shape:
+    """(rows of x, rows of w, columns of w); asked of the frames, in two small jobs, if it isn't given."""
+    return shape or (*blocks.extent(x, "i"), *blocks.extent(w, "i", "j"))
+
+
+def linear_forward(x: DataFrame, w: DataFrame, bias: DataFrame | None = None, shape: Shape | None = None) -> DataFrame:
+    """Y = X W + b: x (i, j, v) over inputs j, w (i, j, v) from input i to output j, bias (j, v); ``shape``: rows, inputs, outputs."""
+    y = blocks.product(x, w, _shape(shape, x, w))
     if bias is None:
         return y
     return y.join(bias.select("j", F.col("v").alias("_b")), "j").select("i", "j", (F.col("v") + F.col("_b")).alias("v"))
 
 
-def linear_backward(x: DataFrame, w: DataFrame, dy: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linear_backward(x: DataFrame, w: DataFrame, dy: DataFrame, shape: Shape | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """dX = dY Wt, dW = Xt dY, db = column sums of dY."""
-    dx = _product(dy.withColumnRenamed("j", "k"), w.select(F.col("j").alias("k"), F.col("i").alias("j"), "v"))
-    return dx, of_columns(x, dy), dy.groupBy("j").agg(F.sum("v").alias("v"))
+    rows, inputs, outputs = _shape(shape, x, w)
+    dx = blocks.product(dy, w, (rows, outputs, inputs), ("i", "j"), ("i", "j"))
+    return dx, of_columns(x, dy, (inputs, rows, outputs)), dy.groupBy("j").agg(F.sum("v").alias("v"))
 
 
-def of_columns(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(i, j, v): products of each column i of x (i, j, v) with each column j of y (i, j, v), added up over their rows. Rows are many, so
-    they are what the join deals by."""
-    left = x.select(F.col("j").alias("_i"), F.col("i").alias("k"), F.col("v").cast("double").alias("v"))
-    right = y.select(F.col("i").alias("k"), "j", F.col("v").cast("double").alias("w"))
-    return left.join(right, "k").groupBy(F.col("_i").alias("i"), "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+def of_columns(x: DataFrame, y: DataFrame, shape: Shape | None = None) -> DataFrame:
+    """(i, j, v): products of each column i of x (i, j, v) with each column j of y (i, j, v), added up over their rows; ``shape``: columns of
+    x, rows, columns of y."""
+    columns, rows = blocks.extent(x, "j", "i") if shape is None else shape[:2]
+    return blocks.product(x, y, (columns, rows, shape[2] if shape else blocks.extent(y, "j")[0]), ("j", "i"), ("j", "i"))
 
 
 def embedding_forward(tokens: DataFrame, weights: DataFrame) -> DataFrame:

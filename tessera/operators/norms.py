@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import online
 from tessera.operators.tensor import Tensor
 
 #: Probabilities at or below this take no part in a loss.
@@ -15,19 +16,21 @@ TINY = 1e-12
 
 def softmax(t: Tensor) -> Tensor:
     """Over all elements, whatever the axes."""
+    x, state = _with_state(t)
+    return Tensor(x.crossJoin(state).select("idx", online.probability(F.col("v"), F.col("_top"), F.col("_mass")).alias("v")), t.shape)
+
+
+def _with_state(t: Tensor) -> tuple[DataFrame, DataFrame]:
+    """The elements as doubles, and one row with the largest and the sum of exponentials below it."""
     x = t.df.select("idx", F.col("v").cast("double").alias("v"))
-    top = x.agg(F.max("v").alias("_top"))
-    e = x.crossJoin(F.broadcast(top)).select("idx", F.exp(F.col("v") - F.col("_top")).alias("v"))
-    whole = e.agg(F.sum("v").alias("_sum"))
-    return Tensor(e.crossJoin(F.broadcast(whole)).select("idx", (F.col("v") / F.col("_sum")).alias("v")), t.shape)
+    state = online.states(x.withColumn("_key", F.lit(0).cast("long")), "_key")
+    return x, F.broadcast(state.select(F.col("top").alias("_top"), F.col("mass").alias("_mass")))
 
 
 def softmax_rows(cells: DataFrame) -> DataFrame:
-    """(i, j, v) with each row's v made to add up to 1."""
+    """(i, j, v) with each row's v made to add up to 1. Only states of rows are shuffled for the statistics (``online.states``)."""
     x = cells.select("i", "j", F.col("v").cast("double").alias("v"))
-    top = x.groupBy("i").agg(F.max("v").alias("_top"))
-    e = x.join(top, "i").select("i", "j", F.exp(F.col("v") - F.col("_top")).alias("v"))
-    return e.join(e.groupBy("i").agg(F.sum("v").alias("_sum")), "i").select("i", "j", (F.col("v") / F.col("_sum")).alias("v"))
+    return x.join(online.states(x), "i").select("i", "j", online.probability(F.col("v"), F.col("top"), F.col("mass")).alias("v"))
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -52,8 +55,11 @@ def layer_norm(t: Tensor, eps: float = 1e-5) -> Tensor:
 
 def cross_entropy(logits: Tensor, labels: Tensor) -> Tensor:
     """Minus the sum of label times log probability, under one softmax over all logits, however they are dealt out."""
-    terms = softmax(logits).zip_map(labels, lambda p, y: F.when(p > TINY, -y * F.log(p)).otherwise(F.lit(0.0)))
-    return Tensor(terms.df.agg(F.sum("v").alias("v")).select(F.lit(0).cast("long").alias("idx"), "v"), ())
+    x, state = _with_state(logits)
+    v, top, mass = F.col("v"), F.col("_top"), F.col("_mass")
+    scored = x.crossJoin(state).select("idx", F.when(online.probability(v, top, mass) > TINY, online.log_probability(v, top, mass)).alias("l"))
+    terms = scored.join(labels.df.select("idx", F.col("v").alias("y")), "idx").where("l IS NOT NULL")
+    return Tensor(terms.agg(F.coalesce(F.sum(-F.col("y") * F.col("l")), F.lit(0.0)).alias("v")).select(F.lit(0).cast("long").alias("idx"), "v"), ())
 
 
 def cross_entropy_index(probabilities: DataFrame, targets: DataFrame) -> DataFrame:
@@ -61,6 +67,14 @@ def cross_entropy_index(probabilities: DataFrame, targets: DataFrame) -> DataFra
     return probabilities.join(targets, ["i", "j"]).agg((-F.avg(F.log("v"))).alias("loss"))
 
 
+def logit_loss(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """As ``cross_entropy_index`` of the softmax of ``cells`` (i, j, v), but from the logits: finite where a probability is too small for
+    a double. One logit of each row meets the row's state; no probabilities are made."""
+    x = cells.select("i", "j", F.col("v").cast("double").alias("v"))
+    met = x.join(targets, ["i", "j"]).join(online.states(x), "i")
+    return met.agg((-F.avg(online.log_probability(F.col("v"), F.col("top"), F.col("mass")))).alias("loss"))
+
+
 def softmax_loss_gradient(probabilities: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     """(p - 1 at the class) over the number of rows: the slope of cross_entropy_index by the logits."""
     hit = targets.select("i", F.col("j").alias("_y"))

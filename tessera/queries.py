@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar as S
 from tessera.functions import text as X
-from tessera.operators import balance, charlm, collectives, executors, linalg, maps, norms, optim, reduce
+from tessera.operators import balance, blocks, charlm, collectives, executors, linalg, maps, norms, optim, reduce
 from tessera.operators.autograd import Node
 from tessera.operators.tensor import Tensor
 from tessera.plans import shards
@@ -359,8 +359,18 @@ def matmul_abt(spark, d):
 
 @query(f"WITH a AS ({CELLS}) SELECT a.j AS i, b.j, round(sum(a.v * b.v), 5) AS v FROM a JOIN a b ON a.i = b.i GROUP BY a.j, b.j")
 def gram_of_columns(spark, d):
-    x = cells(spark, d)
-    return rounded(linalg.of_columns(x, x).select("i", "j", "v"), to=5)
+    x, n = cells(spark, d), load(spark, d, "embeddings").count()
+    return rounded(linalg.of_columns(x, x, (DIM, n, DIM)).select("i", "j", "v"), to=5)
+
+
+@query("SELECT a.l_partkey AS i, b.l_suppkey AS j, round(sum(a.l_quantity::DOUBLE * b.l_linenumber), 4) AS v FROM lineitem a JOIN lineitem b USING (l_orderkey) GROUP BY 1, 2")
+def matmul_of_orders(spark, d):
+    """Parts by orders times orders by suppliers: two large sparse matrices. Pairs that share no order are 0, and left out."""
+    lines = load(spark, d, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in ("l_partkey", "l_suppkey", "l_orderkey")], F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("n"))
+    parts, suppliers, orders = blocks.extent(lines, "l_partkey", "l_suppkey", "l_orderkey")
+    a, b = lines.select("l_partkey", "l_orderkey", F.col("q").alias("v")), lines.select("l_suppkey", "l_orderkey", F.col("n").alias("v"))
+    out = blocks.product(a, b, (parts, orders, suppliers), ("l_partkey", "l_orderkey"), ("l_suppkey", "l_orderkey"))
+    return rounded(out.where("v <> 0"), to=4)
 
 
 WEIGHT = "((i * 7 + j * 3) % 11 - 5) / 10.0"
@@ -374,26 +384,26 @@ def weights(spark, rows: int, cols: int) -> DataFrame:
 @query(f"WITH x AS ({CELLS}), w AS (SELECT i, j, ({WEIGHT})::DOUBLE AS v FROM (SELECT range // 16 AS i, range % 16 AS j FROM range(1024))) SELECT x.i, w.j, round(sum(x.v * w.v) + w.j / 8.0::DOUBLE, 5) AS v FROM x JOIN w ON x.j = w.i GROUP BY x.i, w.j")
 def linear_forward(spark, d):
     bias = spark.range(16).select(F.col("id").alias("j"), (F.col("id") / 8.0).alias("v"))
-    return rounded(linalg.linear_forward(cells(spark, d), weights(spark, DIM, 16), bias), to=5)
+    return rounded(linalg.linear_forward(cells(spark, d), weights(spark, DIM, 16), bias, (load(spark, d, "embeddings").count(), DIM, 16)), to=5)
 
 
 @query(f"WITH x AS ({CELLS}) SELECT x.j AS i, e.label::BIGINT AS j, round(sum(x.v), 5) AS v FROM x JOIN embeddings e ON x.i = e.vec_id GROUP BY 1, 2")
 def linear_backward(spark, d):
     """Gradient of the weights when the output's gradient is one at the label."""
     dy = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("j"), F.lit(1.0).alias("v"))
-    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, 10), dy)[1], to=5)
+    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, 10), dy, (load(spark, d, "embeddings").count(), DIM, 10))[1], to=5)
 
 
 @query(f"WITH w AS (SELECT i, j, ({WEIGHT})::DOUBLE AS v FROM (SELECT range // 10 AS i, range % 10 AS j FROM range(640))) SELECT e.vec_id AS i, w.i AS j, round(w.v, 5) AS v FROM embeddings e JOIN w ON w.j = e.label")
 def linear_backward_inputs(spark, d):
     """Gradient of the inputs when the output's gradient is one at the label."""
     dy = load(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("long").alias("j"), F.lit(1.0).alias("v"))
-    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, 10), dy)[0], to=5)
+    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, 10), dy, (load(spark, d, "embeddings").count(), DIM, 10))[0], to=5)
 
 
 @query(f"SELECT j, round(sum(v), 5) AS v FROM ({CELLS}) GROUP BY j")
 def linear_backward_bias(spark, d):
-    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, DIM), cells(spark, d))[2], to=5)
+    return rounded(linalg.linear_backward(cells(spark, d), weights(spark, DIM, DIM), cells(spark, d), (load(spark, d, "embeddings").count(), DIM, DIM))[2], to=5)
 
 
 @query("SELECT event_id AS pos, j AS dim, ((user_id % 32 * 7 + j * 3) % 11 - 5)::DOUBLE / 10 AS v FROM (SELECT *, unnest(range(0, 4)) AS j FROM events)")
@@ -475,7 +485,7 @@ def cross_entropy_soft(spark, d):
 
 @query(f"SELECT round(-avg(ln(p.v)), 6) AS loss FROM ({PROBS}) p JOIN embeddings e ON p.i = e.vec_id AND p.j = e.label")
 def cross_entropy_index(spark, d):
-    return rounded(norms.cross_entropy_index(norms.softmax_rows(logits(spark, d)), classes(spark, d)), "loss")
+    return rounded(norms.logit_loss(logits(spark, d), classes(spark, d)), "loss")
 
 
 @query(f"SELECT p.i, p.j, round((p.v - (p.j = e.label)::INT) / (SELECT count(*) FROM embeddings), 9) AS v FROM ({PROBS}) p JOIN embeddings e ON p.i = e.vec_id")
