@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -523,6 +524,86 @@ _grad("grad_absolute", lambda x, y: abs(x - y).sum(), "sign(value - u)::DOUBLE")
 _grad("grad_clamp", lambda x, y: x.clamp(10.0, 60.0).sum(), "CASE WHEN value BETWEEN 10 AND 60 THEN 1.0::DOUBLE ELSE 0 END")
 
 
+DEEP = 20
+
+
+def _deep_sql() -> str:
+    sql = "SELECT event_id, value * 0.001::DOUBLE AS y, 0.001::DOUBLE AS slope FROM events"
+    for _ in range(DEEP):
+        sql = f"SELECT event_id, y * y * 0.5 + y * 0.4 AS y, slope * (y + 0.4) AS slope FROM ({sql})"
+    return f"SELECT event_id AS idx, round(slope * 1e9, 4) AS v FROM ({sql})"
+
+
+@query(_deep_sql())
+def grad_deep_shared(spark, d):
+    """Twenty steps, each of which uses the one before it three times: one scan, whatever the depth."""
+    x = Node(events(spark, d), True)
+    y = x * 0.001
+    for _ in range(DEEP):
+        y = y * y * 0.5 + y * 0.4
+    y.sum().backward()
+    return rounded(x.grad.map(lambda v: v * 1e9).df, to=4)
+
+
+TWO = "SELECT event_id, value / 20 AS x, (user_id % 5)::DOUBLE AS w FROM events"
+
+
+def two(spark, d) -> tuple[Node, Node]:
+    """Two columns of the events, read together."""
+    rows = load(spark, d, "events").select(F.col("event_id").alias("idx"), (F.col("value") / 20).alias("x"), (F.col("user_id") % 5).cast("double").alias("w"))
+    return tuple(Node.columns(rows, rows.count(), "x", "w"))
+
+
+@query(f"WITH t AS ({TWO}), p AS (SELECT *, exp(x - (SELECT max(x) FROM t)) / (SELECT sum(exp(x - (SELECT max(x) FROM t))) FROM t) AS p FROM t) SELECT event_id AS idx, round(1e6 * p * (w - (SELECT sum(p * w) FROM p)), 5) AS v FROM p")
+def grad_softmax(spark, d):
+    x, w = two(spark, d)
+    (x.softmax() * w).sum().backward()
+    return rounded(x.grad.map(lambda v: v * 1e6).df, to=5)
+
+
+@query(f"WITH t AS ({TWO}), s AS (SELECT avg(x) AS m, sqrt(var_pop(x) + 1e-5) AS r, avg(w) AS g FROM t), y AS (SELECT *, (x - m) / r AS y FROM t, s) SELECT event_id AS idx, round((w - g - y * (SELECT avg(w * y) FROM y)) / r, 6) AS v FROM y")
+def grad_layer_norm(spark, d):
+    x, w = two(spark, d)
+    (x.layer_norm() * w).sum().backward()
+    return rounded(x.grad.df)
+
+
+@query(f"WITH t AS ({TWO}) SELECT event_id AS idx, CASE WHEN event_id = (SELECT min(event_id) FROM t WHERE x = (SELECT max(x) FROM t)) THEN 1.0::DOUBLE WHEN event_id = (SELECT min(event_id) FROM t WHERE x = (SELECT min(x) FROM t)) THEN -1 ELSE 0 END AS v FROM t")
+def grad_extremes(spark, d):
+    x, _ = two(spark, d)
+    (x.max() - x.min()).backward()
+    return x.grad.df
+
+
+@query(f"WITH a AS ({CELLS}), b AS ({CENTROIDS}), y AS (SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.j GROUP BY 1, 2) SELECT y.i * 64 + b.j AS idx, round(sum(2 * y.v * b.v), 4) AS v FROM y JOIN b ON y.k = b.i GROUP BY y.i, b.j")
+def grad_matmul(spark, d):
+    """The slope of the sum of squares of a product by its left side: two more products."""
+    a, b = Node(matrix(spark, d), True), Node(Tensor.of_cells(centroids(spark, d), 10, DIM))
+    y = a.matmul_abt(b)
+    (y * y).sum().backward()
+    return rounded(a.grad.df, to=4)
+
+
+#: Each shard of a thousand elements less its mean, times the other input; and its slopes.
+CENTRED = maps.ShardOp(lambda x, w: (x - x.mean()) * w, lambda g, y, x, w: (g * w - (g * w).mean(), g * (x - x.mean())), size=1000)
+CENTRED_SQL = f"SELECT *, (x - avg(x) OVER (PARTITION BY event_id // 1000)) * w AS z FROM ({TWO})"
+
+
+@query(f"SELECT event_id AS idx, round(z, 9) + 0 AS v FROM ({CENTRED_SQL})")
+def shard_map(spark, d):
+    x, w = two(spark, d)
+    return rounded(x.map_shards(CENTRED, w).value.df, to=9).withColumn("v", F.col("v") + 0.0)  # no minus zeros
+
+
+@query(f"SELECT event_id AS idx, round(2 * z * w - avg(2 * z * w) OVER (PARTITION BY event_id // 1000), 6) AS v FROM ({CENTRED_SQL})")
+def grad_shard_map(spark, d):
+    """A caller's function on whole shards inside of a graph, with its own gradient."""
+    x, w = two(spark, d)
+    z = x.map_shards(CENTRED, w)
+    (z * z).sum().backward()
+    return rounded(x.grad.df)
+
+
 @query("SELECT event_id AS idx, round(value - 0.01::DOUBLE * (2 * value / n), 9) AS v FROM (SELECT *, count(*) OVER () AS n FROM events)")
 def sgd_step(spark, d):
     x = Node(events(spark, d), True)
@@ -656,30 +737,41 @@ def train_test_split(spark, d):
     return charlm.split_rows(docs.select("doc_id"), "doc_id", docs.count())
 
 
-def names(spark, d) -> DataFrame:
-    """Nation names in small letters, without anything else."""
-    return load(spark, d, "nation").select("n_nationkey", F.regexp_replace(F.lower("n_name"), "[^a-z]", "").alias("line"))
+def words(spark, d) -> DataFrame:
+    """The different words of all documents, in small letters, and how often they occur."""
+    return charlm.lines_of(load(spark, d, "documents"))
 
 
-PREFIXES = """
-WITH l AS (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z]', '', 'g') || chr(10) AS s FROM nation),
-p AS (SELECT n_nationkey, piece, substr(s, piece * 16 + 1, 16) AS s FROM (SELECT *, unnest(range(0, (length(s) - 1) // 16 + 1)) AS piece FROM l)),
-t AS (SELECT n_nationkey, piece, list_transform(range(1, length(s) + 1), lambda k: CASE WHEN substr(s, k, 1) = chr(10) THEN 0 ELSE ascii(substr(s, k, 1)) - 96 END) AS t FROM p),
-r AS (SELECT n_nationkey, piece, unnest(range(1, len(t) + 1)) AS n, t FROM t),
-q AS (SELECT n_nationkey, piece, n, list_concat(list_transform(range(0, 17 - n), lambda z: 0), t[1:n]) AS tokens FROM r)
+def prefixes(seq_len: int) -> str:
+    """Common tables up to q: every prefix of every word."""
+    return rf"""
+l AS (SELECT line, count(*) AS weight, line || chr(10) AS s FROM (SELECT regexp_replace(lower(unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+'))), '[^a-z]', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY line),
+p AS (SELECT line, weight, piece, substr(s, piece * {seq_len} + 1, {seq_len}) AS s FROM (SELECT *, unnest(range(0, (length(s) - 1) // {seq_len} + 1)) AS piece FROM l)),
+t AS (SELECT line, weight, piece, list_transform(range(1, length(s) + 1), lambda k: CASE WHEN substr(s, k, 1) = chr(10) THEN 0 ELSE ascii(substr(s, k, 1)) - 96 END) AS t FROM p),
+r AS (SELECT line, weight, piece, unnest(range(1, len(t) + 1)) AS n, t FROM t),
+q AS (SELECT line, weight, piece, n, list_concat(list_transform(range(0, {seq_len + 1} - n), lambda z: 0), t[1:n]) AS tokens FROM r)
 """
 
 
-@query(PREFIXES + "SELECT n_nationkey, piece::INT AS piece, n::INT AS n, array_to_string(tokens, ',') AS tokens FROM q")
+@query(f"WITH {prefixes(16)} SELECT line, piece::INT AS piece, n::INT AS n, array_to_string(tokens, ',') AS tokens FROM q")
 def char_prefix_rows(spark, d):
-    rows = charlm.prefix_rows(names(spark, d))
-    return rows.select("n_nationkey", "piece", "n", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens"))
+    rows = charlm.prefix_rows(words(spark, d).select("line"))
+    return rows.select("line", "piece", "n", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens"))
 
 
-@query(PREFIXES + "SELECT n_nationkey, piece::INT AS piece, n::INT AS n, array_to_string(list_transform(tokens[1:16], lambda t: CASE WHEN t = 0 THEN '.' ELSE chr((t + 96)::INT) END), '') AS x, tokens[17]::INT AS y FROM q")
+@query(f"WITH {prefixes(16)} SELECT line, piece::INT AS piece, n::INT AS n, array_to_string(list_transform(tokens[1:16], lambda t: CASE WHEN t = 0 THEN '.' ELSE chr((t + 96)::INT) END), '') AS x, tokens[17]::INT AS y FROM q")
 def batch_inputs_targets(spark, d):
-    rows = charlm.prefix_rows(names(spark, d)).withColumn("x", charlm.inputs())
-    return rows.select("n_nationkey", "piece", "n", charlm.shown("x").alias("x"), charlm.target().alias("y"))
+    rows = charlm.prefix_rows(words(spark, d).select("line")).withColumn("x", charlm.inputs())
+    return rows.select("line", "piece", "n", charlm.shown("x").alias("x"), charlm.target().alias("y"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+SELECT b, doc_id, lang FROM h JOIN (SELECT unnest(range(0, 2000)) AS b) ON place = ('0x' || substr(md5('7:' || b), 1, 15))::BIGINT % n
+""")
+def random_batch(spark, d):
+    """Two thousand draws with replacement; places in the order of hashes, whatever the files."""
+    return charlm.random_batch(load(spark, d, "documents").select("doc_id", "lang"), "doc_id", 2000, seed=7).select("b", "doc_id", "lang")
 
 
 @query("SELECT world, 27 + (world - 27 % world) AS padded FROM (SELECT unnest([1, 2, 3, 4, 8]) AS world)")
@@ -694,12 +786,84 @@ def inverse_cdf_sample(spark, d):
     return charlm.sample_index(p, draws)
 
 
-@query()
+#: A small net of fixed numbers; no sum of its first layer is 0, where the slope jumps.
+SEQ, EMB, HIDDEN = 4, 2, 4
+
+
+def fixed_net() -> charlm.Net:
+    part = lambda rows, cols, salt: np.array([[((i * 7 + j * 3 + salt) % 11 - 5) / 10 for j in range(cols)] for i in range(rows)])
+    return charlm.Net(part(charlm.VOCAB, EMB, 0), part(SEQ * EMB, HIDDEN, 1), part(1, HIDDEN, 2)[0] + 0.0137, part(HIDDEN, charlm.VOCAB, 3), part(1, charlm.VOCAB, 4)[0])
+
+
+def _part_sql(rows: int, cols: int, salt: int) -> str:
+    return f"SELECT range // {cols} AS i, range % {cols} AS j, ((range // {cols} * 7 + range % {cols} * 3 + {salt}) % 11 - 5)::DOUBLE / 10 AS v FROM range({rows * cols})"
+
+
+FORWARD = f"""
+WITH {prefixes(SEQ)},
+wte AS ({_part_sql(27, EMB, 0)}), fc1 AS ({_part_sql(SEQ * EMB, HIDDEN, 1)}), b1 AS (SELECT i, j, v + 0.0137 AS v FROM ({_part_sql(1, HIDDEN, 2)})), fc2 AS ({_part_sql(HIDDEN, 27, 3)}), b2 AS ({_part_sql(1, 27, 4)}),
+rows AS MATERIALIZED (SELECT row_number() OVER () AS id, tokens, tokens[{SEQ + 1}] AS y, sum(weight)::DOUBLE AS w FROM q GROUP BY tokens),
+token AS (SELECT id, pos, tokens[pos + 1] AS token FROM rows, (SELECT unnest(range(0, {SEQ})) AS pos)),
+x AS (SELECT id, pos * {EMB} + wte.j AS k, wte.v FROM token JOIN wte ON wte.i = token),
+pre AS MATERIALIZED (SELECT id, fc1.j, sum(x.v * fc1.v) + any_value(b1.v) AS v FROM x JOIN fc1 ON fc1.i = x.k JOIN b1 ON b1.j = fc1.j GROUP BY id, fc1.j),
+logits AS (SELECT id, fc2.j, sum(greatest(pre.v, 0) * fc2.v) + any_value(b2.v) AS v FROM pre JOIN fc2 ON fc2.i = pre.j JOIN b2 ON b2.j = fc2.j GROUP BY id, fc2.j),
+probable AS MATERIALIZED (SELECT id, j, exp(v) / sum(exp(v)) OVER (PARTITION BY id) AS p FROM logits)
+"""
+
+
+@query(FORWARD + "SELECT round(sum(-w * ln(p)) / sum(w), 6) AS loss FROM probable JOIN rows USING (id) WHERE j = y")
 def charlm_loss(spark, d):
-    """Loss of the untrained net over all prefixes of all names: near ln 27."""
-    rows = charlm.prefix_rows(names(spark, d)).withColumn("b", F.col("n_nationkey") * 1000 + F.col("piece") * 100 + F.col("n"))
-    acts = charlm.forward(rows.select("b", "tokens"), charlm.init_params(spark))
-    return charlm.loss(acts, rows.select("b", "tokens"))
+    """Mean loss of the net over every prefix of every word of all documents."""
+    rows = charlm.weighted_rows(words(spark, d), SEQ)
+    return rounded(spark.createDataFrame([(charlm.loss(rows, fixed_net()),)], "loss double"), "loss")
+
+
+@query(FORWARD + f""",
+d AS MATERIALIZED (SELECT id, j, (p - (j = y)::INT) * w / (SELECT sum(w) FROM rows) AS v FROM probable JOIN rows USING (id)),
+dpre AS MATERIALIZED (SELECT d.id, fc2.i AS j, sum(d.v * fc2.v) AS v FROM d JOIN fc2 ON fc2.j = d.j JOIN pre ON pre.id = d.id AND pre.j = fc2.i WHERE pre.v > 0 GROUP BY d.id, fc2.i),
+dx AS (SELECT dpre.id, fc1.i AS k, sum(dpre.v * fc1.v) AS v FROM dpre JOIN fc1 ON fc1.j = dpre.j GROUP BY dpre.id, fc1.i),
+g AS (
+  SELECT 'fc2' AS name, pre.j AS i, d.j, sum(greatest(pre.v, 0) * d.v) AS v FROM pre JOIN d USING (id) GROUP BY pre.j, d.j
+  UNION ALL SELECT 'b2', 0, j, sum(v) FROM d GROUP BY j
+  UNION ALL SELECT 'fc1', x.k, dpre.j, sum(x.v * dpre.v) FROM x JOIN dpre USING (id) GROUP BY x.k, dpre.j
+  UNION ALL SELECT 'b1', 0, j, sum(v) FROM dpre GROUP BY j
+  UNION ALL SELECT 'wte', token.token, dx.k % {EMB}, sum(dx.v) FROM dx JOIN token ON token.id = dx.id AND token.pos = dx.k // {EMB} GROUP BY 2, 3),
+o AS (SELECT 'wte' AS name, * FROM wte UNION ALL SELECT 'fc1', * FROM fc1 UNION ALL SELECT 'b1', * FROM b1 UNION ALL SELECT 'fc2', * FROM fc2 UNION ALL SELECT 'b2', * FROM b2)
+SELECT o.name, o.i::INT AS i, o.j::INT AS j, round(o.v - 0.1 * coalesce(g.v, 0), 7) AS v FROM o LEFT JOIN g ON g.name = o.name AND g.i = o.i AND g.j = o.j
+""")
+def charlm_step(spark, d):
+    """The net's parameters after one step down the gradient over all prefixes, added up over partitions."""
+    net = fixed_net()
+    _, slopes = charlm.gradient(charlm.weighted_rows(words(spark, d), SEQ), net)
+    return rounded(charlm.step(net, slopes, 0.1).cells(spark), to=7)
+
+
+MOST = 12
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT
+  list_transform(range(0, 27), lambda t: list_transform(range(0, {EMB}), lambda e: ((t * 7 + e * 3) % 11 - 5)::DOUBLE / 10)) AS wte,
+  list_transform(range(0, {HIDDEN}), lambda j: list_transform(range(0, {SEQ * EMB}), lambda i: ((i * 7 + j * 3 + 1) % 11 - 5)::DOUBLE / 10)) AS fc1,
+  list_transform(range(0, {HIDDEN}), lambda j: ((j * 3 + 2) % 11 - 5)::DOUBLE / 10 + 0.0137) AS b1,
+  list_transform(range(0, 27), lambda j: list_transform(range(0, {HIDDEN}), lambda i: ((i * 7 + j * 3 + 3) % 11 - 5)::DOUBLE / 10)) AS fc2,
+  list_transform(range(0, 27), lambda j: ((j * 3 + 4) % 11 - 5)::DOUBLE / 10) AS b2),
+g AS (
+  SELECT c_custkey AS id, 0 AS step, [0, 0, 0, c_custkey % 27]::BIGINT[] AS context, []::BIGINT[] AS said FROM customer
+  UNION ALL
+  SELECT id, step + 1, list_append(context[2:{SEQ}], token), list_append(said, token) FROM (
+    SELECT id, step, context, said, coalesce(list_position(list_transform(range(1, 28), lambda c: list_sum(e[1:c]) / list_sum(e) >= u), true), 27)::BIGINT - 1 AS token FROM (
+      SELECT id, step, context, said, ((id * 7919 + step * 104729) % 1000003 + 0.5::DOUBLE) / 1000003 AS u, list_transform(range(1, 28), lambda c: exp(b2[c] + list_dot_product(h, fc2[c]))) AS e FROM (
+        SELECT id, step, context, said, fc2, b2, list_transform(range(1, {HIDDEN + 1}), lambda j: greatest(0, b1[j] + list_dot_product(flatten(list_transform(context, lambda t: wte[t + 1])), fc1[j]))) AS h
+        FROM g, n WHERE step < {MOST} AND (step = 0 OR said[-1] <> 0)))))
+SELECT id, array_to_string(arg_max(said, step), ',') AS tokens FROM g GROUP BY id
+""")
+def charlm_sample(spark, d):
+    """What the net says after a token of each customer's own, to its end or 12 tokens."""
+    key = F.col("c_custkey").cast("long")
+    contexts = load(spark, d, "customer").select(key.alias("id"), F.array((key % 27).cast("int")).alias("tokens"))
+    said = charlm.sample(contexts, fixed_net(), MOST, lambda ids, step: ((ids * 7919 + step * 104729) % 1000003 + 0.5) / 1000003)
+    return said.select("id", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens"))
 
 
 # -- balancing ------------------------------------------------------------------------------------------------------------------------
