@@ -92,18 +92,17 @@ class Panel:
             right = np.repeat(first[a["k"][cut]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
             np.add.at(self.sums, (a["o"][left], b["o"][right]), a["v"][left] * b["v"][right])
 
-    def cells(self, row: int, col: int) -> pa.RecordBatch:
+    def cells(self, row: int, col: int, zeros: bool) -> pa.RecordBatch:
         """The elements whose row is in one side and whose column is in the other; ``row`` and ``col`` number the panel."""
         self.multiply()
-        i, j = np.flatnonzero(self.there[0]), np.flatnonzero(self.there[1])
-        where = [pa.array(np.repeat(i + row * SIDE, len(j))), pa.array(np.tile(j + col * SIDE, len(i)))]
-        return pa.RecordBatch.from_arrays([*where, pa.array(self.sums[np.ix_(i, j)].ravel())], ["i", "j", "v"])
+        i, j = np.nonzero(np.outer(*self.there) if zeros else self.sums)
+        return pa.RecordBatch.from_arrays([pa.array(i + row * SIDE), pa.array(j + col * SIDE), pa.array(self.sums[i, j])], ["i", "j", "v"])
 
 
-def product(a: DataFrame, b: DataFrame, shape: tuple[int, int, int], a_axes: tuple[str, str] = ("i", "j"), b_axes: tuple[str, str] = ("j", "i")) -> DataFrame:
+def product(a: DataFrame, b: DataFrame, shape: tuple[int, int, int], a_axes: tuple[str, str] = ("i", "j"), b_axes: tuple[str, str] = ("j", "i"), zeros: bool = True) -> DataFrame:
     """(i, j, v): A times B of ``shape`` (rows, inner, columns). The axes name, of each side's columns, the index that stays and the one that
     is summed over, so transposes need no work of their own. Cells that aren't there are 0, those that occur twice add up; the result has
-    the rows that A has cells of and the columns that B has. Rows and columns are best numbered densely.
+    the rows that A has cells of and the columns that B has, or, without ``zeros``, what isn't 0. Rows and columns are best numbered densely.
 
     The result is cut into panels. A side's pieces go once to each panel of the other side; a result with few panels is cut along the inner
     index too, as far as there are shuffle partitions, and its parts are added up. In a task the pieces come in order of the inner index, so
@@ -125,11 +124,11 @@ def product(a: DataFrame, b: DataFrame, shape: tuple[int, int, int], a_axes: tup
             for *where, side, at, cells in zip(*[batch.column(c).to_pylist() for c in (*keys, "side", "inner", "cells")], strict=True):
                 if where != key:
                     if panel:
-                        yield panel.cells(*key[:2])
+                        yield panel.cells(*key[:2], zeros)
                     key, panel = where, Panel()
                 panel.put(side, at, cells)
         if panel:
-            yield panel.cells(*key[:2])
+            yield panel.cells(*key[:2], zeros)
 
     parts = dealt.mapInArrow(add_up, SUMS)
     return parts if cuts == 1 else parts.groupBy("i", "j").agg(F.sum("v").alias("v"))

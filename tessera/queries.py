@@ -5,11 +5,13 @@ Tensors of the queries: ``events`` as a vector (idx event_id, v value), ``embedd
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import scalar as S
 from tessera.functions import text as X
@@ -17,7 +19,7 @@ from tessera.operators import balance, blocks, charlm, collectives, executors, l
 from tessera.operators.autograd import Node
 from tessera.operators.tensor import Tensor
 from tessera.plans import shards
-from tessera.sources import generators, readers
+from tessera.sources import generators, pqtd, readers, sinks, storage, zones
 from tessera.streaming import heartbeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,8 +372,8 @@ def matmul_of_orders(spark, d):
     lines = load(spark, d, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in ("l_partkey", "l_suppkey", "l_orderkey")], F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("n"))
     parts, suppliers, orders = blocks.extent(lines, "l_partkey", "l_suppkey", "l_orderkey")
     a, b = lines.select("l_partkey", "l_orderkey", F.col("q").alias("v")), lines.select("l_suppkey", "l_orderkey", F.col("n").alias("v"))
-    out = blocks.product(a, b, (parts, orders, suppliers), ("l_partkey", "l_orderkey"), ("l_suppkey", "l_orderkey"))
-    return rounded(out.where("v <> 0"), to=4)
+    out = blocks.product(a, b, (parts, orders, suppliers), ("l_partkey", "l_orderkey"), ("l_suppkey", "l_orderkey"), zeros=False)
+    return rounded(out, to=4)
 
 
 WEIGHT = "((i * 7 + j * 3) % 11 - 5) / 10.0"
@@ -554,11 +556,11 @@ def two(spark, d) -> tuple[Node, Node]:
     return tuple(Node.columns(rows, rows.count(), "x", "w"))
 
 
-@query(f"WITH t AS ({TWO}), p AS (SELECT *, exp(x - (SELECT max(x) FROM t)) / (SELECT sum(exp(x - (SELECT max(x) FROM t))) FROM t) AS p FROM t) SELECT event_id AS idx, round(1e6 * p * (w - (SELECT sum(p * w) FROM p)), 5) AS v FROM p")
+@query(f"WITH t AS ({TWO}), p AS (SELECT *, exp(x - (SELECT max(x) FROM t)) / (SELECT sum(exp(x - (SELECT max(x) FROM t))) FROM t) AS p FROM t) SELECT event_id AS idx, round(1e6 * p * (w - (SELECT sum(p * w) FROM p)), 5) + 0 AS v FROM p")
 def grad_softmax(spark, d):
     x, w = two(spark, d)
     (x.softmax() * w).sum().backward()
-    return rounded(x.grad.map(lambda v: v * 1e6).df, to=5)
+    return rounded(x.grad.map(lambda v: v * 1e6).df, to=5).withColumn("v", F.col("v") + 0.0)  # no minus zeros
 
 
 @query(f"WITH t AS ({TWO}), s AS (SELECT avg(x) AS m, sqrt(var_pop(x) + 1e-5) AS r, avg(w) AS g FROM t), y AS (SELECT *, (x - m) / r AS y FROM t, s) SELECT event_id AS idx, round((w - g - y * (SELECT avg(w * y) FROM y)) / r, 6) AS v FROM y")
@@ -866,6 +868,49 @@ def charlm_sample(spark, d):
     return said.select("id", F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",").alias("tokens"))
 
 
+# -- sinks ----------------------------------------------------------------------------------------------------------------------------
+
+
+def own_path(spark, tag: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{storage.checkpoint_dir(spark)}/tessera-core/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part")
+def csv_round_trip(spark, d):
+    """Numbers as text with ten digits under a header, and back."""
+    part, path = load(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), own_path(spark, "csv")
+    sinks.save_csv(part, path)
+    return spark.read.schema(part.schema).option("header", True).csv(path)
+
+
+@query(ORACLES["numeric_matrix_long"])
+def pqtd_round_trip(spark, d):
+    """The numeric columns through the binary format and back."""
+    path = own_path(spark, "pqtd")
+    pqtd.save(load(spark, d, "part"), path)
+    return readers.matrix(pqtd.load(spark, path), F.col("p_partkey").cast("long")).select("i", "j", F.col("v").cast("double").alias("v"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS overlaps FROM events")
+def ranges_in_order(spark, d):
+    """Partitions of a tensor as ranges of its index: none reaches into the next."""
+    dealt = sinks.in_ranges(events(spark, d), 7).df.groupBy(F.spark_partition_id().alias("part")).agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"))
+    ends = dealt.withColumn("before", F.lag("last").over(Window.orderBy("part")))  # seven rows
+    return ends.agg(F.sum("n").alias("n"), F.count(F.when(F.col("before") >= F.col("first"), 1)).alias("overlaps"))
+
+
+@query("SELECT event_id AS idx, CASE WHEN event_id % 100 = 7 THEN -value WHEN event_id % 1000 = 8 THEN 0.5 ELSE value END AS v FROM events")
+def elements_set(spark, d):
+    """A tensor on disk with one element in a hundred changed, merged, and some changed again: only what changed is written."""
+    t = events(spark, d)
+    z = zones.Zones.write(t, own_path(spark, "zones"), zone=4096)
+    z.set(t.df.where("idx % 100 = 7").select("idx", (-F.col("v")).alias("v")))
+    z.merge(spark)
+    z.set(t.df.where("idx % 1000 = 8").select("idx", F.lit(0.5).alias("v")))
+    return z.tensor(spark).df
+
+
 # -- balancing ------------------------------------------------------------------------------------------------------------------------
 
 WORKERS = """
@@ -1088,10 +1133,11 @@ def heartbeat_gaps(spark, d):
 
 @query("SELECT (floor(epoch(ts))::BIGINT // 3600 * 3600)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windowed(spark, d):
-    """The events as a stream of files, to the end, with hourly windows; the result is a row for each window and type."""
+    """The events as a stream of files, to the end, with hourly windows; each batch's result replaces the one before it on disk."""
     schema = load(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{abs(hash(d))}"
-    run = heartbeats.windowed(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = own_path(spark, "windows")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/now")
+    run = heartbeats.windowed(source).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("long").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(f"{path}/now").select(F.col("start").cast("long").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

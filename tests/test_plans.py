@@ -1,6 +1,7 @@
 """Shard plans, collectives, balancing, executors, the character model and streams."""
 
 import math
+import os
 import time
 
 import pandas as pd
@@ -153,3 +154,19 @@ def test_monitor_stream(spark, tmp_path):
         time.sleep(0.5)
     run.stop()
     assert rows(spark.table("monitored"), "worker_id") == [(1, 13.0, True), (2, 5.0, True)]
+
+
+def test_late_rows_are_left_out_of_a_file_sink(spark, tmp_path):
+    """Windows are written once, when the watermark has passed them; a row that comes after that is left out, one that is a little late isn't."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    batches = [[("01:10", 1.0), ("02:30", 2.0)], [("02:25", 4.0), ("05:00", 8.0)], [("01:20", 100.0), ("04:55", 16.0)], [("09:00", 0.0)], [("09:01", 0.0)]]
+    for n, rows_ in enumerate(batches):
+        frame = pd.DataFrame({"ts": [pd.Timestamp(f"2024-01-01 {t}:00") for t, _ in rows_], "event_type": "x", "value": [v for _, v in rows_]})
+        frame.to_parquet(source / f"{n}.parquet", coerce_timestamps="us")
+        os.utime(source / f"{n}.parquet", (n + 1, n + 1))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(source))
+    run = heartbeats.windowed(stream).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r["start"].hour: (r["n"], r["total"]) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (1, 1.0), 2: (2, 6.0), 4: (1, 16.0), 5: (1, 8.0)}
