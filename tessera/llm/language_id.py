@@ -107,7 +107,8 @@ class ContextTrees:
             full = np.flatnonzero(np.diff(near) > 0)
             if len(full):
                 s = self._shifted(self.symbol[data[lo:hi]], near)
-                key = self.node[self._code(s[1:])].astype(np.int64) * self.size + s[0]
+                context = self._code(s[1:]) if self.order else np.zeros(len(s[0]), np.int64)
+                key = self.node[context].astype(np.int64) * self.size + s[0]
                 for i, bits in enumerate(self.bits):
                     out[a + full, i] = np.add.reduceat(bits[key], near[:-1][full], dtype=np.float64)
             a = b

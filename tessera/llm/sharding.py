@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import numbered, table, utf8
+from tessera.llm.common import fresh, numbered, table, utf8
 
 ROUNDS = 6
 MASK = (1 << 31) - 1
@@ -49,21 +49,24 @@ def permute(row_no: np.ndarray, n: int, seed: int = 0, inverse: bool = False) ->
 
 
 def shard(rows: DataFrame, order: list[str], shards: int = 16, seed: int = 0) -> DataFrame:
-    """``rows`` with row_no (by ``order``), place, shard and slot.
+    """``rows`` with row_no (by ``order``), place, shard and slot as last columns; where ``rows`` has such a name, the new one has
+    underscores in front.
 
     place = permutation(row_no), shard = place mod shards, slot = place div shards: anyone who knows n and the seed can compute where a
     row lies, and which row lies anywhere, without a table. Shard sizes differ by one row at most and slots have no gaps.
     Pass narrow rows: they are sorted by range once and written to the shared folder. Nulls in ``order`` come first; rows that tie in
     all columns get consecutive numbers; an empty table stays empty.
     """
-    counted, n = numbered(rows, order, "sharding")
+    plain = [f"c{k}" for k in range(len(rows.columns))]
+    counted, n = numbered(rows.toDF(*plain), [plain[rows.columns.index(c)] for c in order], "sharding")
 
     @F.pandas_udf(T.LongType())
     def place(x: pd.Series) -> pd.Series:
         return pd.Series(permute(x.to_numpy(), n, seed))
 
-    put = counted.withColumn("place", place("row_no"))
-    return put.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", F.floor(F.col("place") / shards).cast("long"))
+    put = counted.select(*plain, "row_no", place("row_no").alias("place"))
+    put = put.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", F.floor(F.col("place") / shards).cast("long"))
+    return put.toDF(*rows.columns, *fresh(rows.columns, "row_no", "place", "shard", "slot"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
