@@ -21,6 +21,8 @@ VOCAB = 27
 MOST_PARAMETERS = 1 << 23
 #: Partial gradients are added up in so many tasks, then in one.
 FAN = 64
+#: Steps whose batches are drawn at once.
+TOGETHER = 1000
 #: Hexadecimal digits of a row's hash by which a batch narrows down where its draws lie, at once; rows that are put in order at most.
 DIGITS, ORDERED = 3, 100_000
 
@@ -94,8 +96,8 @@ def touched(hashed: DataFrame, draws: list[tuple[int, int, str]], digits: int) -
     return hashed.join(F.broadcast(firsts), F.substring("_hash", 1, digits) == F.col("_start"), "left_semi")
 
 
-def random_batch(rows: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
-    """``size`` rows drawn with replacement, each with its draw's number ``b``: a row is as likely as any other in each draw.
+def random_batch(rows: DataFrame, key: str, size: int, seed: int = 0, first: int = 0) -> DataFrame:
+    """``size`` rows drawn with replacement, each with its draw's number ``b``, from ``first`` on: a row is as likely as any other in each draw.
 
     Draws are places in the order of the rows' hashes, which ``key`` names, so a batch doesn't depend on files or partitions. How the
     draws fall among the hashes is told from counts by their first digits, and from counts by more digits in what the draws touch until few
@@ -104,12 +106,12 @@ def random_batch(rows: DataFrame, key: str, size: int, seed: int = 0) -> DataFra
     spark = rows.sparkSession
     hashed = rows.withColumn("_hash", row_hash(key, seed))
     n = rows.count()
-    draws = [(d, place(seed, d, n), "") for d in range(size)] if n else []  # number, place among those with the same first digits, digits
+    draws = [(d, place(seed, d, n), "") for d in range(first, first + size)] if n else []  # number, place among those with the same first digits, digits
     digits, most = 0, n
     while draws and most > ORDERED and digits + DIGITS <= 32:
-        first = F.substring("_hash", 1, digits + DIGITS)
+        start = F.substring("_hash", 1, digits + DIGITS)
         inside = touched(hashed, draws, digits)
-        counts = {r[0]: r[1] for r in inside.groupBy(first).agg(F.count(F.lit(1))).collect()}  # 4,096 for each place touched
+        counts = {r[0]: r[1] for r in inside.groupBy(start).agg(F.count(F.lit(1))).collect()}  # 4,096 for each place touched
         starts, at = {}, {}
         for x in sorted(counts):
             above = x[:digits]
@@ -240,9 +242,8 @@ def gradient(batch: DataFrame, net: Net) -> tuple[float, Net]:
             yield pa.RecordBatch.from_pylist([{"slot": TaskContext.get().partitionId() % FAN, "loss": loss, "weight": weight, "slopes": slopes.tobytes()}])
 
     parts = batch.select("tokens", F.col("weight").cast("double")).mapInArrow(partial, SUMS)
-    for n, key in ((FAN, "slot"), (1, "slot")):
-        parts = parts.repartition(n, key).mapInArrow(_added, SUMS)
-    row = parts.first()
+    some = parts.repartition("slot").mapInArrow(_added, SUMS)  # up to FAN tasks; fewer where vectors are few
+    row = some.repartition(1).mapInArrow(_added, SUMS).first()
     if row is None:
         return float("nan"), net.like(np.zeros_like(net.flat()))
     return row["loss"] / row["weight"], net.like(np.frombuffer(row["slopes"]) / row["weight"])
@@ -258,13 +259,19 @@ def step(net: Net, slopes: Net, lr: float) -> Net:
 
 
 def train(rows: DataFrame, key: str, net: Net, steps: int, batch_size: int = 32, lr: float = 0.1, seed: int = 0) -> tuple[Net, list[float]]:
-    """Stochastic gradient descent on random batches of ``rows`` (``key``, tokens); the driver holds the parameters between steps."""
+    """Stochastic gradient descent on random batches of ``rows`` (``key``, tokens); the driver holds the parameters between steps.
+
+    What batches hold doesn't depend on the parameters, so those of TOGETHER steps are drawn at once: a pass over the rows serves them all,
+    and a step reads what it drew.
+    """
     rows, losses = checkpointed(rows.select(key, "tokens")), []
-    for s in range(steps):
-        batch = random_batch(rows, key, batch_size, seed + s).withColumn("weight", F.lit(1.0))
-        found, slopes = gradient(batch, net)
-        losses.append(found)
-        net = step(net, slopes, lr)
+    for begin in range(0, steps, TOGETHER):
+        some = min(TOGETHER, steps - begin)
+        drawn = checkpointed(random_batch(rows, key, some * batch_size, seed, begin * batch_size).select("b", "tokens", F.lit(1.0).alias("weight")))
+        for s in range(begin, begin + some):
+            found, slopes = gradient(drawn.where((F.col("b") >= s * batch_size) & (F.col("b") < (s + 1) * batch_size)), net)
+            losses.append(found)
+            net = step(net, slopes, lr)
     return net, losses
 
 

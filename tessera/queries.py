@@ -586,6 +586,15 @@ def grad_matmul(spark, d):
     return rounded(a.grad.df, to=4)
 
 
+@query(f"WITH f AS ({FLAT}), n AS (SELECT count(*) AS n FROM embeddings) SELECT (f.idx % n) * 64 + f.idx // n AS idx, round(f.v, 6) AS v FROM f, n")
+def grad_transpose(spark, d):
+    """The slope of a transposed and reshaped matrix against another matrix: places move, values stay."""
+    a, b = Node(matrix(spark, d), True), Node(matrix(spark, d))
+    rows = a.shape[0]
+    (a.transpose().reshape(rows, DIM) * b).sum().backward()
+    return rounded(a.grad.df)
+
+
 #: Each shard of a thousand elements less its mean, times the other input; and its slopes.
 CENTRED = maps.ShardOp(lambda x, w: (x - x.mean()) * w, lambda g, y, x, w: (g * w - (g * w).mean(), g * (x - x.mean())), size=1000)
 CENTRED_SQL = f"SELECT *, (x - avg(x) OVER (PARTITION BY event_id // 1000)) * w AS z FROM ({TWO})"
@@ -840,6 +849,14 @@ def charlm_step(spark, d):
     return rounded(charlm.step(net, slopes, 0.1).cells(spark), to=7)
 
 
+@query()
+def charlm_train(spark, d):
+    """(step, loss) of five steps on random batches of 512 of the different prefixes; tests hold the loop against a plain one."""
+    rows = charlm.weighted_rows(words(spark, d), SEQ).select(F.array_join("tokens", ",").alias("key"), "tokens")
+    _, losses = charlm.train(rows, "key", fixed_net(), steps=5, batch_size=512, lr=0.5, seed=3)
+    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
+
+
 MOST = 12
 
 

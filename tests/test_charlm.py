@@ -77,6 +77,19 @@ def test_training_lowers_the_loss(spark):
     assert again.cells(spark).count() == net.flat().size
 
 
+def test_training_is_the_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(charlm, "TOGETHER", 2)
+    tokens = [[0, 0, 1], [0, 1, 2], [1, 2, 0], [0, 0, 2], [0, 2, 0]]
+    net = charlm.Net.random(seq_len=2, dim=3, hidden=4, vocab=3)
+    got, losses = charlm.train(spark.createDataFrame(list(enumerate(tokens)), "k long, tokens array<int>"), "k", net, steps=3, batch_size=4, lr=0.3, seed=11)
+    drawn, want, seen = [tokens[k] for _, k in plain_batch(range(5), 12, 11)], net, []
+    for s in range(3):
+        loss, slopes = want.slopes(np.array(drawn[4 * s : 4 * s + 4]), np.ones(4))
+        seen.append(loss / 4)
+        want = want.like(want.flat() - 0.3 * slopes.flat() / 4)
+    assert np.allclose(got.flat(), want.flat()) and np.allclose(losses, seen)
+
+
 def test_sampling_to_the_end(spark):
     net, draw = charlm.Net.random(seq_len=3, dim=4, hidden=8, vocab=4, seed=3), charlm.mixed(9)
 
