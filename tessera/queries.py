@@ -563,7 +563,7 @@ def grad_softmax(spark, d):
     return rounded(x.grad.map(lambda v: v * 1e6).df, to=5).withColumn("v", F.col("v") + 0.0)  # no minus zeros
 
 
-@query(f"WITH t AS ({TWO}), s AS (SELECT avg(x) AS m, sqrt(var_pop(x) + 1e-5) AS r, avg(w) AS g FROM t), y AS (SELECT *, (x - m) / r AS y FROM t, s) SELECT event_id AS idx, round((w - g - y * (SELECT avg(w * y) FROM y)) / r, 6) AS v FROM y")
+@query(f"WITH t AS ({TWO}), s AS (SELECT avg(x) AS m, sqrt(var_pop(x) + 1e-5) AS r, avg(w) AS g FROM t), y AS (SELECT *, (x - m) / r AS y FROM t, s) SELECT event_id AS idx, round((w - g - y * (SELECT avg(w * y) FROM y)) / r, 6) + 0 AS v FROM y")
 def grad_layer_norm(spark, d):
     x, w = two(spark, d)
     (x.layer_norm() * w).sum().backward()
@@ -577,7 +577,7 @@ def grad_extremes(spark, d):
     return x.grad.df
 
 
-@query(f"WITH a AS ({CELLS}), b AS ({CENTROIDS}), y AS (SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.j GROUP BY 1, 2) SELECT y.i * 64 + b.j AS idx, round(sum(2 * y.v * b.v), 4) AS v FROM y JOIN b ON y.k = b.i GROUP BY y.i, b.j")
+@query(f"WITH a AS ({CELLS}), b AS ({CENTROIDS}), y AS (SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.j GROUP BY 1, 2) SELECT y.i * 64 + b.j AS idx, round(sum(2 * y.v * b.v), 4) + 0 AS v FROM y JOIN b ON y.k = b.i GROUP BY y.i, b.j")
 def grad_matmul(spark, d):
     """The slope of the sum of squares of a product by its left side: two more products."""
     a, b = Node(matrix(spark, d), True), Node(Tensor.of_cells(centroids(spark, d), 10, DIM))
@@ -586,7 +586,7 @@ def grad_matmul(spark, d):
     return rounded(a.grad.df, to=4)
 
 
-@query(f"WITH f AS ({FLAT}), n AS (SELECT count(*) AS n FROM embeddings) SELECT (f.idx % n) * 64 + f.idx // n AS idx, round(f.v, 6) AS v FROM f, n")
+@query(f"WITH f AS ({FLAT}), n AS (SELECT count(*) AS n FROM embeddings) SELECT (f.idx % n) * 64 + f.idx // n AS idx, round(f.v, 6) + 0 AS v FROM f, n")
 def grad_transpose(spark, d):
     """The slope of a transposed and reshaped matrix against another matrix: places move, values stay."""
     a, b = Node(matrix(spark, d), True), Node(matrix(spark, d))
@@ -606,7 +606,7 @@ def shard_map(spark, d):
     return rounded(x.map_shards(CENTRED, w).value.df, to=9).withColumn("v", F.col("v") + 0.0)  # no minus zeros
 
 
-@query(f"SELECT event_id AS idx, round(2 * z * w - avg(2 * z * w) OVER (PARTITION BY event_id // 1000), 6) AS v FROM ({CENTRED_SQL})")
+@query(f"SELECT event_id AS idx, round(2 * z * w - avg(2 * z * w) OVER (PARTITION BY event_id // 1000), 6) + 0 AS v FROM ({CENTRED_SQL})")
 def grad_shard_map(spark, d):
     """A caller's function on whole shards inside of a graph, with its own gradient."""
     x, w = two(spark, d)
@@ -840,7 +840,7 @@ g AS (
   UNION ALL SELECT 'b1', 0, j, sum(v) FROM dpre GROUP BY j
   UNION ALL SELECT 'wte', token.token, dx.k % {EMB}, sum(dx.v) FROM dx JOIN token ON token.id = dx.id AND token.pos = dx.k // {EMB} GROUP BY 2, 3),
 o AS (SELECT 'wte' AS name, * FROM wte UNION ALL SELECT 'fc1', * FROM fc1 UNION ALL SELECT 'b1', * FROM b1 UNION ALL SELECT 'fc2', * FROM fc2 UNION ALL SELECT 'b2', * FROM b2)
-SELECT o.name, o.i::INT AS i, o.j::INT AS j, round(o.v - 0.1 * coalesce(g.v, 0), 7) AS v FROM o LEFT JOIN g ON g.name = o.name AND g.i = o.i AND g.j = o.j
+SELECT o.name, o.i::INT AS i, o.j::INT AS j, round(o.v - 0.1 * coalesce(g.v, 0), 7) + 0 AS v FROM o LEFT JOIN g ON g.name = o.name AND g.i = o.i AND g.j = o.j
 """)
 def charlm_step(spark, d):
     """The net's parameters after one step down the gradient over all prefixes, added up over partitions."""
