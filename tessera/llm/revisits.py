@@ -16,13 +16,36 @@ TRACKING = r"(?i)^(utm_[^=]*|fbclid|gclid)(=.*)?$"
 SLICE_ROWS = 20_000
 
 
+def unescaped(c: Column) -> Column:
+    """Percent-encoded letters, digits, ``-._~`` as themselves, other escapes in capitals (RFC 3986, 6.2.2); no escape, no change."""
+
+    def one(p: Column) -> Column:
+        code, rest = F.substring(p, 1, 2), p.substr(F.lit(3), F.length(p))
+        plain = F.char(F.conv(code, 16, 10).cast("int"))
+        kept = F.when(plain.rlike("^[A-Za-z0-9._~-]$"), plain).otherwise(F.concat(F.lit("%"), F.upper(code)))
+        return F.when(p.rlike("(?s)^[0-9A-Fa-f]{2}"), F.concat(kept, rest)).otherwise(F.concat(F.lit("%"), p))
+
+    parts = F.split(c, "%")
+    return F.when(c.contains("%"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))).otherwise(c)
+
+
+def undotted(path: Column) -> Column:
+    """A path without ``.`` and ``..`` (RFC 3986, 5.2.4); above the root there is nothing to leave."""
+    up = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.lit(1), F.size(kept) - 1))
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", up(kept)).otherwise(F.concat(kept, F.array(s)))
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"(?s)/\.{1,2}(/|$)"), F.array_join(steps, "/")).otherwise(path)
+
+
 def canonical(url: str = "url") -> Column:
-    """The name under which captures of a url meet: no scheme, user, default port, fragment, tracking parameters or closing slash; host in
-    lower case, parameters sorted. A url without ``://`` is taken whole; null stays null and meets nothing."""
-    found = lambda i: F.regexp_extract(url, r"(?s)^[^/?#]*?://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
-    host = F.regexp_replace(F.lower(found(1)), r":(80|443)$", "")
-    path = F.regexp_replace(found(2), r"/+$", "")
-    kept = F.array_sort(F.filter(F.split(found(3), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    """The name under which captures of a url meet: no scheme, user, port that is its scheme's own, fragment, tracking parameters, dot
+    segments or closing slash; host in lower case, escapes as ``unescaped`` has them, parameters sorted. A url without ``://`` is taken
+    whole; null stays null and meets nothing."""
+    found = lambda i: F.regexp_extract(url, r"(?s)^([^/?#]*?)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
+    scheme, host = F.lower(found(1)), F.lower(found(2))
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    path = F.regexp_replace(undotted(unescaped(found(3))), r"/+$", "")
+    kept = F.array_sort(F.filter(F.split(unescaped(found(4)), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.when(F.col(url).contains("://"), F.concat(host, path, query)).otherwise(F.col(url))
 
@@ -109,12 +132,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("record_id", "url_key", "ts", "response_id", "status", lines.alias("headers"))
 
 
+#: The pages' urls have no escapes and no dot segments; those are tested by themselves.
 ORACLE = r"""
 WITH p AS (
   SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS tag, page_id * 60 AS t,
-         regexp_extract(url, '(?s)^[^/?#]*?://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['h', 'p', 'q']) AS x FROM pages),
+         regexp_extract(url, '(?s)^([^/?#]*?)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['s', 'h', 'p', 'q']) AS x FROM pages),
 k AS (
-  SELECT *, regexp_replace(lower(x.h), ':(80|443)$', '') || regexp_replace(x.p, '/+$', '')
+  SELECT *, regexp_replace(lower(x.h), CASE lower(x.s) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '') || regexp_replace(x.p, '/+$', '')
     || CASE WHEN len(list_filter(string_split(x.q, '&'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(utm_[^=]*|fbclid|gclid)(=.*)?$'))) > 0
        THEN '?' || array_to_string(list_sort(list_filter(string_split(x.q, '&'), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)^(utm_[^=]*|fbclid|gclid)(=.*)?$'))), '&') ELSE '' END AS url_key
   FROM p),

@@ -346,6 +346,19 @@ def test_revisits(spark):
     assert all((r.headers is not None) == (r.status == "resolved") for r in got)
 
 
+def test_names_of_urls(spark):
+    """Urls that name one thing meet, others don't; RFC 3986, 5.2.4 and 6.2."""
+    same = [
+        ("a.com/x", ["http://a.com/x", "HTTP://u:p@A.com:80/x/", "https://a.com:443/x#f", "http://a.com/b/../x", "http://a.com/./x/.", "http://a.com/../x", "http://a.com/%78"]),
+        ("a.com:80/x", ["https://a.com:80/x"]), ("a.com:443/x", ["http://a.com:443/x"]), ("a.com:81/x", ["http://a.com:81/x"]), ("a:80", ["ftp://a:80"]),
+        ("a.com/~u", ["http://a.com/~u", "http://a.com/%7Eu", "http://a.com/%7eu"]), ("a.com/%2F%E9%%4", ["http://a.com/%2f%e9%%4"]), ("a.com/a%20b?q=%26", ["http://a.com/a%20b?q=%26"]),
+        ("a.com/...", ["http://a.com/..."]), ("a.com/x?a=..&b=/./", ["http://a.com/x?b=/./&a=..&utm_a=1"]), ("a.com", ["http://a.com", "http://a.com/", "http://a.com/..", "http://a.com//"]), ("a b", ["a b"]), (None, [None]),
+    ]
+    rows = [(u, want) for want, urls in same for u in urls]
+    got = spark.createDataFrame(rows, "url string, want string").select("url", "want", revisits.canonical().alias("got")).collect()
+    assert [(r.url, r.got) for r in got] == [(r.url, r.want) for r in got]
+
+
 def test_merged_headers(spark):
     rows = [capture(1, "http://a/", 1, "response", etag='"1"', date="old", content_type="text/html", cache_control="a"), capture(2, "http://a/", 2, "revisit", etag='W/"1"', date="new", content_type="image/png", set_cookie="x")]
     got = revisits.resolve(spark.createDataFrame(rows, CAPTURE)).first()
